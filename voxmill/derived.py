@@ -39,15 +39,17 @@ FROM (
     FROM {lineitem}) a) b
 """
 
-# One camera per supplier: 3-4-5 headings, whole-centimetre offsets, world Z up.
+# One camera per supplier: 3-4-5 headings and pitches, whole-centimetre offsets, world Z up.
 VIEWS["fx_frames"] = """
-SELECT frame, scene, c AS r00, 0e0 AS r01, -s AS r02, s AS r10, 0e0 AS r11, c AS r12,
-       0e0 AS r20, -1e0 AS r21, 0e0 AS r22, tx, ty, tz,
+SELECT frame, scene, c AS r00, s * sp AS r01, -s * cp AS r02, s AS r10, -c * sp AS r11, c * cp AS r12,
+       0e0 AS r20, -cp AS r21, -sp AS r22, tx, ty, tz,
        64e0 AS fx, 64e0 AS fy, 32e0 AS cx, 24e0 AS cy, heading, pitch
 FROM (
   SELECT CAST(s_suppkey AS INT) AS frame, CAST(FLOOR(s_suppkey / 20) AS INT) AS scene,
          CASE s_suppkey % 4 WHEN 0 THEN 1e0 WHEN 1 THEN 0.6e0 WHEN 2 THEN 0e0 ELSE -0.6e0 END AS c,
          CASE s_suppkey % 4 WHEN 0 THEN 0e0 WHEN 1 THEN 0.8e0 WHEN 2 THEN 1e0 ELSE 0.8e0 END AS s,
+         CASE s_suppkey % 3 WHEN 0 THEN 1e0 WHEN 1 THEN 0.96e0 ELSE 0.8e0 END AS cp,
+         CASE s_suppkey % 3 WHEN 0 THEN 0e0 WHEN 1 THEN 0.28e0 ELSE 0.6e0 END AS sp,
          ((s_suppkey % 10) * 16 - 80) / 100e0 AS tx, ((s_suppkey % 7) * 16 - 48) / 100e0 AS ty,
          (100 + 2 * (s_nationkey % 20)) / 100e0 AS tz,
          CASE WHEN s_suppkey % 23 = 0 THEN NULL ELSE (s_suppkey * 7 % 451) / 10e0 END AS heading,
@@ -149,6 +151,16 @@ SELECT CAST(FLOOR(p_partkey / 20) AS INT) AS room, CAST(p_partkey % 20 AS INT) A
 FROM {part}
 """
 
+# Room shells around the solids, one per 20 parts.
+VIEWS["fx_rooms"] = """
+SELECT room, 20e0 AS cx, 20e0 AS cy, 11e0 AS cz, CAST(28 + room % 7 AS INT) / 1e0 AS sx,
+       CAST(27 + room % 5 AS INT) / 1e0 AS sy, CAST(15 + room % 4 AS INT) / 1e0 AS sz, 2e0 AS thickness,
+       room % 3 <> 0 AS ceiling,
+       CASE room % 4 WHEN 0 THEN 1e0 WHEN 1 THEN 0.6e0 WHEN 2 THEN 0e0 ELSE 0.8e0 END AS c,
+       CASE room % 4 WHEN 0 THEN 0e0 WHEN 1 THEN 0.8e0 WHEN 2 THEN 1e0 ELSE 0.6e0 END AS s
+FROM (SELECT DISTINCT CAST(FLOOR(p_partkey / 20) AS INT) AS room FROM {part}) q
+"""
+
 VIEWS["fx_manifest"] = """
 SELECT CONCAT('data/', lang, '/', CAST(doc_id AS VARCHAR(20)), '.txt') AS path, doc_id, lang, text,
        n_chars AS size,

@@ -17,7 +17,7 @@ def lattice_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[st
     Values are counted first, so the buffer is bounded by the number of levels."""
     counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n_"))
     return counted.groupBy(*keys).agg(*[
-        F.percentile(value, F.lit(p), "n_").alias(name) for name, p in probs.items()])
+        F.percentile(F.col(value), F.lit(p), F.col("n_")).alias(name) for name, p in probs.items()])
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float],
