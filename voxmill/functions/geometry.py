@@ -106,16 +106,19 @@ def heading_deg(p: dict[str, Column], steep: float = 0.3) -> Column:
 
 def live_pose(height: Column, yaw: Column, ux: Column, uy: Column, uz: Column) -> dict[str, Column]:
     """Gravity-aligned pose from a measured up direction: Z up, Y where the lens looks,
-    X to the right. Looking straight up or down, camera -Y stands in for the heading."""
+    X to the right. Looking straight up or down, camera -Y stands in for the heading.
+
+    With u the unit up, the flattened optical axis has length sqrt(1 - uz^2), so every
+    entry is a short closed form."""
     n = norm3(ux, uy, uz)
     u = [ux / n, uy / n, uz / n]
-    level = [F.lit(0.0) - u[2] * u[0], F.lit(0.0) - u[2] * u[1], F.lit(1.0) - u[2] * u[2]]
-    spare = [u[1] * u[0], F.lit(-1.0) + u[1] * u[1], u[1] * u[2]]
-    steep = norm3(*level) < 1e-6
-    ey = [F.when(steep, b).otherwise(a) for a, b in zip(level, spare)]
-    m = norm3(*ey)
-    ey = [e / m for e in ey]
-    ex = [ey[1] * u[2] - ey[2] * u[1], ey[2] * u[0] - ey[0] * u[2], ey[0] * u[1] - ey[1] * u[0]]
+    flat = F.sqrt(F.greatest(1.0 - u[2] * u[2], F.lit(0.0)))
+    side = F.sqrt(F.greatest(1.0 - u[1] * u[1], F.lit(0.0)))
+    steep = flat < 1e-6
+    pick = lambda spare, usual: F.when(steep, spare / side).otherwise(usual / flat)
+    ey = [pick(u[1] * u[0], -u[2] * u[0]), pick(u[1] * u[1] - 1.0, -u[2] * u[1]), pick(u[1] * u[2], 1.0 - u[2] * u[2])]
+    # X = Y x Z: the part of Y along u drops out, which leaves the axis itself crossed with u
+    ex = [pick(-u[2], -u[1]), pick(F.lit(0.0), u[0]), pick(u[0], F.lit(0.0))]
     c, s = F.cos(yaw), F.sin(yaw)
     out = {}
     for j in range(3):

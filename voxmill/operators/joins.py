@@ -5,6 +5,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from voxmill.functions.geometry import Grid, pose, span, view_box
+from voxmill.session import cut
 
 
 def spread(df: DataFrame, *cols: str) -> DataFrame:
@@ -69,53 +70,56 @@ def _cell(axis: str, size: float) -> Column:
     return F.floor(F.col(axis) / size)
 
 
-def levels_for(refs: DataFrame, limit: float, leaf: int = 64, deepest: int = 24) -> int:
+def levels_for(refs: DataFrame, limit: float, keys: list[str], leaf: int = 64, deepest: int = 24) -> int:
     """Halvings of ``limit`` until the fullest cell holds at most ``leaf`` distinct points."""
-    pts = refs.select("x", "y", "z").distinct()
+    pts = refs.select(*keys, "x", "y", "z").distinct()
     level = 3
     while level < deepest:
         size = limit / 2 ** (level - 1)
-        top = (pts.groupBy(*[_cell(a, size).alias(f"c{a}") for a in "xyz"]).count().agg(F.max("count")).first()[0]) or 0
+        top = (pts.groupBy(*keys, *[_cell(a, size).alias(f"c{a}") for a in "xyz"]).count().agg(F.max("count")).first()[0]) or 0
         if top <= leaf:
             break
         level += 2 if top < 64 * leaf else 4
     return level
 
 
-def nearest(queries: DataFrame, refs: DataFrame, limit: float, levels: int | None = None) -> DataFrame:
+def nearest(queries: DataFrame, refs: DataFrame, limit: float, levels: int | None = None,
+            keys: list[str] | None = None) -> DataFrame:
     """Nearest reference of every query within ``limit``: (id, ref_id, d2), lowest ref_id on ties.
 
-    ``queries(id, x, y, z)``, ``refs(ref_id, x, y, z)``. A coarse-to-fine descent over
-    nested cells. At each level a query holds a few candidate cells and the best
-    distance proven so far (some reference of a candidate cell is no farther than the
-    cell's far corner); cells whose near side lies beyond it are dropped before their
-    children are looked at. A crowded cell costs its eight children and not its
-    points, so hot cells on either side never meet pair by pair; only the last
-    level's small cells are opened, after equal points have been merged. How deep
-    to go is read from the references unless ``levels`` is given.
+    ``queries(id, keys.., x, y, z)``, ``refs(ref_id, keys.., x, y, z)``; only rows with
+    equal keys meet. A coarse-to-fine descent over nested cells. At each level a query
+    holds a few candidate cells and the best distance proven so far (some reference of a
+    candidate cell is no farther than the cell's far corner); cells whose near side lies
+    beyond it are dropped before their children are looked at. A crowded cell costs its
+    eight children and not its points, so hot cells on either side never meet pair by
+    pair; only the last level's small cells are opened, after equal points have been
+    merged. How deep to go is read from the references unless ``levels`` is given.
     """
-    levels = levels or levels_for(refs, limit)
+    keys = list(keys or [])
+    levels = levels or levels_for(refs, limit, keys)
     finest = limit / 2 ** (levels - 1)
-    pts = refs.groupBy("x", "y", "z").agg(F.min("ref_id").alias("ref_id"))
+    at = keys + ["cx", "cy", "cz"]
+    pts = refs.groupBy(*keys, "x", "y", "z").agg(F.min("ref_id").alias("ref_id"))
     fine = pts.select("*", *[_cell(a, finest).alias(f"c{a}") for a in "xyz"])
     # occupied cells per level, each derived from the finer one
-    cells = [fine.select("cx", "cy", "cz").distinct()]
+    cells = [fine.select(*at).distinct()]
     for _ in range(levels - 1):
-        up = cells[0].select(*[F.floor(F.col(f"c{a}") / 2).alias(f"c{a}") for a in "xyz"]).distinct()
+        up = cells[0].select(*keys, *[F.floor(F.col(f"c{a}") / 2).alias(f"c{a}") for a in "xyz"]).distinct()
         cells.insert(0, up)
-    q = queries.select("id", "x", "y", "z")
-    near = F.array(*[F.lit(d) for d in (-1, 0, 1)])
-    cand = q.select("*", *[_cell(a, limit).alias(f"h{a}") for a in "xyz"])
-    for a in "xyz":
-        cand = cand.select("*", F.explode(near).alias(f"d{a}"))
-    cand = cand.select("id", "x", "y", "z", *[(F.col(f"h{a}") + F.col(f"d{a}")).alias(f"c{a}") for a in "xyz"])
+    own = ["id", *keys, "x", "y", "z"]
+
+    def branch(cand: DataFrame, base: dict[str, Column], steps: list[int]) -> DataFrame:
+        cand = cand.select(*own, *[base[a].alias(f"h{a}") for a in "xyz"])
+        for a in "xyz":
+            cand = cand.select("*", F.explode(F.array(*[F.lit(d) for d in steps])).alias(f"d{a}"))
+        return cand.select(*own, *[(F.col(f"h{a}") + F.col(f"d{a}")).alias(f"c{a}") for a in "xyz"])
+
+    cand = branch(queries, {a: _cell(a, limit) for a in "xyz"}, [-1, 0, 1])
     for level in range(levels):
         size = limit / 2 ** level
         if level:
-            kids = F.array(*[F.lit(d) for d in (0, 1)])
-            for a in "xyz":
-                cand = cand.select("*", F.explode(kids).alias(f"d{a}"))
-            cand = cand.select("id", "x", "y", "z", *[(2 * F.col(f"c{a}") + F.col(f"d{a}")).alias(f"c{a}") for a in "xyz"])
+            cand = branch(cand, {a: 2 * F.col(f"c{a}") for a in "xyz"}, [0, 1])
         lo = {a: F.col(f"c{a}") * size for a in "xyz"}
         gap = {a: F.greatest(lo[a] - F.col(a), F.col(a) - lo[a] - size, F.lit(0.0)) for a in "xyz"}
         reach = {a: F.greatest(F.abs(F.col(a) - lo[a]), F.abs(F.col(a) - lo[a] - size)) for a in "xyz"}
@@ -123,28 +127,32 @@ def nearest(queries: DataFrame, refs: DataFrame, limit: float, levels: int | Non
         far2 = reach["x"] * reach["x"] + reach["y"] * reach["y"] + reach["z"] * reach["z"]
         # a hair of slack keeps rounding from dropping a cell that holds the answer
         cand = cand.withColumn("near2", near2).filter(F.col("near2") <= limit * limit * (1 + 1e-9)).withColumn("far2", far2)
-        cand = cand.join(cells[level], ["cx", "cy", "cz"], "left_semi")
+        cand = cand.join(cells[level], at, "left_semi")
         best = F.min("far2").over(W.partitionBy("id"))  # a query's few cells
         cand = cand.withColumn("best2", best).filter(F.col("near2") <= F.col("best2") * (1 + 1e-9)).drop("near2", "far2", "best2")
-    opened = cand.join(fine.select("cx", "cy", "cz", "ref_id", *[F.col(a).alias(f"r{a}") for a in "xyz"]), ["cx", "cy", "cz"])
-    d2 = sum(((F.col(a) - F.col(f"r{a}")) * (F.col(a) - F.col(f"r{a}")) for a in "yz"),
-             (F.col("x") - F.col("rx")) * (F.col("x") - F.col("rx")))
+    opened = cand.join(fine.select(*at, "ref_id", *[F.col(a).alias(f"r{a}") for a in "xyz"]), at)
+    d = {a: F.col(a) - F.col(f"r{a}") for a in "xyz"}
+    d2 = d["x"] * d["x"] + d["y"] * d["y"] + d["z"] * d["z"]
     return (opened.withColumn("d2", d2).filter(F.col("d2") <= limit * limit)
             .groupBy("id").agg(F.min(F.struct("d2", "ref_id")).alias("m_"))
             .select("id", "m_.ref_id", "m_.d2"))
 
 
-def nearest_any(queries: DataFrame, refs: DataFrame, start: float, growth: float = 8.0, levels: int | None = None) -> DataFrame:
+def nearest_any(queries: DataFrame, refs: DataFrame, start: float, growth: float = 8.0,
+                levels: int | None = None, keys: list[str] | None = None) -> DataFrame:
     """Nearest reference with no limit: rounds of growing limits over the unmatched rest.
 
-    Rounds stop when the limit covers both clouds, so every query gets its answer."""
-    from voxmill.session import cut
-    box = queries.select("x", "y", "z").unionByName(refs.select("x", "y", "z")).agg(
+    Rounds stop when the limit covers both clouds, so every query whose key has a
+    reference gets its answer."""
+    keys = list(keys or [])
+    refs = cut(refs)
+    rest = cut(queries.select("id", *keys, "x", "y", "z"))
+    box = rest.select("x", "y", "z").unionByName(refs.select("x", "y", "z")).agg(
         *[(F.max(a) - F.min(a)).alias(a) for a in "xyz"]).first()
     widest = sum((box[a] or 0.0) ** 2 for a in "xyz") ** 0.5
-    done, rest, limit = None, queries.select("id", "x", "y", "z"), start
+    done, limit = None, start
     while True:
-        got = cut(nearest(rest, refs, limit, levels))
+        got = cut(nearest(rest, refs, limit, levels, keys))
         done = got if done is None else done.unionByName(got)
         if limit >= widest:
             return done
