@@ -119,6 +119,15 @@ SELECT CAST(user_id % 5 AS INT) AS capture, event_id AS frame,
 FROM {events}
 """
 
+# Channel means per frame: a white balance that drifts in steps and then settles.
+VIEWS["fx_white"] = """
+SELECT CAST(user_id % 5 AS INT) AS capture, event_id AS frame,
+       CASE WHEN event_id % 401 = 7 THEN 0e0 ELSE 137e0 - 40e0 / (1 + FLOOR(event_id / 40)) END AS r,
+       CASE WHEN event_id % 401 = 7 THEN 0e0 ELSE 120e0 + (event_id * 7 % 5) / 100e0 END AS g,
+       CASE WHEN event_id % 401 = 7 THEN 0e0 ELSE 147e0 + (40 + 5 * (user_id % 5)) / (1e0 + FLOOR(event_id / 40)) END AS b
+FROM {events}
+"""
+
 # Forward and reverse runs of one trajectory per capture: 3-4-5 headings and cm offsets.
 VIEWS["fx_runs"] = """
 SELECT capture, run, frame, c AS r00, 0e0 AS r01, -s AS r02, s AS r10, 0e0 AS r11, c AS r12,

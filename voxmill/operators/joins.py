@@ -62,7 +62,7 @@ def asof_next(samples: DataFrame, frames: DataFrame, key: str, tol: float, paylo
     last = frames.groupBy(key).agg(F.max_by(hold, F.struct(time, *payload)).alias("last_"))
     hit = F.when(F.col("next_").isNotNull(), F.col("next_")).when(F.col(f"last_.t") < ft, F.col("last_"))
     out = nxt.join(last, key, "left").withColumn("m_", hit)
-    return (out.filter(F.abs(F.col("m_.t") - ft) < tol)
+    return (out.filter(F.abs(F.col("m_.t") - ft) <= tol)
             .select(*samples.columns, F.col("m_.t").alias("frame_t"), *[F.col(f"m_.{p}") for p in payload]))
 
 

@@ -13,18 +13,19 @@ from pyspark.sql import functions as F
 FAN = 4096
 
 
-def block_prefix(blocks: DataFrame, keys: list[str], block: str, value: str, out: str) -> DataFrame:
-    """Exclusive running sum of ``value`` over the blocks of each key.
+def block_prefix(blocks: DataFrame, keys: list[str], block: str, value: str, out: str, how=F.sum, start=0) -> DataFrame:
+    """Running ``how`` of ``value`` over the earlier blocks of each key, ``start`` before the first.
 
     ``blocks`` has one row per (key, block). Super-blocks of FAN blocks keep both
-    windows short."""
+    windows short. ``how`` is F.sum, F.max or F.min."""
     b = blocks.withColumn("super_", F.floor(F.col(block) / FAN))
-    tops = b.groupBy(*keys, "super_").agg(F.sum(value).alias("s_"))
+    tops = b.groupBy(*keys, "super_").agg(how(value).alias("s_"))
     before = W.partitionBy(*keys).orderBy("super_").rowsBetween(W.unboundedPreceding, -1)
-    tops = tops.select(*keys, "super_", F.coalesce(F.sum("s_").over(before), F.lit(0)).alias("top_"))
+    tops = tops.select(*keys, "super_", how("s_").over(before).alias("top_"))
     inner = W.partitionBy(*keys, "super_").orderBy(block).rowsBetween(W.unboundedPreceding, -1)
-    return (b.withColumn("in_", F.coalesce(F.sum(value).over(inner), F.lit(0))).join(tops, keys + ["super_"])
-            .withColumn(out, F.col("in_") + F.col("top_")).drop("super_", "in_", "top_"))
+    join = (lambda x, y: F.coalesce(x, F.lit(0)) + F.coalesce(y, F.lit(0))) if how is F.sum else (F.greatest if how is F.max else F.least)
+    return (b.withColumn("in_", how(value).over(inner)).join(tops, keys + ["super_"])
+            .withColumn(out, F.coalesce(join(F.col("in_"), F.col("top_")), F.lit(start))).drop("super_", "in_", "top_"))
 
 
 def row_index(df: DataFrame, keys: list[str], order: str, width: float, out: str = "rn") -> DataFrame:
@@ -41,14 +42,18 @@ def row_index(df: DataFrame, keys: list[str], order: str, width: float, out: str
             .drop("blk_", "loc_", "off_"))
 
 
-def running_sum(df: DataFrame, keys: list[str], index: str, value: Column, out: str, width: int = FAN) -> DataFrame:
-    """Inclusive running sum along a contiguous index."""
+def running(df: DataFrame, keys: list[str], index: str, value: Column, out: str, width: int = FAN,
+            how=F.sum, inclusive: bool = True) -> DataFrame:
+    """Running sum, max or min along an integer order, up to and including each row or before it."""
     b = df.withColumn("blk_", F.floor(F.col(index) / width)).withColumn("val_", value)
-    sums = b.groupBy(*keys, "blk_").agg(F.sum("val_").alias("s_"))
-    offs = block_prefix(sums, keys, "blk_", "s_", "off_").select(*keys, "blk_", "off_")
-    inner = W.partitionBy(*keys, "blk_").orderBy(index).rowsBetween(W.unboundedPreceding, 0)
-    return (b.withColumn("run_", F.sum("val_").over(inner)).join(offs, keys + ["blk_"])
-            .withColumn(out, F.col("off_") + F.col("run_")).drop("blk_", "val_", "run_", "off_"))
+    per = b.groupBy(*keys, "blk_").agg(how("val_").alias("s_"))
+    start = 0 if how is F.sum else None
+    offs = block_prefix(per, keys, "blk_", "s_", "off_", how, start).select(*keys, "blk_", "off_")
+    inner = W.partitionBy(*keys, "blk_").orderBy(index).rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
+    j = b.withColumn("run_", how("val_").over(inner)).join(offs, keys + ["blk_"])
+    both = (F.col("off_") + F.coalesce("run_", F.lit(0)) if how is F.sum
+            else (F.greatest if how is F.max else F.least)("off_", "run_"))
+    return j.withColumn(out, both).drop("blk_", "val_", "run_", "off_")
 
 
 def halo(df: DataFrame, index: str, before: int, after: int, width: int = FAN) -> DataFrame:

@@ -20,12 +20,12 @@ def lattice_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[st
         F.percentile(F.col(value), F.lit(p), F.col("n_")).alias(name) for name, p in probs.items()])
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float],
-                    buckets: int = 1024) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict, buckets: int = 1024) -> DataFrame:
     """Linear-interpolated quantiles of any column, one row per key.
 
     Distinct values are counted, spread over fixed-width buckets of the key's own
-    range, and only buckets holding a wanted rank are ordered."""
+    range, and only buckets holding a wanted rank are ordered. A probability may also be
+    given as a function from the key's count (a Column) to a 0-based rank."""
     k = list(keys) or ["one_"]
     src = df if keys else df.withColumn("one_", F.lit(1))
     v = F.col(value).cast("double")
@@ -38,10 +38,10 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
     hist = placed.groupBy(*k, "b_").agg(F.sum("n_").alias("n_"), F.first("total_").alias("total_"))
     upto = W.partitionBy(*k).orderBy("b_").rowsBetween(W.unboundedPreceding, -1)  # <= `buckets` rows a key
     hist = hist.withColumn("before_", F.coalesce(F.sum("n_").over(upto), F.lit(0)))
-    wants = F.array(*[F.struct(F.lit(n).alias("q_"), F.lit(float(p)).alias("p_")) for n, p in probs.items()])
-    pos = F.col("p_") * (F.col("total_") - 1)
-    targets = (hist.select(*k, "b_", "n_", "before_", "total_", F.inline(wants))
-               .withColumn("pos_", pos)
+    total = F.col("total_")
+    rank = lambda p: p(total).cast("double") if callable(p) else F.lit(float(p)) * (total - 1)
+    wants = F.array(*[F.struct(F.lit(n).alias("q_"), rank(p).alias("pos_")) for n, p in probs.items()])
+    targets = (hist.select(*k, "b_", "n_", "before_", F.inline(wants))
                .filter((F.floor("pos_") < F.col("before_") + F.col("n_")) & (F.ceil("pos_") >= F.col("before_")))
                .groupBy(*k, "b_").agg(F.first("before_").alias("before_"),
                                       F.collect_list(F.struct("q_", "pos_")).alias("wanted_")))
@@ -57,3 +57,9 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
     at = F.col("a_") + (F.col("z_") - F.col("a_")) * (F.col("pos_") - F.floor("pos_"))
     out = both.groupBy(*k).agg(*[F.max(F.when(F.col("q_") == n, at)).alias(n) for n in probs])
     return out if keys else out.drop("one_")
+
+
+def column_quantiles(df: DataFrame, keys: list[str], columns: list[str], probs: dict) -> DataFrame:
+    """Quantiles of several columns at once, long form (keys, name, quantiles..)."""
+    long = df.unpivot(keys, columns, "name", "value_") if keys else df.unpivot([], columns, "name", "value_")
+    return exact_quantiles(long, [*keys, "name"], "value_", probs)
