@@ -81,3 +81,21 @@ def near_window(df: DataFrame, keys: list[str], index: str, before: int, after:
     out = halo(df, index, before, after, width)
     out = out.select("*", *[fn(w).alias(name) for name, fn in cols.items()])
     return out.filter("own_").drop("blk_", "own_")
+
+
+def global_index(df: DataFrame, order: list[str], out: str = "rn") -> DataFrame:
+    """0-based index of each row in a total order over any column types.
+
+    Rows are range-partitioned and sorted, stored once (so the split is the same for the
+    counts and the rows, whatever is lost), and each partition is offset by the sizes of
+    those before it: one small row per partition."""
+    from voxmill.session import cut
+    spark = df.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    stored = cut(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("id_", F.monotonically_increasing_id()))
+    part = F.shiftright("id_", 33)
+    sizes = stored.groupBy(part.alias("p_")).agg(F.count(F.lit(1)).alias("n_"))
+    upto = W.orderBy("p_").rowsBetween(W.unboundedPreceding, -1)  # one row per partition
+    offs = sizes.select("p_", F.coalesce(F.sum("n_").over(upto), F.lit(0)).alias("off_"))
+    return (stored.withColumn("p_", part).join(F.broadcast(offs), "p_")
+            .withColumn(out, F.col("off_") + F.col("id_").bitwiseAND((1 << 33) - 1)).drop("p_", "id_", "off_"))
