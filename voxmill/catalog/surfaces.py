@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from voxmill.catalog.registry import query
 from voxmill.operators import manifest as D
-from voxmill.operators import score as S
 from voxmill.operators import surface as M
 from voxmill.operators.joins import nearest, nearest_any, not_done, pair_keys
 
@@ -177,3 +176,11 @@ def packs_to_do(t):
     p = t.documents.select(F.concat(F.lit("data/"), "lang").alias("pack")).distinct()
     held = t.documents.groupBy("lang").count().filter("count > 200").select(F.concat(F.lit("data/"), "lang").alias("pack"))
     return D.packs_to_do(p, held, ["data/f*"])
+
+
+@query("packs_to_pull", "D08", """
+SELECT DISTINCT 'data/' || lang AS pack FROM documents WHERE lang <> 'en' AND lang NOT IN (SELECT lang FROM documents WHERE source = 'src1' GROUP BY lang HAVING COUNT(*) > 30)""")
+def packs_to_pull(t):
+    name = F.concat(F.lit("data/"), "lang").alias("pack")
+    done = t.documents.filter("source = 'src1'").groupBy("lang").count().filter("count > 30").select(name)
+    return D.packs_to_pull(t.documents.select(name).distinct(), done, ["data/en"])

@@ -232,6 +232,8 @@ def check_sql(body: str) -> str:
     body = body.strip()
     if not ctes:
         return body
+    if body[:14].upper() == "WITH RECURSIVE":
+        return "WITH RECURSIVE " + ", ".join(ctes) + ", " + body[14:]
     if body[:4].upper() == "WITH":
         return "WITH " + ", ".join(ctes) + ", " + body[4:]
     return "WITH " + ", ".join(ctes) + " " + body
