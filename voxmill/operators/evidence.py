@@ -30,14 +30,14 @@ def observe(depth: DataFrame, frames: DataFrame, grid: Grid, width: int, height:
     Cells of the view box are projected and cut to the image before they meet the
     depth table, so the join carries only cells in view."""
     margin = grid.unit / 2 if margin is None else margin
-    cells = view_cells(frames.select("frame", *LENS, *POSE), grid, width, height, max_range)
-    c = G.undo_pose(pose(), *grid.centre(*[F.col(n) for n in CELL]))
-    z = c[2]
-    u, v = G.project(*c)
+    cells = view_cells(frames.select("frame", *LENS, *POSE), grid, 0.5, width, height, z_near, max_range)
+    z = F.col("l2")
+    u, v = G.project(F.col("l0"), F.col("l1"), z)
     seen = (cells.select("frame", *CELL, z.alias("z"), u.alias("u"), v.alias("v"))
-            .filter((F.col("z") > z_near) & (F.col("z") <= max_range) & G.in_image(F.col("u"), F.col("v"), width, height))
+            .filter(F.coalesce((F.col("z") > z_near) & (F.col("z") <= max_range) & G.in_image(F.col("u"), F.col("v"), width, height), F.lit(False)))
             .select("frame", *CELL, "z", F.col("u").cast("int").alias("u"), F.col("v").cast("int").alias("v")))
-    d = depth.filter((F.col("depth_mm") > 0) & (F.col("depth_mm") <= max_range * 1000))
+    # pixels are unique and spread evenly, so they are hashed in place of sorting both sides
+    d = depth.filter((F.col("depth_mm") > 0) & (F.col("depth_mm") <= max_range * 1000)).hint("shuffle_hash")
     diff = F.col("depth_mm") / 1000.0 - F.col("z")
     kind = F.when(F.abs(diff) <= margin, "hit").when(diff > margin, "pass")
     return (seen.join(d, ["frame", "u", "v"]).withColumn("kind", kind).filter("kind IS NOT NULL")

@@ -30,9 +30,76 @@ def explode_box(df: DataFrame, box: list[tuple[Column, Column]], names=("ix", "i
     return out
 
 
-def view_cells(frames: DataFrame, grid: Grid, width: int, height: int, far) -> DataFrame:
-    """frames x the cells of their view box (index range join)."""
-    return explode_box(frames, view_box(pose(), grid, width, height, far), by=("frame",))
+Plane = tuple[Column, Column, Column, Column]
+
+
+def explode_convex(df: DataFrame, box: list[tuple[Column, Column]], planes: list[Plane], by: tuple[str, ...],
+                   grid: Grid, offset: float, pivot: tuple[str, str, str], keep: list[str],
+                   slab: int | None = None) -> DataFrame:
+    """Cells of a per-row box that may lie inside a convex body, with their coordinates in the
+    row's own axes: (keep.., ix, iy, iz, l0, l1, l2).
+
+    The body is an intersection of half spaces ``a + bx*i + by*j + bz*k >= 0`` in cell
+    indices. Columns (i, j) are generated first; each keeps only the run of k that every
+    plane allows, widened by a cell, so a thin slanted slab or a view cone does not make its
+    whole bounding box. The caller's own exact test follows.
+
+    Local coordinates are (point - pivot) turned by ``r00..r22``, ``offset`` being where in a
+    cell it is sampled. The part that depends on i and j is summed once per column, which
+    keeps the code per cell short enough for the JVM to compile.
+
+    With ``slab`` a row is first cut into slabs of that many cells along the first axis and
+    the rows are spread by (by.., slab): rows move, cells do not, a crowded key splits into
+    its slabs, and a later aggregate on (by.., slab_, cell) needs no shuffle."""
+    n = range(len(planes))
+    named = df.select("*", *[c.alias(f"{e}{i}_") for i, pair in enumerate(box) for e, c in zip("ab", pair)],
+                      *[c.alias(f"p{m}{x}_") for m, pl in enumerate(planes) for x, c in zip("axyz", pl)])
+    if slab:
+        named = named.select("*", F.explode(span(F.floor(F.col("a0_") / slab).cast("int"), F.floor(F.col("b0_") / slab).cast("int"))).alias("slab_"))
+        named = named.withColumns({"a0_": F.greatest("a0_", F.col("slab_") * slab), "b0_": F.least("b0_", F.col("slab_") * slab + slab - 1)})
+        keep, by = [*keep, "slab_"], (*by, "slab_")
+    named = spread(named, *by)
+    at = lambda axis, cell: grid.origin[axis] + (F.col(cell) + offset) * grid.unit - F.col(pivot[axis])
+    out = named.select("*", F.explode(span(F.col("a0_"), F.col("b0_"))).alias("ix"))
+    late = [*keep, "ix", pivot[2], "r20", "r21", "r22", "a2_", "b2_", *[f"p{m}z_" for m in n]]
+    late = list(dict.fromkeys(late))
+    out = out.select(*late, pivot[1], "r10", "r11", "r12", "a1_", "b1_", *[f"p{m}y_" for m in n],
+                     *[(at(0, "ix") * F.col(f"r0{j}")).alias(f"t{j}_") for j in range(3)],
+                     *[(F.col(f"p{m}a_") + F.col(f"p{m}x_") * F.col("ix")).alias(f"s{m}_") for m in n])
+    out = out.select("*", F.explode(span(F.col("a1_"), F.col("b1_"))).alias("iy"))
+    out = out.select(*late, "iy", *[(F.col(f"t{j}_") + at(1, "iy") * F.col(f"r1{j}")).alias(f"t{j}_") for j in range(3)],
+                     *[(F.col(f"s{m}_") + F.col(f"p{m}y_") * F.col("iy")).alias(f"s{m}_") for m in n])
+    lo, hi = [F.col("a2_").cast("double")], [F.col("b2_").cast("double")]
+    for m in n:
+        s, slope = F.col(f"s{m}_"), F.col(f"p{m}z_")
+        lo.append(F.when(slope > 1e-9, F.floor(-s / slope) - 1.0))
+        hi.append(F.when(slope < -1e-9, F.ceil(-s / slope) + 1.0).when((slope <= 1e-9) & (s < -1e-6), -1.0))
+    tail = list(dict.fromkeys([*keep, "ix", "iy", pivot[2], "r20", "r21", "r22"]))
+    out = out.select(*tail, *[f"t{j}_" for j in range(3)], F.greatest(*lo).cast("int").alias("lo_"), F.least(*hi).cast("int").alias("hi_"))
+    out = out.select("*", F.explode(span(F.col("lo_"), F.col("hi_"))).alias("iz"))
+    return out.select(*keep, "ix", "iy", "iz", *[(F.col(f"t{j}_") + at(2, "iz") * F.col(f"r2{j}")).alias(f"l{j}") for j in range(3)])
+
+
+def view_planes(p: dict[str, Column], grid: Grid, offset: float, width: int, height: int, near, far) -> list[Plane]:
+    """The sides of a camera's view as half spaces in cell indices; ``offset`` is where in a cell it is sampled."""
+    base = [o + offset * grid.unit - p[t] for o, t in zip(grid.origin, ("tx", "ty", "tz"))]
+    cam = []
+    for k in range(3):
+        r = [p[f"r{d}{k}"] for d in range(3)]
+        cam.append((base[0] * r[0] + base[1] * r[1] + base[2] * r[2], *[grid.unit * x for x in r]))
+    mix = lambda u, a, v, b, c=0.0: tuple(u * x + v * y + (c if i == 0 else 0.0) for i, (x, y) in enumerate(zip(cam[a], cam[b])))
+    one = lambda s, c: tuple(s * x + (c if i == 0 else 0.0) for i, x in enumerate(cam[2]))
+    fx, fy, cx, cy = (F.col(c) for c in ("fx", "fy", "cx", "cy"))
+    return [one(1.0, -near), one(-1.0, far), mix(fx, 0, cx + 0.5, 2), mix(-fx, 0, width - 0.5 - cx, 2),
+            mix(fy, 1, cy + 0.5, 2), mix(-fy, 1, height - 0.5 - cy, 2)]
+
+
+def view_cells(frames: DataFrame, grid: Grid, offset: float, width: int, height: int, near, far) -> DataFrame:
+    """frames x the cells in their view (index range join), at most a cell more on each side, with
+    the cell in camera coordinates as l0, l1, l2."""
+    return explode_convex(frames, view_box(pose(), grid, width, height, far),
+                          view_planes(pose(), grid, offset, width, height, near, far), ("frame",),
+                          grid, offset, ("tx", "ty", "tz"), ["frame", "fx", "fy", "cx", "cy"])
 
 
 def asof_next(samples: DataFrame, frames: DataFrame, key: str, tol: float, payload: list[str],

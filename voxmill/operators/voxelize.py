@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from voxmill.functions import geometry as G
 from voxmill.functions.geometry import LENS, POSE, Grid, apply_pose, pose
-from voxmill.operators.joins import explode_box, spread, view_cells
+from voxmill.operators.joins import explode_box, explode_convex, view_cells
 from voxmill.plans.quantiles import lattice_quantiles
 from voxmill.schema import IGNORE
 
@@ -75,13 +75,13 @@ def sight_test(depth: DataFrame, frames: DataFrame, grid: Grid, width: int, heig
     Cells come from each frame's view box and are projected before the join, so only
     cells inside the image meet the depth table, on (frame, u, v). A cell without a
     trusted depth is unknown and is left out: its truncated distance is 0."""
-    cells = view_cells(frames.select("frame", *LENS, *POSE), grid, width, height, G.farthest_corner(pose(), grid))
-    c = G.undo_pose(pose(), *grid.corner(*[F.col(n) for n in CELL]))
-    u, v = G.project(*c)
-    seen = (cells.select("frame", *CELL, c[2].alias("zc"), u.alias("u"), v.alias("v"))
-            .filter((F.col("zc") > 1e-6) & G.in_image(F.col("u"), F.col("v"), width, height))
+    cells = view_cells(frames.select("frame", *LENS, *POSE), grid, 0.0, width, height, 0.0, G.farthest_corner(pose(), grid))
+    z = F.col("l2")
+    u, v = G.project(F.col("l0"), F.col("l1"), z)
+    seen = (cells.select("frame", *CELL, z.alias("zc"), u.alias("u"), v.alias("v"))
+            .filter(F.coalesce((F.col("zc") > 1e-6) & G.in_image(F.col("u"), F.col("v"), width, height), F.lit(False)))
             .select("frame", *CELL, "zc", F.col("u").cast("int").alias("u"), F.col("v").cast("int").alias("v")))
-    known = depth.filter(F.col("depth_mm").between(near * 1000, far * 1000)).select("frame", "u", "v", "depth_mm")
+    known = depth.filter(F.col("depth_mm").between(near * 1000, far * 1000)).select("frame", "u", "v", "depth_mm").hint("shuffle_hash")
     diff = F.col("depth_mm") / 1000.0 - F.col("zc")
     sign = F.when(F.abs(diff) < 1e-4, 1.0).otherwise(F.signum(diff))
     return seen.join(known, ["frame", "u", "v"]).select("frame", *CELL, sign.alias("sign"))
@@ -169,12 +169,11 @@ def _inside_wedge(p, h):
 PAINTERS = {"box": _inside_box, "cylinder": _inside_cylinder, "wedge": _inside_wedge}
 
 
-def paint_solids(solids: DataFrame, grid: Grid, key: str = "room") -> DataFrame:
-    """Class of every cell some solid contains; the later solid overwrites.
+def solid_cells(solids: DataFrame, grid: Grid, key: str = "room") -> DataFrame:
+    """Every (solid, cell) containment, where its slab of the room was sent.
 
     ``solids(key, seq, cls, shape, cx, cy, cz, sx, sy, sz, r00..r22)``. Each solid makes
-    only the cells of its clipped bounding box, and overlaps are settled by
-    ``max_by(cls, seq)``, which combines before the shuffle."""
+    about the cells it contains; the solids are shuffled, never the cells."""
     half = [F.col(f"s{a}") / 2.0 for a in "xyz"]
     box = []
     for i, a in enumerate("xyz"):
@@ -182,13 +181,30 @@ def paint_solids(solids: DataFrame, grid: Grid, key: str = "room") -> DataFrame:
         idx = lambda w: F.floor((w - grid.origin[i]) / grid.unit).cast("int")
         box.append((F.greatest(F.lit(0), idx(F.col(f"c{a}") - reach)),
                     F.least(F.lit(grid.dims[i] - 1), idx(F.col(f"c{a}") + reach))))
-    cells = explode_box(solids, box, by=(key, "seq"))
-    d = [p - F.col(f"c{a}") for p, a in zip(grid.centre(*[F.col(c) for c in CELL]), "xyz")]
-    local = [d[0] * F.col(f"r0{j}") + d[1] * F.col(f"r1{j}") + d[2] * F.col(f"r2{j}") for j in range(3)]
+    planes = []
+    for j in range(3):
+        r = [F.col(f"r{i}{j}") for i in range(3)]
+        at = sum(((o + 0.5 * grid.unit - F.col(f"c{a}")) * x for o, a, x in zip(grid.origin[1:], "yz", r[1:])),
+                 (grid.ox + 0.5 * grid.unit - F.col("cx")) * r[0])
+        planes += [(half[j] + sign * at, *[sign * grid.unit * x for x in r]) for sign in (1.0, -1.0)]
+    cells = explode_convex(solids, box, planes, (key,), grid, 0.5, ("cx", "cy", "cz"),
+                           [key, "seq", "cls", "shape", "sx", "sy", "sz"], slab=8)
+    local = [F.col(f"l{j}") for j in range(3)]
     hit = F.lit(False)
     for shape, test in PAINTERS.items():
         hit = F.when(F.col("shape") == shape, test(local, half)).otherwise(hit)
-    return cells.filter(hit).groupBy(key, *CELL).agg(F.max_by("cls", "seq").alias("label"))
+    return cells.filter(hit).select(key, "slab_", *CELL, "seq", "cls")
+
+
+def paint_solids(solids: DataFrame, grid: Grid, key: str = "room") -> DataFrame:
+    """Class of every cell some solid contains; the later solid overwrites.
+
+    Overlaps are settled where the cells were made, without a shuffle."""
+    cells = solid_cells(solids, grid, key)
+    # one whole number orders by seq and carries the class, the cheapest thing to aggregate
+    rank = F.max(F.col("seq").cast("long") * 256 + F.col("cls"))
+    return (cells.groupBy(key, "slab_", *CELL).agg(rank.alias("top"))
+            .select(key, *CELL, F.pmod("top", F.lit(256)).cast("int").alias("label")))
 
 
 def yaw_rotation(c: Column, s: Column) -> list[Column]:
