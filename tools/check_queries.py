@@ -17,6 +17,10 @@ from voxmill.catalog import CHECKS, QUERIES, runner
 from voxmill.derived import BASE
 
 
+KINDS = {"bool": ("bool",), "float": ("double", "float", "decimal"), "int": ("int", "long", "short", "byte"),
+         "text": ("string", "varchar"), "time": ("timestamp",)}
+
+
 def norm(v):
     if v is None:
         return None
@@ -69,6 +73,10 @@ def main():
             types = {d[0]: str(d[1]) for d in cur.description}
             loose = [c for c, t in types.items() if t.startswith(("HUGEINT", "DECIMAL"))]
             ok = cols == ecols and got == want
+            kind = lambda t: next((k for k, names in KINDS.items() if any(n in t.lower() for n in names)), t)
+            mixed = {c: (t.simpleString(), types[c]) for c, t in ((f.name, f.dataType) for f in df.schema) if c in types and kind(t.simpleString()) != kind(types[c])}
+            if mixed:
+                print("   kinds", name, mixed)
             bad += not ok
             print(f"{'ok   ' if ok else 'DIFF '} {name:38s} {len(got):7d} rows {t1:6.2f}s  duck {time.time() - t0 - t1:5.2f}s"
                   + (f"  loose types {loose}" if loose else ""))
