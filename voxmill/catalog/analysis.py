@@ -42,12 +42,12 @@ pb AS (SELECT {key}, COUNT(*) AS sc_voxels, 100.0 * SUM((label > 0 AND pred > 0)
 
 
 @query("reference_like_views", "E22", f"""WITH b AS (SELECT QUANTILE_CONT(pitch, 0.05) AS pl, QUANTILE_CONT(pitch, 0.95) AS ph, QUANTILE_CONT(tz, 0.05) AS zl, QUANTILE_CONT(tz, 0.95) AS zh
-  FROM fx_frames WHERE frame % 5 >= 2), kept AS (SELECT f.frame FROM fx_frames f, b WHERE pitch BETWEEN pl AND ph AND tz BETWEEN zl AND zh), {CELLS},
+  FROM fx_frames WHERE split = 'train'), kept AS (SELECT f.frame FROM fx_frames f, b WHERE pitch BETWEEN pl AND ph AND tz BETWEEN zl AND zh), {CELLS},
 src AS (SELECT 1 AS one, c.* FROM cells c JOIN kept k ON c.frame = k.frame), {pooled_sql('one', 'src')}
 SELECT frames, sc_voxels, ROUND(sc_iou, 6) AS sc_iou, ROUND(100 * miou, 6) AS miou FROM pb JOIN pm ON pb.one = pm.one""")
 def reference_like_views(t):
-    f = t.fx_frames.select("frame", "pitch", "tz")
-    kept = A.reference_like(f, f.filter("frame % 5 >= 2"), ["pitch", "tz"])
+    f = t.fx_frames.select("frame", "pitch", "tz", "split")
+    kept = A.reference_like(f, f.filter("split = 'train'"), ["pitch", "tz"])
     cells = S.frame_cells(t.fx_voxels).join(kept.select("frame"), "frame").withColumn("one", F.lit(1))
     n = cells.select("frame").distinct().agg(F.count(F.lit(1)).alias("frames"))
     return r(S.pooled_scores(cells, "one").drop("one").join(F.broadcast(n)), 6, "sc_iou", "miou").select("frames", "sc_voxels", "sc_iou", "miou")

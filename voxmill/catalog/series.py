@@ -262,15 +262,15 @@ def still_match(t):
 
 
 @query("cloud_residual", "T22 J05", """
-WITH q AS (SELECT id, cloud, x, y, z FROM fx_points WHERE id % 2 = 0), f AS (SELECT id, cloud, x, y, z FROM fx_points WHERE id % 2 = 1),
+WITH q AS (SELECT id, cloud, x, y, z FROM fx_points WHERE r < 128), f AS (SELECT id, cloud, x, y, z FROM fx_points WHERE r >= 128),
 d AS (SELECT q.id, q.cloud, (SELECT MIN((q.x-f.x)*(q.x-f.x) + (q.y-f.y)*(q.y-f.y) + (q.z-f.z)*(q.z-f.z)) FROM f WHERE f.cloud = q.cloud
   AND f.x BETWEEN q.x - 0.25 AND q.x + 0.25 AND f.y BETWEEN q.y - 0.25 AND q.y + 0.25 AND f.z BETWEEN q.z - 0.25 AND q.z + 0.25) AS d2 FROM q),
 c AS (SELECT id, cloud, CASE WHEN d2 <= 0.0625 THEN d2 END AS d2 FROM d)
 SELECT cloud, COUNT(*) AS n, COUNT(d2) AS inliers, ROUND(COUNT(d2) * 1.0 / COUNT(*), 9) AS fitness, ROUND(SQRT(AVG(d2)), 7) AS rmse FROM c GROUP BY cloud""")
 def cloud_residual(t):
-    p = t.fx_points.select("id", "cloud", "x", "y", "z")
-    q = p.filter("id % 2 = 0")
-    f = p.filter("id % 2 = 1").withColumnRenamed("id", "ref_id")
+    p = t.fx_points.select("id", "cloud", "x", "y", "z", "r")
+    q = p.filter("r < 128")
+    f = p.filter("r >= 128").withColumnRenamed("id", "ref_id")
     return r(r(S.residual(q, f, 0.25, ["cloud"]), 9, "fitness"), 7, "rmse")
 
 

@@ -20,9 +20,9 @@ COLOURS = ", ".join(f"({i}, {r}, {g}, {b})" for i, (r, g, b) in enumerate(CLASS_
 WITH c AS (SELECT frame, flat, MAX(pred) AS pred, MAX(label) AS label, MAX(tsdf) AS tsdf, MAX(COALESCE(pixel_id, -1)) AS px FROM fx_voxels GROUP BY frame, flat),
 k AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY frame ORDER BY flat) - 1 AS i FROM c)
 SELECT CAST(frame AS VARCHAR) AS frame, COUNT(*) AS cells, SUM(pred)::BIGINT AS pred, SUM(label)::BIGINT AS label, ROUND(SUM(tsdf), 6) AS tsdf,
-  SUM((px >= 0)::INT)::BIGINT AS seen FROM k WHERE frame % 6 <> 0 GROUP BY frame""")
+  SUM((px >= 0)::INT)::BIGINT AS seen FROM k GROUP BY frame HAVING SUM(pred) % 4 <> 0""")
 def volume_files(t):
-    """Volumes are packed to npz bytes in tasks, then read back; frames divisible by 6 lack one file."""
+    """Volumes are packed to npz bytes in tasks, then read back; a frame whose claims sum to a multiple of four lacks one file."""
     c = t.fx_voxels.groupBy("frame", "flat").agg(F.max("pred").alias("pred"), F.max("label").alias("label"), F.max("tsdf").alias("tsdf"),
                                                  F.max(F.coalesce("pixel_id", F.lit(-1))).alias("mapping"))
 
@@ -33,7 +33,7 @@ def volume_files(t):
             buf = io.BytesIO()
             arr = pdf[kind].to_numpy()
             np.savez_compressed(buf, np.where(arr < 0, 307200, arr) if kind == "mapping" else arr)
-            if kind != "mapping" or f % 6:
+            if kind != "mapping" or pdf["pred"].sum() % 4:
                 out.append((f"/{kind}/{f}.npz", buf.getvalue()))
         return pd.DataFrame(out, columns=["path", "content"])
 
@@ -144,13 +144,13 @@ def solids_documents(t):
 
 
 @query("split_lists", "S09", """
-SELECT CAST(f.frame AS VARCHAR) AS frame, CASE WHEN f.frame % 5 < 2 THEN 'test' ELSE 'train' END AS split FROM fx_frames f WHERE f.frame % 9 <> 0""")
+SELECT CAST(f.frame AS VARCHAR) AS frame, split FROM fx_frames f WHERE f.pitch > -40""")
 def split_lists(t):
     f = t.fx_frames
-    which = F.when(F.col("frame") % 5 < 2, "test").otherwise("train")
+    which = F.col("split")
     lines = f.select(F.concat(F.lit("  "), F.col("frame").cast("string")).alias("value"), F.concat(F.lit("file:/lists/"), which, F.lit(".txt")).alias("file"))
     blank = f.select(F.lit(" ").alias("value"), F.concat(F.lit("file:/lists/"), which, F.lit(".txt")).alias("file")).distinct()
-    wanted = f.filter("frame % 9 <> 0").select(F.col("frame").cast("string").alias("frame"))
+    wanted = f.filter("pitch > -40").select(F.col("frame").cast("string").alias("frame"))
     return text.find_frames(wanted, text.parse_split(lines.unionByName(blank)))
 
 
@@ -186,9 +186,9 @@ def upgraded_map(t):
 
 
 @query("score_hook", "U01", """
-WITH c AS (SELECT frame, flat, MAX(tsdf) AS tsdf, MAX(gy) AS gy FROM fx_voxels WHERE frame % 3 <> 0 GROUP BY frame, flat)
+WITH c AS (SELECT frame, flat, MAX(tsdf) AS tsdf, MAX(gy) AS gy FROM fx_voxels WHERE frame NOT IN (SELECT frame FROM fx_frames WHERE pitch < -20) GROUP BY frame, flat)
 SELECT frame, flat, CAST(CASE WHEN tsdf < 0 THEN 1 + gy % 11 ELSE 0 END AS INT) AS pred FROM c""")
 def score_hook(t):
     c = t.fx_voxels.groupBy("frame", "flat").agg(F.max("tsdf").alias("tsdf"), F.max("gy").alias("gy"))
-    done = t.fx_frames.filter("frame % 3 = 0").select("frame")
+    done = t.fx_frames.filter("pitch < -20").select("frame")
     return score_frames(c, lambda a: np.where(a["tsdf"] < 0, 1 + a["gy"] % 11, 0), ["tsdf", "gy"], done)

@@ -49,15 +49,16 @@ def depth_triangles(t):
     return M.triangulate_depth(t.fx_depth, 64, 1500)
 
 
-NEAR = """q AS (SELECT vec_id AS id, embedding[13]::DOUBLE AS x, embedding[14]::DOUBLE AS y, embedding[15]::DOUBLE AS z FROM embeddings WHERE vec_id % 2 = 0),
-f AS (SELECT vec_id AS ref_id, embedding[13]::DOUBLE AS x, embedding[14]::DOUBLE AS y, embedding[15]::DOUBLE AS z FROM embeddings WHERE vec_id % 2 = 1),
+NEAR = """q AS (SELECT vec_id AS id, embedding[13]::DOUBLE AS x, embedding[14]::DOUBLE AS y, embedding[15]::DOUBLE AS z FROM embeddings WHERE label < 5),
+f AS (SELECT vec_id AS ref_id, embedding[13]::DOUBLE AS x, embedding[14]::DOUBLE AS y, embedding[15]::DOUBLE AS z FROM embeddings WHERE label >= 5),
 d AS (SELECT q.id, f.ref_id, (q.x-f.x)*(q.x-f.x) + (q.y-f.y)*(q.y-f.y) + (q.z-f.z)*(q.z-f.z) AS d2 FROM q CROSS JOIN f),
 n AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY id ORDER BY d2, ref_id) AS rk FROM d)"""
 
 
 def clouds(t):
-    e = t.embeddings.select("vec_id", *[F.col("embedding")[i].cast("double").alias(a) for i, a in zip((12, 13, 14), "xyz")])
-    return e.filter("vec_id % 2 = 0").withColumnRenamed("vec_id", "id"), e.filter("vec_id % 2 = 1").withColumnRenamed("vec_id", "ref_id")
+    e = t.embeddings.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(a) for i, a in zip((12, 13, 14), "xyz")])
+    return (e.filter("label < 5").drop("label").withColumnRenamed("vec_id", "id"),
+            e.filter("label >= 5").drop("label").withColumnRenamed("vec_id", "ref_id"))
 
 
 @query("nearest_within", "J05", f"WITH {NEAR} SELECT id, ref_id, d2 FROM n WHERE rk = 1 AND d2 <= 0.0025")

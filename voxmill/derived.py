@@ -43,9 +43,10 @@ FROM (
 VIEWS["fx_frames"] = """
 SELECT frame, scene, c AS r00, s * sp AS r01, -s * cp AS r02, s AS r10, -c * sp AS r11, c * cp AS r12,
        0e0 AS r20, -cp AS r21, -sp AS r22, tx, ty, tz,
-       64e0 AS fx, 64e0 AS fy, 32e0 AS cx, 24e0 AS cy, heading, pitch
+       64e0 AS fx, 64e0 AS fy, 32e0 AS cx, 24e0 AS cy, heading, pitch, split
 FROM (
   SELECT CAST(s_suppkey AS INT) AS frame, CAST(FLOOR(s_suppkey / 20) AS INT) AS scene,
+         CASE WHEN s_suppkey % 5 < 2 THEN 'test' ELSE 'train' END AS split,
          CASE s_suppkey % 4 WHEN 0 THEN 1e0 WHEN 1 THEN 0.6e0 WHEN 2 THEN 0e0 ELSE -0.6e0 END AS c,
          CASE s_suppkey % 4 WHEN 0 THEN 0e0 WHEN 1 THEN 0.8e0 WHEN 2 THEN 1e0 ELSE 0.8e0 END AS s,
          CASE s_suppkey % 3 WHEN 0 THEN 1e0 WHEN 1 THEN 0.96e0 ELSE 0.8e0 END AS cp,

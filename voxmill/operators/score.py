@@ -228,7 +228,7 @@ def completion_identity(cube: DataFrame) -> DataFrame:
     """Zero rows unless the per-class split stops adding up to the binary matrix."""
     b = binary_matrix(cube)
     s = completion_by_class(cube).agg(F.sum("tp_any").alias("a"), F.sum("left_empty").alias("e"), F.sum("fp_any").alias("i"))
-    return b.crossJoin(F.broadcast(s)).filter("tp <> a OR fn <> e OR fp <> i").select("tp", "fp", "fn", "a", "e", "i")
+    return b.join(F.broadcast(s)).filter("tp <> a OR fn <> e OR fp <> i").select("tp", "fp", "fn", "a", "e", "i")
 
 
 def presence(vox: DataFrame) -> DataFrame:
