@@ -82,8 +82,8 @@ def within_scene(t):
     return r(A.scene_pairs(t.fx_voxels, t.fx_frames, 2), 6, "d_sc", "d_ssc")
 
 
-@query("within_scene_summary", "E24", f"""WITH {SCENES} SELECT 'd_sc' AS name, ROUND(QUANTILE_CONT(d_sc, 0.5), 6) AS median, COUNT(*) AS scenes, AVG((d_sc > 0)::INT) AS win_share FROM pr
-UNION ALL SELECT 'd_ssc', ROUND(QUANTILE_CONT(d_ssc, 0.5), 6), COUNT(*), AVG((d_ssc > 0)::INT) FROM pr""")
+@query("within_scene_summary", "E24", f"""WITH {SCENES} SELECT 'd_sc' AS name, ROUND(QUANTILE_CONT(d_sc, 0.5), 6) AS median, COUNT(*) AS scenes, AVG((d_sc > 0)::INT) AS win_share FROM pr HAVING COUNT(*) > 0
+UNION ALL SELECT 'd_ssc', ROUND(QUANTILE_CONT(d_ssc, 0.5), 6), COUNT(*), AVG((d_ssc > 0)::INT) FROM pr HAVING COUNT(*) > 0""")
 def within_scene_summary(t):
     return r(A.pair_summary(A.scene_pairs(t.fx_voxels, t.fx_frames, 2)), 6, "median")
 

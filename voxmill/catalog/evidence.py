@@ -134,7 +134,7 @@ d AS (SELECT m.*, (SELECT MIN(ABS(o.ix - m.ix) + ABS(o.iy - m.iy) + ABS(o.iz - m
 SELECT CAST(q.k AS INT) AS within, COUNT(*) AS n, SUM(COALESCE(r <= q.k, FALSE)::INT)::BIGINT AS hits, ROUND(SUM(COALESCE(r <= q.k, FALSE)::INT) * 1.0 / COUNT(*), 9) AS share
 FROM d CROSS JOIN (SELECT UNNEST([0, 1, 2]) AS k) q GROUP BY q.k""")
 def map_agreement(t):
-    return E.agreement_within(world(t).filter("measured"), t.fx_occupied, 2, ["room"]).withColumn("share", F.round("share", 9))
+    return E.agreement_within(world(t).filter("measured"), t.fx_occupied, 2, ["room"]).filter("n > 0").withColumn("share", F.round("share", 9))
 
 
 @query("carved_claims", "W14", """
