@@ -1,8 +1,10 @@
 """The operators bound to the test tables, one query each, with check SQL where SQL can state it."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from voxmill.llm import tokens, warc
+from voxmill.llm import language, tokens, toxicity, warc
+from voxmill.llm.shared import remainder
 
 QUERIES = {}
 CHECKS = {}
@@ -26,12 +28,34 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query("op1_language_model")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document under a backoff model of those that are not held out."""
+    held_out = remainder("doc_id", 7) == 2
+    scored = language.score(table(spark, folder, "documents"), ~held_out)
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query("op5_token_counts")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens of every document as word_bpe_49k counts them."""
     return tokens.token_counts(table(spark, folder, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def toxicity_machine(docs: DataFrame, labels: DataFrame, positives: int = 4000, negatives: int = 8000) -> toxicity.Machine:
+    """Fitted on at most so many labelled rows, none of those that are held out."""
+    return toxicity.fit(toxicity.sample(docs, labels, remainder("doc_id", 3) != 1, positives, negatives))
+
+
+@query("op8_toxicity")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    """The toxicity score of every document."""
+    docs = table(spark, folder, "documents")
+    scored = toxicity.score(docs, toxicity_machine(docs, table(spark, folder, "labels")))
+    return scored.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score",
+                         F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
 @query("op10_warc", """
     WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
     d AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS payload_digest FROM p),
