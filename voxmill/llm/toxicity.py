@@ -84,8 +84,8 @@ def informative(ids: np.ndarray, rows: np.ndarray, label: np.ndarray, least: flo
     return np.sort(names[best[g[best] >= least]])
 
 
-def fit(rows: DataFrame, factors: int = 8, least: float = 15.0, most: int = 20_000, epochs: int = 30, rate: float = 0.1,
-        penalty: float = 1e-4, seed: int = 7) -> Machine:
+def fit(rows: DataFrame, factors: int = 8, least: float = 11.0, most: int = 20_000, epochs: int = 80, rate: float = 0.2,
+        penalty: float = 1e-5, seed: int = 7) -> Machine:
     """Fit on the sample's rows, a bounded number, with AdaGrad on the logistic loss."""
     got = rows.toArrow()
     label = got.column("label").to_numpy().astype(np.float64)
