@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxmill.llm import language, tokens, toxicity, warc
+from voxmill.llm import language, lines, mixing, tokens, toxicity, warc
 from voxmill.llm.shared import remainder
 
 QUERIES = {}
@@ -36,6 +36,70 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+MIX_SQL = """
+    WITH RECURSIVE t AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(text, '') AS body FROM {docs}),
+    r AS (SELECT doc_id, source, len(regexp_extract_all(body, '[^\\x20\\x09-\\x0D]+')) AS n_tokens,
+                 ('0x' || substr(md5('0/' || coalesce(doc_id::VARCHAR, '') || '/' || md5(body)), 1, 12))::BIGINT AS h FROM t),
+    s AS (SELECT source, sum(n_tokens)::BIGINT AS tokens FROM r GROUP BY 1),
+    g AS (SELECT i, source, tokens, pow(tokens / (SELECT sum(tokens) FROM s)::DOUBLE, i / 4096.0) AS p
+          FROM s, range(0, 4097) AS x(i) WHERE tokens > 0),
+    w AS (SELECT i, source, tokens, p / sum(p) OVER (PARTITION BY i) AS w FROM g),
+    e AS (SELECT i, -sum(w * ln(w)) >= 0.98 * ln(count(*)) - 1e-9 AS even,
+                 bool_and(w * (SELECT sum(tokens) FROM s) <= 4.0 * tokens + 1e-6) AS few FROM w GROUP BY i),
+    c AS (SELECT greatest(max(i) FILTER (even), coalesce(min(i) FILTER (few), 4096)) AS i FROM e),
+    plan AS (SELECT source, greatest(1, -((-tokens) // 1048576)) AS blocks, x // tokens AS whole, x % tokens AS rest
+             FROM (SELECT source, tokens, floor(w * (SELECT sum(tokens) FROM s) + 0.5)::BIGINT AS x FROM w JOIN c USING (i))
+             UNION ALL SELECT source, 1, 0, 0 FROM s WHERE tokens = 0),
+    b AS (SELECT r.*, h % blocks AS block, whole, rest FROM r JOIN plan USING (source)),
+    k AS (SELECT source, block, whole, rest, sum(n_tokens) AS tokens, unnest(range(0, whole + 1)) AS epoch FROM b GROUP BY 1, 2, 3, 4),
+    o AS (SELECT *, ('0x' || substr(md5('0/' || epoch || '/' || source || '/' || block), 1, 12))::BIGINT AS m FROM k),
+    q AS (SELECT *, row_number() OVER (PARTITION BY source, epoch ORDER BY m, block) - 1 AS place,
+                 sum(tokens) OVER (PARTITION BY source, epoch ORDER BY m, block) AS upto FROM o),
+    l AS (SELECT source, block, epoch, place, tokens, CASE WHEN epoch < whole THEN tokens ELSE rest - upto + tokens END AS room, epoch < whole AS every FROM q),
+    d AS (SELECT b.doc_id, b.source, b.n_tokens, l.epoch, l.block, l.place, room, tokens,
+                 sum(b.n_tokens) OVER (PARTITION BY b.source, l.block, l.epoch ORDER BY b.h, b.n_tokens, b.doc_id) AS upto
+          FROM b JOIN l ON b.source = l.source AND b.block = l.block WHERE every OR room > 0)
+    SELECT doc_id, source, n_tokens::BIGINT AS n_tokens, epoch::BIGINT AS epoch, block::BIGINT AS block, place::INTEGER AS place
+    FROM d WHERE room >= tokens OR upto <= room"""
+
+LINES_SQL = """
+    t AS (SELECT doc_id, coalesce(text, '') AS body FROM {docs}),
+    l0 AS (SELECT doc_id, body, string_split(body, chr(10)) AS ls FROM t),
+    l1 AS (SELECT doc_id, body, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS line_no FROM l0),
+    l2 AS (SELECT *, regexp_replace(line, '[^\\x20\\x09-\\x0D0-9]*[0-9][^\\x20\\x09-\\x0D]*', '<*>', 'g') AS masked FROM l1),
+    l3 AS (SELECT *, regexp_extract_all(masked, '[^\\x20\\x09-\\x0D]+') AS toks FROM l2),
+    l4 AS (SELECT *, len(toks) AS n, len(toks)::VARCHAR || chr(1) || array_to_string(toks[1:3], chr(1)) AS leaf FROM l3),
+    l5 AS (SELECT *, coalesce(lag(leaf) OVER u, '') || chr(2) || coalesce(lead(leaf) OVER u, '') AS around FROM l4
+           WINDOW u AS (PARTITION BY doc_id, body ORDER BY line_no)),
+    ln AS (SELECT * FROM l5 WHERE n > 0),
+    kinds AS (SELECT leaf, masked, any_value(toks) AS toks, count(*) AS c FROM ln
+              WHERE leaf IN (SELECT leaf FROM ln GROUP BY 1 HAVING count(*) >= 10) GROUP BY 1, 2),
+    parts AS (SELECT leaf, masked, c, unnest(toks) AS token, generate_subscripts(toks, 1) AS place FROM kinds),
+    held AS (SELECT *, sum(c) OVER (PARTITION BY leaf, place, token) >= 10 AS known FROM parts),
+    shapes AS (SELECT leaf, masked, string_agg(CASE WHEN known THEN token ELSE '<*>' END, ' ' ORDER BY place) AS template FROM held
+               GROUP BY 1, 2 HAVING avg(known::INTEGER) >= 0.6),
+    found AS (SELECT doc_id, body, line_no, around, leaf, template FROM ln JOIN shapes USING (leaf, masked)),
+    often AS (SELECT leaf, template FROM found GROUP BY 1, 2 HAVING count(DISTINCT around) >= 10 AND count(DISTINCT around) >= 0.5 * count(*)),
+    gone AS (SELECT doc_id, body, line_no FROM found JOIN often USING (leaf, template)),
+    kept AS (SELECT doc_id, body, count(*) AS n_lines, count(*) FILTER (gone.line_no IS NOT NULL) AS n_dropped,
+                    coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (gone.line_no IS NULL), '') AS kept_text
+             FROM l1 LEFT JOIN gone USING (doc_id, body, line_no) GROUP BY 1, 2)"""
+
+
+@query("op2_mixing", MIX_SQL.format(docs="documents"))
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents drawn so that sources have their temperature weights."""
+    return mixing.mix(table(spark, folder, "documents"))
+
+
+@query("op4_line_dedup", f"""WITH {LINES_SQL.format(docs="documents")}
+    SELECT doc_id, n_lines::INTEGER AS n_lines, n_dropped::INTEGER AS n_dropped, sha256(kept_text) AS kept_sha256 FROM kept""")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without its boilerplate lines."""
+    kept = lines.drop_recurring(table(spark, folder, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("kept_text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 @query("op5_token_counts")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens of every document as word_bpe_49k counts them."""

@@ -64,3 +64,10 @@ class Hashes(dict):
 def utf8(column) -> list[bytes]:
     """Texts of an Arrow column as UTF-8 bytes."""
     return column.cast(pa.large_binary()).to_pylist()
+
+
+def small(batches, rows: int = 256):
+    """Arrow batches in slices of few rows, so that long texts are not all unpacked at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

@@ -5,7 +5,9 @@ pieces of a text are those of its runs, special strings in a run included, and t
 counts each distinct run once.
 """
 
+import functools
 import itertools
+import os
 from collections import Counter
 from collections.abc import Iterator
 
@@ -13,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxmill.llm.shared import keyed, stored, utf8
+from voxmill.llm.shared import keyed, small, stored, utf8
 
 _FREQUENT = pa.schema([("token", pa.binary()), ("n", pa.int64())])
 _PIECES = pa.schema([("token", pa.binary()), ("n", pa.int64()), ("pieces", pa.int64())])
@@ -21,11 +23,11 @@ _COUNTED = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("token", pa.
                       ("n_bytes", pa.int64())])
 
 
-def pretoken_counts(rows: DataFrame, held: int = 400_000) -> DataFrame:
+def pretoken_counts(rows: DataFrame, held: int = 250_000) -> DataFrame:
     """``token, n``: distinct pre-tokens of ``text`` and how often they occur, summed in the task first."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
-        for batch in batches:
+        for batch in small(batches):
             for text in utf8(batch.column(0)):
                 seen.update(text.split())
                 if len(seen) > held:
@@ -42,17 +44,22 @@ def _slices(seen: Counter) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in part], pa.binary()), pa.array([v for _, v in part], pa.int64())], schema=_FREQUENT)
 
 
+@functools.cache
+def _tokenizer(file: str):
+    """Loaded once a process; a task counts on its own core."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+    return Tokenizer.from_file(file)
+
+
 def piece_counts(counts: DataFrame, tokenizer: str) -> DataFrame:
     """``token, n, pieces``: the library's count for each distinct pre-token. ``tokenizer`` is a file of all executors."""
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-        encode = Tokenizer.from_file(tokenizer).encode_batch_fast
-        for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                texts = [t.decode() for t in part.column(0).to_pylist()]
-                found = [len(e) for e in encode(texts, add_special_tokens=False)]
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.binary()), part.column(1), pa.array(found, pa.int64())], schema=_PIECES)
+        encode = _tokenizer(tokenizer).encode_batch_fast
+        for part in small(batches, 1024):
+            texts = [t.decode() for t in part.column(0).to_pylist()]
+            found = [len(e) for e in encode(texts, add_special_tokens=False)]
+            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.binary()), part.column(1), pa.array(found, pa.int64())], schema=_PIECES)
 
     return counts.mapInArrow(pieces, "token binary, n long, pieces long")
 
@@ -73,7 +80,7 @@ def token_counts(docs: DataFrame, tokenizer: str, doc_id="doc_id", text="text",
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = known.value
-        for batch in batches:
+        for batch in small(batches):
             out: list[tuple] = []
             for key, doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2))):
                 words = text.split()
