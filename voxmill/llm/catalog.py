@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxmill.llm import language, lines, mixing, tokens, toxicity, warc
+from voxmill.llm import language, lines, mixing, substrings, tokens, toxicity, warc
 from voxmill.llm.shared import remainder
 
 QUERIES = {}
@@ -106,6 +106,22 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.token_counts(table(spark, folder, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+@query("op6_substring_dedup", """
+    WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+    s AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20),
+    n AS (SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(w[i:i + 19], ' ') ORDER BY doc_id, i) AS r FROM s),
+    g AS (SELECT DISTINCT doc_id, i + k AS j FROM n, range(0, 20) AS x(k) WHERE r > 1),
+    e AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS j FROM d),
+    k AS (SELECT doc_id, count(g.j) AS n_removed, string_agg(word, ' ' ORDER BY j) FILTER (g.j IS NULL) AS kept
+          FROM e LEFT JOIN g USING (doc_id, j) GROUP BY 1)
+    SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+    FROM d LEFT JOIN k USING (doc_id)""")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the words of repeated 20-word windows."""
+    kept = substrings.drop_repeats(table(spark, folder, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def toxicity_machine(docs: DataFrame, labels: DataFrame, positives: int = 4000, negatives: int = 8000) -> toxicity.Machine:
     """Fitted on at most so many labelled rows, none of those that are held out."""
     return toxicity.fit(toxicity.sample(docs, labels, remainder("doc_id", 3) != 1, positives, negatives))
