@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxmill.llm import language, lines, mixing, substrings, tokens, toxicity, warc
+from voxmill.llm import language, leaks, lines, mixing, pairs, substrings, tokens, toxicity, warc
 from voxmill.llm.shared import remainder
 
 QUERIES = {}
@@ -92,6 +92,12 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"))
 
 
+@query("op3_decontamination")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    """Which document leaks which benchmark item, and where."""
+    return leaks.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @query("op4_line_dedup", f"""WITH {LINES_SQL.format(docs="documents")}
     SELECT doc_id, n_lines::INTEGER AS n_lines, n_dropped::INTEGER AS n_dropped, sha256(kept_text) AS kept_sha256 FROM kept""")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
@@ -122,6 +128,12 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+@query("op7_jaccard_join")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its class, links and group at similarity 0.8 of five-word shingles."""
+    return pairs.jaccard_groups(table(spark, folder, "documents"))
+
+
 def toxicity_machine(docs: DataFrame, labels: DataFrame, positives: int = 4000, negatives: int = 8000) -> toxicity.Machine:
     """Fitted on at most so many labelled rows, none of those that are held out."""
     return toxicity.fit(toxicity.sample(docs, labels, remainder("doc_id", 3) != 1, positives, negatives))

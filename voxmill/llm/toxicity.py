@@ -66,12 +66,17 @@ def sample(docs: DataFrame, labels: DataFrame, learn: Column, positives: int, ne
     return rows.mapInArrow(features, "label int, features array<long>")
 
 
-def informative(ids: np.ndarray, rows: np.ndarray, label: np.ndarray, least: float, most: int) -> np.ndarray:
-    """Sorted ids whose likelihood ratio against the label is ``least`` or more, the ``most`` greatest."""
-    names, at = np.unique(ids, return_inverse=True)
-    n1, n0 = max(label.sum(), 1), max((1 - label).sum(), 1)
-    a = np.bincount(at, label[rows], len(names))
-    b = np.bincount(at, 1 - label[rows], len(names))
+def informative(ones: np.ndarray, zeros: np.ndarray, n1: int, n0: int, least: float, most: int) -> np.ndarray:
+    """Sorted ids whose likelihood ratio against the label is ``least`` or more, the ``most`` greatest.
+
+    ``ones`` and ``zeros`` hold the ids of all rows of either label, each row's ids once.
+    """
+    found = [np.unique(x, return_counts=True) for x in (ones, zeros)]
+    names = np.union1d(found[0][0], found[1][0])
+    a, b = np.zeros(len(names)), np.zeros(len(names))
+    for x, (ids, n) in zip((a, b), found):
+        x[np.searchsorted(names, ids)] = n
+    n1, n0 = max(n1, 1), max(n0, 1)
     q = (a + b) / (n1 + n0)
 
     def part(x, n):
@@ -87,14 +92,22 @@ def informative(ids: np.ndarray, rows: np.ndarray, label: np.ndarray, least: flo
 def fit(rows: DataFrame, factors: int = 8, least: float = 11.0, most: int = 20_000, epochs: int = 80, rate: float = 0.2,
         penalty: float = 1e-5, seed: int = 7) -> Machine:
     """Fit on the sample's rows, a bounded number, with AdaGrad on the logistic loss."""
-    got = rows.toArrow()
-    label = got.column("label").to_numpy().astype(np.float64)
-    lists = got.column("features").combine_chunks()
-    ids = lists.flatten().to_numpy().astype(np.uint32)
-    row = np.repeat(np.arange(len(label)), lists.value_lengths().to_numpy().astype(np.int64))
-    features = informative(ids, row, label, least, most)
-    held = np.isin(ids, features)
-    ids, row = np.searchsorted(features, ids[held]), row[held]
+    label, ids, row = [], [], []
+    for batch in rows.toArrow().to_batches(max_chunksize=256):
+        lists = batch.column(1)
+        row.append(np.repeat(np.arange(len(label), len(label) + batch.num_rows, dtype=np.int32), lists.value_lengths().to_numpy(zero_copy_only=False)))
+        ids.append(lists.flatten().to_numpy().astype(np.uint32))
+        label += batch.column(0).to_pylist()
+    label = np.array(label, np.float64)
+    ids, row = np.concatenate(ids or [np.zeros(0, np.uint32)]), np.concatenate(row or [np.zeros(0, np.int32)])
+    one = label[row] > 0
+    features = informative(ids[one], ids[~one], int(label.sum()), int((1 - label).sum()), least, most)
+    at = np.searchsorted(features, ids)
+    held = np.zeros(len(ids), bool)
+    if len(features):
+        held = features[np.minimum(at, len(features) - 1)] == ids
+    ids, row = at[held], row[held]
+    del at, held, one
     bounds = np.searchsorted(row, np.arange(len(label) + 1))
     rng = np.random.default_rng(seed)
     share = min(max(label.mean() if len(label) else 0.0, 1e-3), 1 - 1e-3)
