@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxmill.llm import language, leaks, lines, mixing, pairs, substrings, tokens, toxicity, warc
+from voxmill.llm import language, leaks, lines, mixing, pairs, search, substrings, tokens, toxicity, warc
 from voxmill.llm.shared import remainder
 
 QUERIES = {}
@@ -148,6 +148,22 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
                          F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
 
 
+@query("op9_top_k_search", """
+    WITH t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+    p AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM t) GROUP BY 1, 2, 3),
+    g AS (SELECT count(*) AS n, sum(len(w)) / count(*) AS avgdl FROM t),
+    f AS (SELECT term, ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM p, g GROUP BY 1 HAVING count(*) > 1),
+    q AS (SELECT doc_id AS query_id, term, idf FROM p JOIN f USING (term) WHERE doc_id % 20 = 0
+          QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY tf * idf DESC, term) <= 16),
+    s AS (SELECT query_id, p.doc_id, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 9) AS score
+          FROM q JOIN p USING (term), g GROUP BY 1, 2)
+    SELECT query_id, (row_number() OVER w)::INTEGER AS rank, doc_id, score FROM s
+    WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER w <= 10""")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    """For every 20th document, as a query of its 16 most specific terms, the 10 best of all documents."""
+    return search.search(table(spark, folder, "documents"), F.col("doc_id") % 20 == 0, terms=16)
+
+
 @query("op10_warc", """
     WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
     d AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS payload_digest FROM p),
