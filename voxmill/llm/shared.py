@@ -24,6 +24,8 @@ def folder(spark: SparkSession, name: str) -> str:
         if not (sc.master == "local" or sc.master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = sc.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='voxmill-llm-')}"
+    if base.startswith("file:/") and not base.startswith("file://"):
+        base = "file://" + base[5:]  # as Hadoop writes it
     return f"{base.rstrip('/')}/voxmill-llm/{sc.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
