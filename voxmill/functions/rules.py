@@ -1,58 +1,99 @@
 """Step rules whose next answer depends on their own past.
 
 Each rule is a start state and a step on one record; batch folds and streams share them.
-States hold only what the rule can still remember, so they are small and forget.
+A state is a small JSON value that holds only what the rule can still remember.
 """
 
+import bisect
 import math
-from statistics import median
 
+# Fixed values of the tracking gate and its adaptive floor.
 MIN_FITNESS = 0.1
 MAX_SPEED_M_S = 1.0
 MAX_TURN_DEG_S = 120.0
 DT_FALLBACK_S = 0.5
 LOST_AFTER = 15
-FITNESS_FRACTION, FITNESS_CAP, FITNESS_WINDOW, FITNESS_SAMPLES, CONFIRM_FRAMES = 0.6, 0.55, 30, 5, 3
+CONFIRM_FRAMES = 3
+FITNESS_FRACTION = 0.6
+FITNESS_CAP = 0.55
+FITNESS_WINDOW = 30
+FITNESS_SAMPLES = 5
 
 
 def missing(x) -> bool:
     return x is None or (isinstance(x, float) and math.isnan(x))
 
 
+def over(x, limit: float) -> bool:
+    """A value that was not measured is over no limit."""
+    return not missing(x) and x > limit
+
+
+class Recent:
+    """The last believed fitness values, in arrival order and, beside it, sorted."""
+
+    def __init__(self, values: list[float]):
+        self.arrived, self.ranked = values, sorted(values)
+
+    def floor(self) -> float:
+        n = len(self.ranked)
+        if n < FITNESS_SAMPLES:
+            return MIN_FITNESS
+        middle = (self.ranked[(n - 1) // 2] + self.ranked[n // 2]) / 2
+        return min(max(FITNESS_FRACTION * middle, MIN_FITNESS), FITNESS_CAP)
+
+    def add(self, value: float) -> None:
+        if len(self.arrived) == FITNESS_WINDOW:
+            self.ranked.pop(bisect.bisect_left(self.ranked, self.arrived.pop(0)))
+        self.arrived.append(value)
+        bisect.insort(self.ranked, value)
+
+
+def tracking_fault(row: dict, floor: float, dt: float, jumps: bool = True) -> str | None:
+    """Why a tracked frame cannot be believed. What the tracker could not measure is a fault too."""
+    if not missing(row.get("error")):
+        return "error"
+    if missing(row["fitness"]):
+        return "no fitness"
+    if row["fitness"] < floor:
+        return "fitness"
+    if jumps and (over(row["step_m"], MAX_SPEED_M_S * dt) or over(row["turn_deg"], MAX_TURN_DEG_S * dt)):
+        return "jump"
+    return None
+
+
 def belief_start() -> dict:
-    return {"fits": [], "good": 0, "run_lost": 0, "lost": False}
+    """``phase`` is tracking, lost or probing; ``count`` its faults in a row or, probing, its agreeing frames."""
+    return {"phase": "tracking", "count": 0, "recent": []}
 
 
 def belief_step(dt: float = DT_FALLBACK_S, lost_after: int = LOST_AFTER, confirm: int = CONFIRM_FRAMES):
     """-> step(state, row): may this frame be integrated, is it a candidate, or is it dropped?
 
-    The fitness floor follows the run (0.6 of the median of the last 30 believed frames,
-    within 0.1..0.55). A lost pose needs ``confirm`` agreeing frames, and the first of
-    them is excused from the jump gate."""
+    Tracking turns lost after ``lost_after`` faults in a row. From lost, the first frame without a
+    fault, whose jump is excused, starts probing; ``confirm`` of them in a row are tracking again,
+    and a fault before that is lost again."""
     def step(s: dict, row: dict) -> dict:
-        fits = s["fits"]
-        floor = MIN_FITNESS
-        if len(fits) >= FITNESS_SAMPLES:
-            floor = max(MIN_FITNESS, min(FITNESS_CAP, FITNESS_FRACTION * median(fits)))
-        why = None
-        excused = s["lost"] and s["good"] == 0
-        if row["fitness"] < floor:
-            why = "fitness %.3f" % row["fitness"]
-        elif not excused and not missing(row["step_m"]):
-            if row["step_m"] > MAX_SPEED_M_S * dt or row["turn_deg"] > MAX_TURN_DEG_S * dt:
-                why = "jump %.3f m / %.1f deg" % (row["step_m"], row["turn_deg"])
-        if why is not None:
-            s["good"] = 0
-            s["run_lost"] = min(s["run_lost"] + 1, lost_after)
-            s["lost"] = s["lost"] or s["run_lost"] >= lost_after
-            return {"verb": "drop", "why": why, "lost": s["lost"], "reacquired": 0}
-        s["good"] += 1
-        if s["lost"] and s["good"] < confirm:
-            return {"verb": "confirm", "why": None, "lost": True, "reacquired": 0}
-        again = int(s["lost"])
-        s["fits"] = (fits + [float(row["fitness"])])[-FITNESS_WINDOW:]
-        s["good"], s["run_lost"], s["lost"] = 0, 0, False
-        return {"verb": "integrate", "why": None, "lost": False, "reacquired": again}
+        recent = Recent(s["recent"])
+        why = tracking_fault(row, recent.floor(), dt, jumps=s["phase"] != "lost")
+        if s["phase"] == "tracking":
+            s["count"] = s["count"] + 1 if why else 0
+            if s["count"] >= lost_after:
+                s["phase"], s["count"] = "lost", 0
+            back = False
+        else:
+            s["phase"], s["count"] = ("lost", 0) if why else ("probing", s["count"] + 1)
+            back = s["count"] >= confirm
+            if back:
+                s["phase"], s["count"] = "tracking", 0
+        if why:
+            verb = "drop"
+        elif s["phase"] == "tracking":
+            verb = "integrate"
+            recent.add(float(row["fitness"]))
+        else:
+            verb = "confirm"
+        return {"verb": verb, "why": why, "lost": s["phase"] != "tracking", "reacquired": int(back)}
     return step
 
 
@@ -60,25 +101,26 @@ BELIEF_OUT = "verb string, why string, lost boolean, reacquired int"
 
 
 def gravity_start() -> dict:
-    return {"mag": None, "up": None}
+    return {"held": None}
 
 
 def gravity_step(tol: float = 0.08, ema_up: float = 0.25, ema_mag: float = 0.02):
-    """-> step(state, row) smoothing the accelerometer: a sample counts only while its
-    magnitude is within ``tol`` of the running one."""
+    """-> step(state, row): exponential means of direction and magnitude, over the samples whose
+    magnitude is within ``tol`` of its mean. The first sample that is not zero starts both."""
+    keep = (1 - ema_up, 1 - ema_up, 1 - ema_up, 1 - ema_mag)
+    take = (ema_up, ema_up, ema_up, ema_mag)
+
     def step(s: dict, row: dict) -> dict:
-        v = (row["x"], row["y"], row["z"])
-        mag = math.sqrt(v[0] * v[0] + v[1] * v[1] + v[2] * v[2])
-        used = False
-        if mag >= 1e-3:
-            if s["mag"] is None:
-                s["mag"], s["up"], used = mag, list(v), True
-            elif abs(mag - s["mag"]) <= tol * s["mag"]:
-                s["up"] = [(1 - ema_up) * a + ema_up * b for a, b in zip(s["up"], v)]
-                s["mag"] = (1 - ema_mag) * s["mag"] + ema_mag * mag
-                used = True
-        up = s["up"] or (None, None, None)
-        return {"ux": up[0], "uy": up[1], "uz": up[2], "used": used}
+        sample = [row["x"], row["y"], row["z"]]
+        known = not any(missing(a) for a in sample)
+        if known:
+            sample.append(math.sqrt(sum(a * a for a in sample)))
+        held = s["held"]
+        used = known and sample[3] >= 1e-3 and (held is None or abs(sample[3] - held[3]) <= tol * held[3])
+        if used:
+            s["held"] = held = sample if held is None else [k * a + t * b for k, a, t, b in zip(keep, held, take, sample)]
+        ux, uy, uz = held[:3] if held else (None, None, None)
+        return {"ux": ux, "uy": uy, "uz": uz, "used": used}
     return step
 
 

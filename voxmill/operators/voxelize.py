@@ -149,24 +149,39 @@ def frustum_labels(vox: DataFrame, frames: DataFrame, grid: Grid, width: int, he
 
 # ---- solids --------------------------------------------------------------
 
-def _inside_box(p, h):
-    return reduce(lambda a, b: a & b, [F.abs(x) <= e + 1e-9 for x, e in zip(p, h)])
+EDGE = 1e-9  # cells whose centre lies on a face are inside
 
 
-def _inside_cylinder(p, h):
-    e = [F.greatest(x, F.lit(1e-9)) for x in h]
-    return ((p[0] / e[0]) * (p[0] / e[0]) + (p[1] / e[1]) * (p[1] / e[1]) <= 1.0) & (F.abs(p[2]) <= h[2] + 1e-9)
+def half_spaces(*planes):
+    """Containment in the intersection of ``a . (p / h) <= b``, on a solid's own coordinates ``p`` and half sizes ``h``.
 
+    Multiplied through by the half sizes, so that a flat solid divides by nothing."""
+    def test(p, h):
+        sides = []
+        for a, b in planes:
+            axes = [i for i in range(3) if a[i]]
+            scale = [reduce(lambda x, y: x * y, [h[k] for k in axes if k != i], F.lit(1.0)) for i in axes]
+            reach = reduce(lambda x, y: x * y, [h[k] for k in axes], F.lit(1.0))
+            sides.append(sum((a[i] * p[i] * s for i, s in zip(axes, scale)), F.lit(0.0)) <= b * reach + EDGE)
+        return reduce(lambda x, y: x & y, sides)
+    return test
 
-def _inside_wedge(p, h):
-    t = (p[0] + h[0]) / F.greatest(2.0 * h[0], F.lit(1e-9))
-    top = h[2] - 2.0 * h[2] * t
-    return ((F.abs(p[0]) <= h[0] + 1e-9) & (F.abs(p[1]) <= h[1] + 1e-9)
-            & (p[2] >= -h[2] - 1e-9) & (p[2] <= top + 1e-9))
 
+FACES_OF_BOX = [(tuple(s if i == j else 0 for j in range(3)), 1) for i in range(3) for s in (1, -1)]
 
-# shape name -> containment test on the solid's own coordinates and half sizes
-PAINTERS = {"box": _inside_box, "cylinder": _inside_cylinder, "wedge": _inside_wedge}
+
+def elliptic(p, h):
+    """Within the upright ellipse of the first two half sizes."""
+    return p[0] * p[0] * h[1] * h[1] + p[1] * p[1] * h[0] * h[0] <= h[0] * h[0] * h[1] * h[1]
+
+
+CAPS = half_spaces(*FACES_OF_BOX[4:])
+# shape name -> containment test; a wedge is the box below its slope, a cylinder an ellipse between caps
+PAINTERS = {
+    "box": half_spaces(*FACES_OF_BOX),
+    "wedge": half_spaces(*FACES_OF_BOX, ((1, 0, 1), 0)),
+    "cylinder": lambda p, h: elliptic(p, h) & CAPS(p, h),
+}
 
 
 def solid_cells(solids: DataFrame, grid: Grid, key: str = "room") -> DataFrame:

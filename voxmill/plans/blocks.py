@@ -28,12 +28,17 @@ def block_prefix(blocks: DataFrame, keys: list[str], block: str, value: str, out
             .withColumn(out, F.coalesce(join(F.col("in_"), F.col("top_")), F.lit(start))).drop("super_", "in_", "top_"))
 
 
+def ordered(column: str) -> Column:
+    """The column, or an error: a row without a place in the order can neither be indexed nor dropped."""
+    return F.coalesce(F.col(column), F.raise_error(F.lit(f"a row has no {column}, the order of its series")).cast("long"))
+
+
 def row_index(df: DataFrame, keys: list[str], order: str, width: float, out: str = "rn") -> DataFrame:
     """Contiguous 0-based index of each row within its key, by ``order``.
 
     ``order`` must be unique within a key. A block then has at most ``width`` rows
-    for an integer order, or rate x width for a time."""
-    b = df.withColumn("blk_", F.floor(F.col(order) / F.lit(width)))
+    for an integer order, or rate x width for a time. A NULL order is an error."""
+    b = df.withColumn("blk_", F.floor(ordered(order) / F.lit(width)))
     counts = b.groupBy(*keys, "blk_").agg(F.count(F.lit(1)).alias("n_"))
     offs = block_prefix(counts, keys, "blk_", "n_", "off_").select(*keys, "blk_", "off_")
     inner = W.partitionBy(*keys, "blk_").orderBy(order)
@@ -45,7 +50,7 @@ def row_index(df: DataFrame, keys: list[str], order: str, width: float, out: str
 def running(df: DataFrame, keys: list[str], index: str, value: Column, out: str, width: int = FAN,
             how=F.sum, inclusive: bool = True) -> DataFrame:
     """Running sum, max or min along an integer order, up to and including each row or before it."""
-    b = df.withColumn("blk_", F.floor(F.col(index) / width)).withColumn("val_", value)
+    b = df.withColumn("blk_", F.floor(ordered(index) / width)).withColumn("val_", value)
     per = b.groupBy(*keys, "blk_").agg(how("val_").alias("s_"))
     start = 0 if how is F.sum else None
     offs = block_prefix(per, keys, "blk_", "s_", "off_", how, start).select(*keys, "blk_", "off_")
