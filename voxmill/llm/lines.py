@@ -10,18 +10,25 @@ stay for the near-duplicate stage.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxmill.llm.shared import SPACE, stored
+from voxmill.llm.shared import stored
 
 FIELD = "<*>"
-_DIGITS = r"[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*"
+_DIGITS = r"[^ 0-9]*+[0-9][^ ]*"
 
 
-def _tokens(masked: Column) -> Column:
-    return F.filter(F.split(masked, SPACE), lambda t: t != "")
+def _spaced(lines: Column) -> Column:
+    """Lines with tokens joined by one space. Each costly step runs only on the lines that need it."""
+    lines = F.transform(lines, lambda x: F.trim(F.when(x.rlike(r"[\x09-\x0D]"), F.translate(x, "\t\x0b\x0c\r", "    ")).otherwise(x)))
+    return F.transform(lines, lambda x: F.when(F.contains(x, F.lit("  ")), F.regexp_replace(x, " +", " ")).otherwise(x))
 
 
-def _masked(line: Column) -> Column:
-    return F.when(line.rlike("[0-9]"), F.regexp_replace(line, _DIGITS, FIELD)).otherwise(line)
+def _masked(spaced: Column) -> Column:
+    return F.when(spaced.rlike("[0-9]"), F.regexp_replace(spaced, _DIGITS, FIELD)).otherwise(spaced)
+
+
+def _count(spaced: Column) -> Column:
+    """Tokens, by the spaces between them."""
+    return F.when(spaced == "", 0).otherwise(F.octet_length(spaced) - F.octet_length(F.replace(spaced, F.lit(" "), F.lit(""))) + 1)
 
 
 def _row_keys(doc_id: str, text: str) -> list[Column]:
@@ -31,22 +38,15 @@ def _row_keys(doc_id: str, text: str) -> list[Column]:
 
 
 def tree_lines(docs: DataFrame, depth: int = 3, doc_id="doc_id", text="text") -> DataFrame:
-    """``k1, k2, line_no, masked, n, leaf, around``: every line that has tokens; around hashes both neighbours' leaves."""
-    rows = docs.select(*_row_keys(doc_id, text), F.split(F.coalesce(F.col(text), F.lit("")), "\n").alias("lines"))
-
-    def leaf(line):
-        tokens = _tokens(_masked(line))
-        return F.struct(F.size(tokens).alias("n"), F.xxhash64(F.size(tokens), F.slice(tokens, 1, depth)).alias("leaf"))
-
-    rows = rows.withColumn("leaves", F.transform("lines", leaf))
-    code = F.transform("leaves", lambda x: x["leaf"])
+    """``k1, k2, line_no, masked, leaf, around``: every line that has tokens; around hashes both neighbours' leaves."""
+    rows = docs.select(*_row_keys(doc_id, text), F.transform(_spaced(F.split(F.coalesce(F.col(text), F.lit("")), "\n")), _masked).alias("lines"))
+    code = F.transform("lines", lambda x: F.xxhash64(_count(x), F.substring_index(x, " ", depth)))
+    rows = rows.withColumn("code", code)
     none = F.array(F.lit(0).cast("long"))
-    rows = rows.withColumn("code", code).withColumn(
-        "each", F.arrays_zip(F.col("lines").alias("line"), F.col("leaves").alias("at"), F.concat(none, "code").alias("before"),
-                             F.concat(F.slice("code", F.lit(2), F.greatest(F.size("code") - 1, F.lit(0))), none).alias("after")))
-    rows = rows.select("k1", "k2", F.posexplode("each").alias("line_no", "x")).filter("x.at.n > 0")
-    return rows.select("k1", "k2", "line_no", _masked(F.col("x.line")).alias("masked"), F.col("x.at.n").alias("n"), F.col("x.at.leaf").alias("leaf"),
-                       F.xxhash64("x.before", "x.after").alias("around"))
+    rows = rows.withColumn("each", F.arrays_zip(F.col("lines").alias("masked"), F.col("code").alias("leaf"), F.concat(none, "code").alias("before"),
+                                                F.concat(F.slice("code", F.lit(2), F.greatest(F.size("code") - 1, F.lit(0))), none).alias("after")))
+    rows = rows.select("k1", "k2", F.posexplode("each").alias("line_no", "x")).filter("x.masked <> ''")
+    return rows.select("k1", "k2", "line_no", "x.masked", "x.leaf", F.xxhash64("x.before", "x.after").alias("around"))
 
 
 def recurring_lines(docs: DataFrame, support: int = 10, depth: int = 3, constant: float = 0.6, spread: float = 0.5,
@@ -61,7 +61,7 @@ def recurring_lines(docs: DataFrame, support: int = 10, depth: int = 3, constant
     leaves = lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= support).select("leaf")
     lines = stored(lines.join(leaves, "leaf", "left_semi"), "leaf-lines")
     kinds = lines.groupBy("leaf", "masked").agg(F.count(F.lit(1)).alias("c"))
-    parts = kinds.select("leaf", "masked", "c", F.posexplode(_tokens(F.col("masked"))).alias("place", "token"))
+    parts = kinds.select("leaf", "masked", "c", F.posexplode(F.split("masked", " ")).alias("place", "token"))
     known = parts.groupBy("leaf", "place", "token").agg(F.sum("c").alias("c")).filter(F.col("c") >= support).select("leaf", "place", "token", F.lit(1).alias("known"))
     fields = parts.drop("c").join(known, ["leaf", "place", "token"], "left")
     shape = F.transform(F.array_sort(F.collect_list(F.struct("place", F.when(F.col("known") == 1, F.col("token")).otherwise(FIELD).alias("token")))), lambda x: x["token"])
