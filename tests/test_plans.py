@@ -107,6 +107,48 @@ def test_belief_fold_is_sequential(spark, width):
     assert {"integrate", "confirm", "drop"} == {v[0] for v in got.values()}
 
 
+def test_missing_measurements_drop(spark):
+    rows = [("a", 0, None, 0.9), ("a", 1, None, None), ("a", 2, None, float("nan")), ("a", 3, "no depth", 0.9), ("a", 4, None, 0.9)]
+    df = spark.createDataFrame([(*r, None, None) for r in rows], "capture string, frame long, error string, fitness double, step_m double, turn_deg double")
+    want = [None, "no fitness", "no fitness", "error", None]
+    assert [r.why for r in S.belief(df).orderBy("frame").collect()] == want
+    assert [r.why for r in S.step_gate(df).orderBy("frame").collect()] == want
+
+
+def test_a_lost_capture_is_probed(spark):
+    fits = [0.9] * 6 + [0.05] * 15 + [0.9, 0.05, 0.9, 0.9, 0.9, 0.9]
+    jump = {21: 5.0, 23: 5.0}
+    out = sequential([dict(fitness=f, step_m=jump.get(i), turn_deg=None) for i, f in enumerate(fits)], R.belief_start, R.belief_step())
+    assert [o["verb"] for o in out[21:]] == ["confirm", "drop", "confirm", "confirm", "integrate", "integrate"]
+    assert [o["lost"] for o in out[19:27]] == [False, True, True, True, True, True, False, False] and sum(o["reacquired"] for o in out) == 1
+
+
+@pytest.mark.parametrize("case", ["outlier", "lost"])
+def test_rounds_are_few(spark, case):
+    """A gate locked by its first sample, and a capture lost throughout, over 64 blocks."""
+    n, width, rounds = 64 * 16, 16, []
+    if case == "outlier":
+        rows = [("k", i, 0.0, -60.0 if i == 0 else -9.8, 0.01 * (i % 7)) for i in range(n)]
+        df = spark.createDataFrame(rows, "k string, rn long, x double, y double, z double")
+        got = fold_blocks(df, ["k"], "rn", ["x", "y", "z"], R.gravity_start, R.gravity_step(), R.GRAVITY_OUT, width, rounds).collect()
+        want = sequential([dict(x=r[2], y=r[3], z=r[4]) for r in rows], R.gravity_start, R.gravity_step())
+        assert {r.rn: (r.uy, r.used) for r in got} == {i: (w["uy"], w["used"]) for i, w in enumerate(want)}
+    else:
+        rows = [("k", i, 0.9 if i < 10 else 0.01, None, None) for i in range(n)]
+        df = spark.createDataFrame(rows, "capture string, frame long, fitness double, step_m double, turn_deg double")
+        got = S.belief(df, width=width, rounds=rounds).collect()
+        want = sequential([dict(fitness=r[2], step_m=None, turn_deg=None) for r in rows], R.belief_start, R.belief_step())
+        assert {r.frame: (r.verb, r.lost) for r in got} == {i: (w["verb"], w["lost"]) for i, w in enumerate(want)}
+    assert len(got) == n and 1 < len(rounds) <= 7
+
+
+def test_rows_without_order_are_refused(spark):
+    df = spark.createDataFrame([("a", 1), ("a", None), ("a", 3)], "k string, t long")
+    with pytest.raises(Exception, match="order of its series"):
+        B.row_index(df, ["k"], "t", 16).count()
+        B.row_index(df, ["k"], "t", 16).collect()
+
+
 def test_gravity_fold_is_sequential(spark):
     rng = random.Random(8)
     rows = [(0, i, rng.gauss(0, .1), -9.8 + rng.gauss(0, .1) * (30 if i % 17 == 0 else 1), rng.gauss(0, .1)) for i in range(400)]
@@ -131,8 +173,10 @@ def test_fold_settles_when_state_never_forgets(spark):
 def test_best_height_is_sequential(spark):
     rng = random.Random(2)
     rows = [("a", i, round(rng.uniform(0.4, 1.1) + i / 400, 4) if i % 5 else None) for i in range(300)]
+    rows += [("a", 300 + i, h) for i, h in enumerate([1.0, 2.6, 2.61, 3.1, float("nan"), 3.10004, 3.2])]
     df = spark.createDataFrame(rows, "capture string, frame long, height double")
-    got = [(r.frame, r.value) for r in S.best_height(df).orderBy("frame").collect()]
+    got = [(r.frame, r.value) for r in S.best_height(df, width=4).orderBy("frame").collect()]
+    assert got[-1] == (306, 3.2) and any(v == 2.6 for _, v in got)
     out = sequential([dict(height=r[2]) for r in rows], R.height_start, R.height_step())
     assert got == [(r[1], o["value"]) for r, o in zip(rows, out) if o["took"]]
 

@@ -26,9 +26,20 @@ def hold_gravity(t):
     return r(r(r(g, 7, "mag_std"), 5, "tilt_deg", "pitch_down_deg", "roll_deg"), 4, "offset_at_3m_cm")
 
 
-@query("smoothed_gravity", "T02")
+# The filter as a recursion over the samples of all captures at once.
+GRAVITY = """WITH RECURSIVE f AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY capture ORDER BY idx) AS n, sqrt(x*x + y*y + z*z) AS m FROM fx_imu),
+b(capture, n, idx, ux, uy, uz, mag, used) AS (
+  SELECT DISTINCT capture, 0::BIGINT, NULL::BIGINT, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, FALSE FROM f
+  UNION ALL
+  SELECT capture, n, idx, CASE WHEN ok THEN CASE WHEN mag IS NULL THEN x ELSE 0.75e0 * ux + 0.25e0 * x END ELSE ux END, CASE WHEN ok THEN CASE WHEN mag IS NULL THEN y ELSE 0.75e0 * uy + 0.25e0 * y END ELSE uy END,
+    CASE WHEN ok THEN CASE WHEN mag IS NULL THEN z ELSE 0.75e0 * uz + 0.25e0 * z END ELSE uz END, CASE WHEN ok THEN CASE WHEN mag IS NULL THEN m ELSE 0.98e0 * mag + 0.02e0 * m END ELSE mag END, ok
+  FROM (SELECT b.capture, f.n, f.idx, b.ux, b.uy, b.uz, b.mag, f.x, f.y, f.z, f.m, f.m >= 1e-3 AND (b.mag IS NULL OR abs(f.m - b.mag) <= 0.08e0 * b.mag) AS ok
+        FROM b JOIN f ON f.capture = b.capture AND f.n = b.n + 1) q) """
+
+
+@query("smoothed_gravity", "T02", GRAVITY + "SELECT capture, n - 1 AS rn, ROUND(ux, 9) AS ux, ROUND(uy, 9) AS uy, ROUND(uz, 9) AS uz, used FROM b WHERE n > 0")
 def smoothed_gravity(t):
-    return S.smoothed_gravity(t.fx_imu)
+    return r(S.smoothed_gravity(t.fx_imu), 9, "ux", "uy", "uz")
 
 
 REST = f"""i AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY capture ORDER BY idx) - 1 AS rn, COUNT(*) OVER (PARTITION BY capture) AS n FROM fx_imu),
@@ -171,7 +182,7 @@ def trajectory_check(t):
     return r(S.trajectory_check(p.filter("run = 'reverse'"), p.filter("run = 'forward'"), 0.5, 0.102), 6, "max", "median", "p90")
 
 
-GATE = "CASE WHEN fitness < 0.1 THEN 'fitness' WHEN step_m > 1e0 * {dt} OR turn_deg > 120e0 * {dt} THEN 'jump' END"
+GATE = "CASE WHEN error IS NOT NULL THEN 'error' WHEN fitness IS NULL THEN 'no fitness' WHEN fitness < 0.1 THEN 'fitness' WHEN step_m > 1e0 * {dt} OR turn_deg > 120e0 * {dt} THEN 'jump' END"
 
 
 @query("step_gate", "T12", f"SELECT capture, frame, {GATE.format(dt='0.5e0')} AS why FROM fx_tracking")
@@ -179,13 +190,32 @@ def step_gate(t):
     return S.step_gate(t.fx_tracking).select("capture", "frame", "why")
 
 
-@query("belief_gate", "T13 R01")
+# The gate as a recursion over the frames of all captures at once.
+BELIEF = """WITH RECURSIVE f AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY capture ORDER BY frame) AS n FROM fx_tracking),
+b(capture, n, frame, phase, cnt, recent, verb, why, back) AS (
+  SELECT DISTINCT capture, 0::BIGINT, NULL::BIGINT, 'tracking', 0, CAST([] AS DOUBLE[]), NULL::VARCHAR, NULL::VARCHAR, 0 FROM f
+  UNION ALL
+  SELECT capture, n, frame, CASE WHEN back = 1 THEN 'tracking' ELSE to_phase END, CASE WHEN back = 1 OR (phase = 'tracking' AND to_phase = 'lost') THEN 0 ELSE to_cnt END,
+    CASE WHEN verb = 'integrate' THEN list_append(recent, fitness)[-30:] ELSE recent END, verb, why, back
+  FROM (SELECT *, CASE WHEN why IS NOT NULL THEN 'drop' WHEN to_phase = 'tracking' OR back = 1 THEN 'integrate' ELSE 'confirm' END AS verb
+    FROM (SELECT *, CASE WHEN phase <> 'tracking' AND to_cnt >= 3 THEN 1 ELSE 0 END AS back,
+        CASE WHEN phase = 'tracking' THEN CASE WHEN to_cnt >= 15 THEN 'lost' ELSE 'tracking' END WHEN why IS NULL THEN 'probing' ELSE 'lost' END AS to_phase
+      FROM (SELECT *, CASE WHEN phase = 'tracking' THEN CASE WHEN why IS NULL THEN 0 ELSE cnt + 1 END WHEN why IS NULL THEN cnt + 1 ELSE 0 END AS to_cnt
+        FROM (SELECT b.capture, f.n, f.frame, b.phase, b.cnt, b.recent, f.fitness,
+            CASE WHEN f.error IS NOT NULL THEN 'error' WHEN f.fitness IS NULL THEN 'no fitness'
+                 WHEN f.fitness < CASE WHEN len(b.recent) < 5 THEN 0.1e0 ELSE LEAST(GREATEST(0.6e0 * list_aggregate(b.recent, 'median'), 0.1e0), 0.55e0) END THEN 'fitness'
+                 WHEN b.phase <> 'lost' AND (f.step_m > 0.5e0 OR f.turn_deg > 60e0) THEN 'jump' END AS why
+          FROM b JOIN f ON f.capture = b.capture AND f.n = b.n + 1) q1) q2) q3) q4),
+g AS (SELECT capture, frame, verb, why, phase <> 'tracking' AS lost, back AS reacquired FROM b WHERE n > 0) """
+
+
+@query("belief_gate", "T13 R01", BELIEF + "SELECT * FROM g")
 def belief_gate(t):
-    """Rows-only: a state machine; the tests compare it with a plain sequential run."""
-    return S.belief(t.fx_tracking)
+    return S.belief(t.fx_tracking).drop("rn")
 
 
-@query("belief_report", "T13 R07")
+@query("belief_report", "T13 R07", BELIEF + """SELECT capture, COUNT(*) AS frames, COUNT_IF(verb = 'integrate')::BIGINT AS integrated, COUNT_IF(verb = 'drop')::BIGINT AS dropped,
+  COUNT_IF(verb <> 'integrate')::BIGINT AS held, SUM(reacquired)::BIGINT AS reacquired FROM g GROUP BY capture""")
 def belief_report(t):
     return S.belief_report(S.belief(t.fx_tracking))
 
@@ -228,23 +258,37 @@ def room_floor(t):
     return S.room_floor(t.fx_points, "cloud", min_area=0.2)
 
 
-@query("best_height", "T19")
+HEIGHTS = "SELECT capture, frame, 0.5e0 + fitness * 1.5e0 + frame % 1009 / 300e0 AS height FROM fx_tracking"
+# The rule as a recursion over each capture's records.
+HEIGHT = f"""WITH RECURSIVE h AS ({HEIGHTS}),
+m AS (SELECT *, MAX(height) OVER (PARTITION BY capture ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM h WHERE height IS NOT NULL),
+f AS (SELECT capture, frame, height, ROW_NUMBER() OVER (PARTITION BY capture ORDER BY frame) AS n FROM m WHERE top IS NULL OR height > top),
+b(capture, n, frame, value, took) AS (SELECT capture, n, frame, height, TRUE FROM f WHERE n = 1
+  UNION ALL SELECT b.capture, f.n, f.frame, CASE WHEN f.height > b.value + 0.02e0 THEN f.height ELSE b.value END, f.height > b.value + 0.02e0
+  FROM b JOIN f ON f.capture = b.capture AND f.n = b.n + 1) """
+
+
+def heights(t):
+    return t.fx_tracking.select("capture", "frame", (0.5 + F.col("fitness") * 1.5 + F.col("frame") % 1009 / 300.0).alias("height"))
+
+
+@query("best_height", "T19", HEIGHT + "SELECT capture, frame, ROUND(value, 9) AS value FROM b WHERE took")
 def best_height(t):
-    """Rows-only: running best with hysteresis; the tests compare it with a plain sequential run."""
-    h = t.fx_tracking.select("capture", "frame", (0.5 + F.col("fitness") * 1.5 + F.col("frame") % 89 / 1000.0).alias("height"))
-    return S.best_height(h)
+    return r(S.best_height(heights(t)), 9, "value")
 
 
-@query("colour_settled", "T20", """
-WITH o AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY capture ORDER BY frame) AS offer, r + g + b AS tot FROM fx_white),
+SETTLED = """WITH o AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY capture ORDER BY frame) AS offer, r + g + b AS tot FROM fx_white),
 c AS (SELECT capture, offer, r/tot AS r, g/tot AS g, b/tot AS b FROM o WHERE tot > 0),
 d AS (SELECT *, COALESCE(GREATEST(ABS(r - LAG(r) OVER w), ABS(g - LAG(g) OVER w), ABS(b - LAG(b) OVER w)) < 8e-4, FALSE)::INT AS calm,
   ROW_NUMBER() OVER w AS k, LAG(r) OVER w AS pr FROM c WINDOW w AS (PARTITION BY capture ORDER BY offer)),
 s AS (SELECT *, SUM(CASE WHEN pr IS NULL THEN 0 ELSE calm END) OVER (PARTITION BY capture ORDER BY k ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS run FROM d),
 a AS (SELECT capture, MIN(offer) AS st FROM s WHERE run >= 8 GROUP BY capture),
-n AS (SELECT capture, MAX(offer) AS offered, MIN(CASE WHEN offer >= 150 AND tot > 0 THEN offer END) AS cap_at FROM o GROUP BY capture)
-SELECT n.capture, offered, CASE WHEN cap_at IS NOT NULL AND (st IS NULL OR st > cap_at) THEN cap_at ELSE st END AS settled_at,
-  cap_at IS NOT NULL AND (st IS NULL OR st > cap_at) AS capped FROM n LEFT JOIN a ON n.capture = a.capture""")
+n AS (SELECT capture, MAX(offer) AS offered, MIN(CASE WHEN offer >= 150 AND tot > 0 THEN offer END) AS cap_at FROM o GROUP BY capture),
+ended AS (SELECT n.capture, offered, CASE WHEN cap_at IS NOT NULL AND (st IS NULL OR st > cap_at) THEN cap_at ELSE st END AS settled_at,
+  cap_at IS NOT NULL AND (st IS NULL OR st > cap_at) AS capped FROM n LEFT JOIN a ON n.capture = a.capture) """
+
+
+@query("colour_settled", "T20", SETTLED + "SELECT * FROM ended")
 def colour_settled(t):
     return S.colour_settled(t.fx_white)
 

@@ -114,7 +114,9 @@ FROM {orders}
 VIEWS["fx_tracking"] = """
 SELECT CAST(user_id % 5 AS INT) AS capture, event_id AS frame,
        event_id + CAST(FLOOR(event_id / 23) AS BIGINT) AS seq_no,
-       CASE WHEN event_id % 97 < 4 THEN 15 ELSE 70 + CAST(event_id % 25 AS INT) END / 100e0 AS fitness,
+       CASE WHEN event_id % 149 = 3 THEN 'no depth' END AS error,
+       CASE WHEN event_id % 149 = 3 OR event_id % 173 = 5 THEN NULL
+            WHEN event_id % 97 < 4 OR event_id % 3001 < 130 THEN 15 ELSE 70 + CAST(event_id % 25 AS INT) END / 100e0 AS fitness,
        CASE WHEN event_id % 211 = 0 THEN 900 ELSE 5 + CAST(event_id % 20 AS INT) END / 1000e0 AS step_m,
        CASE WHEN event_id % 307 = 0 THEN 70 ELSE CAST(event_id % 13 AS INT) END / 1e0 AS turn_deg
 FROM {events}

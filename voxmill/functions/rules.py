@@ -114,7 +114,7 @@ def gravity_step(tol: float = 0.08, ema_up: float = 0.25, ema_mag: float = 0.02)
         sample = [row["x"], row["y"], row["z"]]
         known = not any(missing(a) for a in sample)
         if known:
-            sample.append(math.sqrt(sum(a * a for a in sample)))
+            sample.append(math.sqrt(sample[0] * sample[0] + sample[1] * sample[1] + sample[2] * sample[2]))
         held = s["held"]
         used = known and sample[3] >= 1e-3 and (held is None or abs(sample[3] - held[3]) <= tol * held[3])
         if used:
