@@ -122,36 +122,37 @@ def _split(sets: DataFrame, least: float) -> DataFrame:
 
 
 def _compare(buckets: DataFrame, maybe: float, sure: float) -> DataFrame:
-    """Edges ``a, b`` between sets of a bucket, from ``path, c1, marks`` sorted by path.
+    """A forest of edges ``a, b`` over the sets of each bucket, from ``path, c1, marks`` sorted by path.
 
-    A set is compared with the bucket's leaders, links to each that shares ``maybe`` of the tokens and
-    leads itself unless one shares ``sure``: whatever is near it is then linked to that leader too.
-    Only leaders are held, so a bucket of many close sets passes through.
+    A set is compared with all leaders of its bucket, belongs with each that shares ``maybe`` of the
+    tokens and leads itself unless one shares ``sure``: whatever is near it then belongs with that
+    leader too. Only leaders are held, so a bucket of many close sets passes through, and only links
+    that join what was apart come out, fewer than the bucket has sets.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        path, names, marks, count = None, [], None, 0
+        path, names, marks, part = None, [], np.empty((64, TOKENS), np.uint8), np.zeros(64, np.int64)
         for batch in small(batches, 4096):
             out = []
             for p, c, m in zip(*[x.to_pylist() for x in batch.columns]):
                 m = np.frombuffer(m, np.uint8)
                 if p != path:
-                    path, names, count = p, [c], 1
-                    if marks is None or len(marks) > 4096:
-                        marks = np.empty((64, TOKENS), np.uint8)
-                    marks[0] = m
-                    continue
+                    path, names = p, []
+                    if len(marks) > 4096:
+                        marks, part = np.empty((64, TOKENS), np.uint8), np.zeros(64, np.int64)
+                count = len(names)
                 share = (marks[:count] == m).sum(1)
-                for i in np.flatnonzero(share >= maybe * TOKENS).tolist():
-                    if names[i] != c:
-                        out.append((names[i], c))
-                if share.max() < sure * TOKENS:
+                close = np.flatnonzero(share >= maybe * TOKENS)
+                parts, at = np.unique(part[close], return_index=True)
+                out += [(names[i], c) for i in close[at].tolist() if names[i] != c]
+                if len(parts) > 1:
+                    part[:count][np.isin(part[:count], parts)] = parts[0]
+                if not count or share.max() < sure * TOKENS:
                     if count == len(marks):
-                        marks = np.concatenate([marks, np.empty_like(marks)])
-                    marks[count] = m
+                        marks, part = np.concatenate([marks, np.empty_like(marks)]), np.concatenate([part, np.zeros_like(part)])
+                    marks[count], part[count] = m, parts[0] if len(parts) else count
                     names.append(c)
-                    count += 1
             if out:
-                yield _batch(list(set(out)), _EDGE)
+                yield _batch(out, _EDGE)
 
     return buckets.select("path", "c1", "marks").mapInArrow(run, "a long, b long")
 
