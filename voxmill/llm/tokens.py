@@ -76,7 +76,8 @@ def token_counts(docs: DataFrame, tokenizer: str, doc_id="doc_id", text="text",
     rows = keyed(docs, doc_id, text).withColumn("doc_id", F.col("doc_id").cast("long"))
     pieces = stored(piece_counts(pretoken_counts(rows), tokenizer), "pieces")
     common = pieces.filter(F.octet_length("token") <= head_bytes).orderBy(F.desc("n"), "token").limit(head).select("token", "pieces")
-    known = spark.sparkContext.broadcast({bytes(r.token): r.pieces for r in common.collect()})
+    common = common.toArrow()
+    known = spark.sparkContext.broadcast(dict(zip(common.column("token").to_pylist(), common.column("pieces").to_pylist())))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = known.value
