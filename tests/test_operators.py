@@ -124,19 +124,51 @@ def test_colour_leans_to_the_latest_look(spark):
         assert got.colour_n == 3 and math.isclose(got.r, ((20 * .5 + 100 * .5) * .5 + 200 * .5))
 
 
+KEEP = ["ix", "iy", "n_hit", "n_pass", "predicted", "cls", "blind", "confirmed", "contradicted", "untested", "missed", "in_free"]
+
+
 def test_map_store_is_the_batch_map(spark, tmp_path):
     e, c = verdict_case(spark)
-    store = MapStore(spark, str(tmp_path / "map"))
+    store = MapStore(spark, str(tmp_path / "map")).create()
     for b, (lo, hi) in enumerate(((0, 5), (6, 8), (9, 20))):
         store.merge(e.filter(F.col("frame").between(lo, hi)), c.filter(F.col("frame").between(lo, hi)), b)
     store.merge(e.filter("frame >= 9"), c.filter("frame >= 9"), 2)           # the same batch again
-    store.merge(e.filter("frame = 8"), c.filter("frame = 8"), 3)             # a frame already folded
-    keep = ["ix", "iy", "n_hit", "n_pass", "predicted", "cls", "blind", "confirmed", "contradicted", "untested", "missed", "in_free"]
-    rows = lambda d: sorted(tuple(r) for r in d.select(keep).collect())
+    store.merge(e.filter("frame = 8"), c.filter("frame = 8"), 0, "other")    # a frame another stream brought
+    rows = lambda d: sorted(tuple(r) for r in d.select(KEEP).collect())
     want = rows(E.verdicts(E.world_map(e, c)))
     assert rows(store.world()) == want
-    assert [(r.frame, r.batch) for r in store.late().collect()] == [(8, 3)]
-    assert rows(store.compact(str(tmp_path / "small")).world()) == want
+    assert [(r.frame, r.stream, r.batch) for r in store.late().collect()] == [(8, "other", 0)]
+    for upto in (5, 7, 20):
+        small = store.compact(str(tmp_path / f"small{upto}"), upto)
+        assert rows(small.world()) == want
+    small.merge(e.filter("frame = 8"), c.filter("frame = 8"), 9)             # a frame that is closed
+    assert rows(small.world()) == want and [(r.frame, r.batch) for r in small.late().collect()] == [(8, 9)]
+
+
+def test_a_frame_split_over_batches_counts_once_and_whole(spark, tmp_path):
+    e, c = verdict_case(spark)
+    store = MapStore(spark, str(tmp_path / "map")).create()
+    for b in range(3):
+        store.merge(e.filter(F.col("ix") % 3 == b), c.limit(0), b)
+        store.merge(e.limit(0), c.filter(F.col("ix") % 3 == b), 3 + b)
+    rows = lambda d: sorted(tuple(r) for r in d.select(KEEP).collect())
+    assert rows(store.world()) == rows(E.verdicts(E.world_map(e, c))) and store.late().count() == 0
+
+
+def test_a_stream_without_its_checkpoint_overwrites_nothing(spark, tmp_path):
+    from voxmill.streaming import maps
+    e, c = verdict_case(spark)
+    rgb = [F.lit(7).alias(x) for x in "rgb"]
+    mixed = maps.mixed_rows(e.select("*", *rgb), c)
+    for i, (lo, hi) in enumerate(((0, 6), (0, 20))):                        # the second run sees old and new files
+        mixed.filter(F.col("frame").between(7 * i, hi)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        if i == 0:
+            store = MapStore(spark, str(tmp_path / "map")).create()
+        stream = spark.readStream.schema(mixed.schema).parquet(str(tmp_path / "in"))
+        maps.map_stream(stream, store, str(tmp_path / f"ck{i}")).awaitTermination()
+    rows = lambda d: sorted(tuple(r) for r in d.select(KEEP).collect())
+    assert rows(store.world()) == rows(E.verdicts(E.world_map(e, c))) and store.late().count() > 0
+    assert store.world().filter("colour_n > 0 AND r <> 7").count() == 0
 
 
 def test_gather_matches_brute_force(spark):

@@ -59,11 +59,14 @@ def settled_frames(t):
     return E.settled_frames(t.fx_evidence)
 
 
-@query("latest_colour", "W05", f"""
+COLOUR = f"""
 WITH m AS (SELECT {VOX}, frame, AVG(r) AS r, AVG(g) AS g, AVG(b) AS b FROM fx_evidence WHERE kind = 'hit' GROUP BY ALL),
 k AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY {VOX} ORDER BY frame DESC) - 1 AS age, COUNT(*) OVER (PARTITION BY {VOX}) AS n FROM m),
 w AS (SELECT *, CASE WHEN age = n - 1 THEN POW(0.5e0, age) ELSE 0.5e0 * POW(0.5e0, age) END AS wt FROM k)
-SELECT {VOX}, COUNT(*) AS colour_n, ROUND(SUM(wt * r), 6) AS r, ROUND(SUM(wt * g), 6) AS g, ROUND(SUM(wt * b), 6) AS b FROM w GROUP BY ALL""")
+SELECT {VOX}, COUNT(*) AS colour_n, ROUND(SUM(wt * r), 6) AS r, ROUND(SUM(wt * g), 6) AS g, ROUND(SUM(wt * b), 6) AS b FROM w GROUP BY ALL"""
+
+
+@query("latest_colour", "W05", COLOUR)
 def latest_colour(t):
     c = E.latest_colour(t.fx_evidence, width=8)
     return c.select("room", "ix", "iy", "iz", "colour_n", *[F.round(x, 6).alias(x) for x in "rgb"])

@@ -1,22 +1,26 @@
-"""Accumulated maps on disk: an append-only log of per-batch deltas, compacted now and then.
+"""Accumulated maps on disk: a table of what each batch of each stream saw of each (voxel, frame).
 
-Hits, passes and votes are sums and first frames are minima, so a map is the aggregate of
-its deltas in any order. A batch writes only its own delta under its own name: a repeated
-batch replaces itself, nothing else is rewritten, and the cost of a batch does not grow
-with the map.
+A batch writes its own part and nothing else, so a repeated batch replaces itself and the cost of a
+batch does not grow with the map. Parts of one frame add up, however many batches of a stream it
+came in. A frame that a second stream brings too (say, one restarted without its checkpoint)
+belongs to the stream that is first by name; the other's rows are late and count nothing. Folding
+frames away closes them.
 """
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxmill.operators.evidence import CELL, VOXEL, measured_state, verdicts, with_class
+from voxmill.operators.evidence import CELL, VOXEL, latest_colour, measured_state, verdicts, with_class
 from voxmill.schema import N_CLASSES
 
 VOTES = [f"v{c}" for c in range(1, N_CLASSES)]
 SUMS = ["n_hit", "n_pass", "n_seen", *VOTES]
 FIRSTS = ["first_touch", "first_pred"]
-DELTA = ("room int, ix int, iy int, iz int, " + ", ".join(f"{c} long" for c in SUMS) + ", "
-         + ", ".join(f"{c} int" for c in FIRSTS) + ", batch long")
+RGB = ["r", "g", "b"]
+PART = ("room int, ix int, iy int, iz int, frame int, hit int, seen int, " + ", ".join(f"{c} long" for c in VOTES)
+        + ", lit long, " + ", ".join(f"{c} double" for c in RGB) + ", stream string, batch long")
+BASE = ("room int, ix int, iy int, iz int, " + ", ".join(f"{c} long" for c in SUMS) + ", " + ", ".join(f"{c} int" for c in FIRSTS)
+        + ", colour_n long, " + ", ".join(f"{c} double" for c in RGB))
 
 
 def upgrade(old: DataFrame) -> DataFrame:
@@ -31,68 +35,92 @@ def upgrade(old: DataFrame) -> DataFrame:
 
 
 class MapStore:
-    """Evidence and claims of rooms under one folder."""
+    """Evidence and claims of rooms under one folder; ``create`` it once before the first use."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
+    def create(self) -> "MapStore":
+        """Lay down the empty tables. A store that holds something is refused."""
+        for kind, ddl in (("parts/stream=none/batch=-1", PART.rsplit(", stream", 1)[0]), ("base", BASE), ("closed", "upto int")):
+            self.spark.createDataFrame([], ddl).write.mode("errorifexists").parquet(f"{self.path}/{kind}")
+        return self
+
     def _read(self, kind: str, ddl: str) -> DataFrame:
-        root = f"{self.path}/{kind}"
-        hpath = self.spark._jvm.org.apache.hadoop.fs.Path(root)
-        if not hpath.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hpath):
-            return self.spark.createDataFrame([], ddl)
-        return self.spark.read.schema(ddl).parquet(root)
-
-    def frames(self, before: int | None = None) -> DataFrame:
-        f = self._read("frames", "room int, frame int, batch long")
-        return f if before is None else f.filter(F.col("batch") != before)
-
-    def _write(self, df: DataFrame, kind: str, batch: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/{kind}/batch={batch}")
-
-    def merge(self, evidence: DataFrame, claims: DataFrame, batch: int) -> None:
-        """Add one batch. Frames an earlier batch already folded are set aside as late, so a
-        frame is never counted twice."""
-        known = self.frames(before=batch).select("room", "frame")
-        new_e = evidence.join(known, ["room", "frame"], "left_anti")
-        new_c = claims.join(known, ["room", "frame"], "left_anti")
-        late = (evidence.select("room", "frame").union(claims.select("room", "frame")).distinct()
-                .join(known, ["room", "frame"], "left_semi"))
-        # measured and claimed rows of a frame meet in one pass: (voxel, frame), then voxel
-        e = new_e.filter("kind IN ('hit', 'pass')").select(*VOXEL, "frame", (F.col("kind") == "hit").cast("int").alias("hit"), F.lit(None).cast("int").alias("cls"))
-        c = new_c.select(*VOXEL, "frame", F.lit(None).cast("int").alias("hit"), "cls")
-        per = e.unionByName(c).groupBy(*VOXEL, "frame").agg(
+        return self.spark.read.schema(ddl).parquet(f"{self.path}/{kind}")
+
+    def merge(self, evidence: DataFrame, claims: DataFrame, batch: int, stream: str = "main") -> None:
+        """Add one batch of a stream. Colour is that of hits, where the evidence has ``r, g, b``."""
+        has = all(c in evidence.columns for c in RGB)
+        rgb = [(F.when(F.col("kind") == "hit", F.col(c)) if has else F.lit(None)).cast("double").alias(c) for c in RGB]
+        none = [F.lit(None).cast("double").alias(c) for c in RGB]
+        e = evidence.filter("kind IN ('hit', 'pass')").select(*VOXEL, "frame", (F.col("kind") == "hit").cast("int").alias("hit"), F.lit(None).cast("int").alias("cls"), *rgb)
+        c = claims.select(*VOXEL, "frame", F.lit(None).cast("int").alias("hit"), "cls", *none)
+        part = e.unionByName(c).groupBy(*VOXEL, "frame").agg(
             F.max("hit").alias("hit"), F.max(F.col("cls").isNotNull().cast("int")).alias("seen"),
-            *[F.count_if(F.col("cls") == k).alias(f"v{k}") for k in range(1, N_CLASSES)])
+            *[F.count_if(F.col("cls") == k).alias(f"v{k}") for k in range(1, N_CLASSES)], F.count("r").alias("lit"), *[F.sum(x).alias(x) for x in RGB])
+        part.write.mode("overwrite").parquet(f"{self.path}/parts/stream={stream}/batch={batch}")
+
+    def _parts(self) -> tuple[DataFrame, DataFrame]:
+        """Rows of frames that count, and (room, frame, stream, batch) of those that came too late."""
+        parts = self._read("parts", PART)
+        closed = self._read("closed", "upto int").agg(F.coalesce(F.max("upto"), F.lit(-(1 << 31))).alias("upto"))
+        came = parts.groupBy("room", "frame", "stream", "batch").agg(F.count(F.lit(1)).alias("n"))
+        owner = came.groupBy("room", "frame").agg(F.min("stream").alias("owner"))
+        late = came.join(owner, ["room", "frame"]).crossJoin(F.broadcast(closed)).filter("stream <> owner OR frame <= upto")
+        parts = parts.join(owner, ["room", "frame"]).crossJoin(F.broadcast(closed)).filter("stream = owner AND frame > upto")
+        return parts.drop("owner", "upto"), late.select("room", "frame", "stream", "batch")
+
+    def frames(self) -> DataFrame:
+        """``room, frame`` of every frame that counts and is not folded away."""
+        return self._parts()[0].select("room", "frame").distinct()
+
+    def late(self) -> DataFrame:
+        return self._parts()[1]
+
+    def _seen(self) -> DataFrame:
+        """One row per (voxel, frame), its parts added up."""
+        return self._parts()[0].groupBy(*VOXEL, "frame").agg(
+            F.max("hit").alias("hit"), F.max("seen").alias("seen"), *[F.sum(v).alias(v) for v in VOTES], F.sum("lit").alias("lit"), *[F.sum(c).alias(c) for c in RGB])
+
+    def totals(self, upto: int | None = None) -> DataFrame:
+        seen = self._seen()
+        if upto is not None:
+            seen = seen.filter(F.col("frame") <= upto)
         claimed = sum((F.col(v) for v in VOTES[1:]), F.col(VOTES[0])) > 0
-        delta = per.groupBy(*VOXEL).agg(
+        fresh = seen.groupBy(*VOXEL).agg(
             F.coalesce(F.sum("hit"), F.lit(0)).alias("n_hit"), F.coalesce(F.sum(1 - F.col("hit")), F.lit(0)).alias("n_pass"),
             F.sum("seen").alias("n_seen"), *[F.sum(v).alias(v) for v in VOTES],
             F.min(F.when(F.col("hit").isNotNull(), F.col("frame"))).alias("first_touch"), F.min(F.when(claimed, F.col("frame"))).alias("first_pred"))
-        self._write(delta.select(*VOXEL, *[F.col(s).cast("long").alias(s) for s in SUMS], *[F.col(f).cast("int").alias(f) for f in FIRSTS]), "deltas", batch)
-        self._write(late, "late", batch)
-        done = new_e.select("room", "frame").union(new_c.select("room", "frame")).distinct()
-        self._write(done, "frames", batch)
-
-    def totals(self) -> DataFrame:
-        d = self._read("deltas", DELTA)
-        return d.groupBy(*VOXEL).agg(*[F.sum(s).alias(s) for s in SUMS], *[F.min(f).alias(f) for f in FIRSTS])
+        base = self._read("base", BASE)
+        sums = fresh.unionByName(base.select(*VOXEL, *SUMS, *FIRSTS)).groupBy(*VOXEL).agg(*[F.sum(s).alias(s) for s in SUMS], *[F.min(f).alias(f) for f in FIRSTS])
+        # what was folded away stands as one earlier look: the average that the later ones move
+        old = base.filter("colour_n > 0").select(*VOXEL, F.lit(-1).alias("frame"), *RGB)
+        looks = seen.filter("lit > 0").select(*VOXEL, "frame", *[(F.col(c) / F.col("lit")).alias(c) for c in RGB])
+        looks = old.unionByName(looks).withColumn("kind", F.lit("hit"))
+        before = base.select(*VOXEL, F.when(F.col("colour_n") > 0, F.col("colour_n") - 1).alias("more_"))
+        colour = latest_colour(looks).join(before, VOXEL, "left").withColumn("colour_n", F.col("colour_n") + F.coalesce("more_", F.lit(0))).drop("more_")
+        return sums.join(colour, VOXEL, "left").withColumn("colour_n", F.coalesce("colour_n", F.lit(0)))
 
     def world(self) -> DataFrame:
-        """The map with state, claim, blind flag and verdicts."""
+        """The map with state, claim, blind flag, verdicts and colour."""
         t = self.totals()
         c = with_class(t.select(*VOXEL, "n_seen", "first_pred", *VOTES)).drop("n_seen", "first_pred")
         blind = F.col("first_pred").isNotNull() & (F.col("first_touch").isNull() | (F.col("first_touch") > F.col("first_pred")))
         return verdicts(t.join(c, VOXEL).withColumn("blind", blind).withColumn("state", measured_state(F.col("n_hit"), F.col("n_pass"))))
 
-    def late(self) -> DataFrame:
-        return self._read("late", "room int, frame int, batch long")
+    def compact(self, target: str, upto: int) -> "MapStore":
+        """A fresh store with the frames up to ``upto`` (not negative) folded into one row a voxel and closed.
 
-    def compact(self, target: str) -> "MapStore":
-        """Write the summed map as one delta of a fresh store; the log itself is left alone."""
+        Later frames are copied as they are; this store is left alone."""
         new = MapStore(self.spark, target)
-        new._write(self.totals(), "deltas", -1)
-        new._write(self.frames().select("room", "frame").distinct(), "frames", -1)
+        totals = self.totals(upto).select(*VOXEL, *[F.col(s).cast("long").alias(s) for s in SUMS], *[F.col(f).cast("int").alias(f) for f in FIRSTS],
+                                          F.col("colour_n").cast("long").alias("colour_n"), *RGB)
+        totals.write.mode("errorifexists").parquet(f"{new.path}/base")
+        self.spark.createDataFrame([(upto,)], "upto int").write.mode("errorifexists").parquet(f"{new.path}/closed")
+        left = self._parts()[0].filter(F.col("frame") > upto)
+        left.write.partitionBy("stream", "batch").mode("errorifexists").parquet(f"{new.path}/parts")
+        self.spark.createDataFrame([], PART.rsplit(", stream", 1)[0]).write.parquet(f"{new.path}/parts/stream=none/batch=-1")
         return new
 
 
