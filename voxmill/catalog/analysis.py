@@ -192,10 +192,10 @@ def floor_tilt(t):
 
 def logits(t):
     d = lambda a, b: F.transform(F.slice("embedding", a, b - a + 1), lambda x: x.cast("double"))
-    return t.embeddings.select("vec_id", F.floor(F.col("vec_id") / 250).alias("sample"), "label", d(1, 12).alias("student"), d(13, 24).alias("teacher"))
+    return t.embeddings.select("vec_id", F.floor(F.col("vec_id") / 250).alias("sample"), "label", d(1, 32).alias("student"), d(33, 64).alias("teacher"))
 
 
-LOG = """l AS (SELECT vec_id, CAST(FLOOR(vec_id / 250) AS BIGINT) AS sample, label, CAST(embedding[1:12] AS DOUBLE[]) AS s, CAST(embedding[13:24] AS DOUBLE[]) AS t FROM embeddings)"""
+LOG = """l AS (SELECT vec_id, CAST(FLOOR(vec_id / 250) AS BIGINT) AS sample, label, CAST(embedding[1:32] AS DOUBLE[]) AS s, CAST(embedding[33:64] AS DOUBLE[]) AS t FROM embeddings)"""
 
 
 @query("argmax_labels", "E34", f"WITH {LOG} SELECT vec_id, CAST(list_position(s, list_max(s)) - 1 AS INT) AS cls, list_position(s, list_max(s)) > 1 AS occupied FROM l")
@@ -204,9 +204,9 @@ def argmax_labels(t):
     return a.withColumn("occupied", F.col("cls") > 0)
 
 
-@query("smoothed_cross_entropy", "E35", f"""WITH {LOG}, p AS (SELECT vec_id, label, UNNEST(range(12)) AS i, UNNEST(s) AS v, list_max(s) AS m, s FROM l WHERE label <> 0),
+@query("smoothed_cross_entropy", "E35", f"""WITH {LOG}, p AS (SELECT vec_id, label, UNNEST(range(32)) AS i, UNNEST(s) AS v, list_max(s) AS m, s FROM l WHERE label <> 0),
 z AS (SELECT vec_id, LN(SUM(EXP(v - m))) + MAX(m) AS lse FROM p GROUP BY vec_id),
-q AS (SELECT p.vec_id, SUM(-(v - lse) * CASE WHEN i = label THEN 0.8 ELSE 0.2 / 11 END) AS loss FROM p JOIN z ON p.vec_id = z.vec_id GROUP BY p.vec_id)
+q AS (SELECT p.vec_id, SUM(-(v - lse) * CASE WHEN i = label THEN 0.8 ELSE 0.2 / 31 END) AS loss FROM p JOIN z ON p.vec_id = z.vec_id GROUP BY p.vec_id)
 SELECT COUNT(*) AS n, ROUND(AVG(loss), 6) AS loss FROM q""")
 def smoothed_cross_entropy(t):
     return r(A.smoothed_cross_entropy(logits(t).select(F.col("student").alias("logits"), "label", (F.col("label") != 0).alias("mask"))), 6, "loss")
@@ -222,7 +222,7 @@ def _dot(a, b):
     return f"list_inner_product({a}, {b})"
 
 
-@query("distillation", "E33", f"""WITH {LOG}, e AS (SELECT sample, label, UNNEST(range(12)) AS i, UNNEST(s) AS s, UNNEST(t) AS t FROM l WHERE label BETWEEN 1 AND 11),
+@query("distillation", "E33", f"""WITH {LOG}, e AS (SELECT sample, label, UNNEST(range(32)) AS i, UNNEST(s) AS s, UNNEST(t) AS t FROM l WHERE label BETWEEN 1 AND 11),
 c AS (SELECT sample, label, i, AVG(s) AS s, AVG(t) AS t FROM e GROUP BY ALL),
 n AS (SELECT sample, label, LN(SUM(EXP(s))) AS ls, LN(SUM(EXP(t))) AS lt FROM c GROUP BY ALL),
 k AS (SELECT c.sample, c.label, SUM(EXP(t - lt) * ((t - lt) - (s - ls))) AS kl FROM c JOIN n ON c.sample = n.sample AND c.label = n.label GROUP BY ALL),

@@ -157,9 +157,11 @@ def run_differences(t):
     return r(r(diff(t), 6, "metres"), 4, "degrees")
 
 
-@query("path_length", "T10", f"WITH {RUNS} SELECT capture, poses, ROUND(path_m, 5) AS path_m FROM p")
+@query("path_length", "T10", """
+SELECT capture, run, COUNT(*) AS poses, ROUND(SUM(step), 5) AS path_m FROM (SELECT capture, run,
+  SQRT(POW(tx - LAG(tx) OVER w, 2) + POW(ty - LAG(ty) OVER w, 2) + POW(tz - LAG(tz) OVER w, 2)) AS step FROM fx_runs WINDOW w AS (PARTITION BY capture, run ORDER BY frame)) q GROUP BY capture, run""")
 def path_length(t):
-    return r(S.path_length(t.fx_runs.filter("run = 'forward'"), ["capture"]), 5, "path_m")
+    return r(S.path_length(t.fx_runs, ["capture", "run"]), 5, "path_m")
 
 
 @query("drift_summary", "T09 T10", f"""WITH {RUNS}

@@ -11,6 +11,7 @@ from voxmill.functions import geometry as G
 from voxmill.functions.hooks import score_frames
 from voxmill.operators import evidence as E
 from voxmill.schema import CLASS_COLOURS, CLASS_NAMES, RAW_TO_CLASS
+from voxmill.session import scratch
 from voxmill.sources import mapstore, meta, text, volumes
 
 COLOURS = ", ".join(f"({i}, {r}, {g}, {b})" for i, (r, g, b) in enumerate(CLASS_COLOURS))
@@ -22,7 +23,7 @@ k AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY frame ORDER BY flat) - 1 AS i FR
 SELECT CAST(frame AS VARCHAR) AS frame, COUNT(*) AS cells, SUM(pred)::BIGINT AS pred, SUM(label)::BIGINT AS label, ROUND(SUM(tsdf), 6) AS tsdf,
   SUM((px >= 0)::INT)::BIGINT AS seen FROM k GROUP BY frame HAVING SUM(pred) % 4 <> 0""")
 def volume_files(t):
-    """Volumes are packed to npz bytes in tasks, then read back; a frame whose claims sum to a multiple of four lacks one file."""
+    """Volumes are written as npz files below the shared folder and read back; a frame whose claims sum to a multiple of four lacks one file."""
     c = t.fx_voxels.groupBy("frame", "flat").agg(F.max("pred").alias("pred"), F.max("label").alias("label"), F.max("tsdf").alias("tsdf"),
                                                  F.max(F.coalesce("pixel_id", F.lit(-1))).alias("mapping"))
 
@@ -38,20 +39,21 @@ def volume_files(t):
         return pd.DataFrame(out, columns=["path", "content"])
 
     files = c.groupBy("frame").applyInPandas(pack, "path string, content binary")
-    rows = volumes.volume_rows(files)
-    of = lambda k: rows.filter(F.col("file").contains(f"/{k}/"))
-    v = volumes.voxel_table({k: of(k) for k in volumes.KINDS})
+    root = scratch(t.spark)
+    volumes.write_binary(files, root).agg(F.sum("size")).collect()
+    v = volumes.voxel_table(volumes.volume_rows(volumes.read_binary(t.spark, root, "*.npz")))
     return v.groupBy("frame").agg(F.count(F.lit(1)).alias("cells"), F.sum("pred").alias("pred"), F.sum("label").alias("label"),
                                   F.round(F.sum("tsdf"), 6).alias("tsdf"), F.count("pixel_id").alias("seen"))
 
 
 @query("frame_completeness", "S01 J02", """
-WITH p AS (SELECT DISTINCT l_suppkey AS f FROM lineitem WHERE l_quantity = 7), l AS (SELECT DISTINCT l_suppkey AS f FROM lineitem WHERE l_quantity = 9),
-d AS (SELECT DISTINCT l_suppkey AS f FROM lineitem WHERE l_quantity = 11 AND l_tax > 0.06), a AS (SELECT f FROM p UNION SELECT f FROM l UNION SELECT f FROM d)
+WITH p AS (SELECT DISTINCT l_suppkey AS f FROM lineitem), l AS (SELECT DISTINCT s_suppkey + s_nationkey % 2 AS f FROM supplier),
+d AS (SELECT DISTINCT l_suppkey - l_suppkey % 3 AS f FROM lineitem), a AS (SELECT f FROM p UNION SELECT f FROM l UNION SELECT f FROM d)
 SELECT COUNT(*) AS frames, SUM((f IN (SELECT f FROM p) AND f IN (SELECT f FROM l) AND f IN (SELECT f FROM d))::INT)::BIGINT AS complete FROM a""")
 def frame_completeness(t):
-    at = lambda cond: t.lineitem.filter(cond).select(F.col("l_suppkey").alias("frame"))
-    full, short = volumes.complete_frames({"pred": at("l_quantity = 7"), "label": at("l_quantity = 9"), "tsdf": at("l_quantity = 11 AND l_tax > 0.06")})
+    lists = {"pred": t.lineitem.select(F.col("l_suppkey").alias("frame")), "label": t.supplier.select((F.col("s_suppkey") + F.col("s_nationkey") % 2).alias("frame")),
+             "tsdf": t.lineitem.select((F.col("l_suppkey") - F.col("l_suppkey") % 3).alias("frame"))}
+    full, short = volumes.complete_frames(lists)
     n = full.agg(F.count(F.lit(1)).alias("complete")).join(F.broadcast(short.agg(F.count(F.lit(1)).alias("short"))))
     return n.select((F.col("complete") + F.col("short")).alias("frames"), "complete")
 
@@ -105,7 +107,10 @@ SELECT capture, run, CAST(frame AS INT) AS frame, r00, r02, tx, ty, tz, 1e0 AS w
 def trajectory_lines(t):
     body = text.trajectory_lines(t.fx_runs, "capture", "run")
     notes = t.fx_runs.select("capture", "run").distinct().withColumn("value", F.lit("# frame T00 T01 .. T33"))
-    p = text.parse_trajectory(notes.unionByName(body), "capture", "run")
+    root = scratch(t.spark)
+    notes.unionByName(body).select("capture", "run", "value").write.partitionBy("capture", "run").text(root)
+    lines = text.read_lines(t.spark, root, "capture", "run").withColumn("capture", F.col("capture").cast("int"))
+    p = text.parse_trajectory(lines, "capture", "run")
     m = p.select("capture", "run", "frame", *G.unpack_pose(F.col("T")), F.col("T")[15].alias("w"))
     return m.select("capture", "run", "frame", "r00", "r02", "tx", "ty", "tz", "w")
 
@@ -144,14 +149,17 @@ def solids_documents(t):
 
 
 @query("split_lists", "S09", """
-SELECT CAST(f.frame AS VARCHAR) AS frame, split FROM fx_frames f WHERE f.pitch > -40""")
+SELECT CAST(f.frame AS VARCHAR) AS frame, split FROM fx_frames f""")
 def split_lists(t):
     f = t.fx_frames
     which = F.col("split")
-    lines = f.select(F.concat(F.lit("  "), F.col("frame").cast("string")).alias("value"), F.concat(F.lit("file:/lists/"), which, F.lit(".txt")).alias("file"))
-    blank = f.select(F.lit(" ").alias("value"), F.concat(F.lit("file:/lists/"), which, F.lit(".txt")).alias("file")).distinct()
-    wanted = f.filter("pitch > -40").select(F.col("frame").cast("string").alias("frame"))
-    return text.find_frames(wanted, text.parse_split(lines.unionByName(blank)))
+    lines = f.select(F.concat(F.lit("  "), F.col("frame").cast("string")).alias("value"), which.alias("list"))
+    blank = f.select(F.lit(" ").alias("value"), which.alias("list")).distinct()
+    root = scratch(t.spark)
+    lines.unionByName(blank).write.partitionBy("list").text(root)
+    # a split list is a file named after its split
+    read = text.read_lines(t.spark, root, "list").withColumn("file", F.concat(F.lit("file:/lists/"), F.col("list"), F.lit(".txt"))).select("value", "file")
+    return text.find_frames(f.select(F.col("frame").cast("string").alias("frame")), text.parse_split(read))
 
 
 @query("calibration_files", "S10", """
@@ -172,7 +180,9 @@ SELECT CAST(frame AS VARCHAR) AS frame, CASE WHEN frame % 4 = 0 THEN NULL ELSE t
 def score_files(t):
     s = t.fx_frames.select(F.col("frame").cast("string").alias("frame"), F.when(F.col("frame") % 4 != 0, F.col("tz")).alias("cam_z"),
                            F.col("heading").alias("tilt_deg"), (F.col("frame") % 12).alias("classes"))
-    return text.parse_scores(text.score_lines(s, s.columns), "frame string, cam_z double, tilt_deg double, classes int")
+    root = scratch(t.spark)
+    text.score_lines(s, s.columns).select("value").write.text(root)
+    return text.parse_scores(text.read_lines(t.spark, root), "frame string, cam_z double, tilt_deg double, classes int")
 
 
 @query("upgraded_map", "S14", """

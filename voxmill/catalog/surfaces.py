@@ -93,10 +93,10 @@ def snapped_points(t):
 
 @query("key_pairs", "J03", """
 SELECT COALESCE(a.k, b.k) AS frame, CASE WHEN a.k IS NULL THEN 'right_only' WHEN b.k IS NULL THEN 'left_only' ELSE 'paired' END AS side
-FROM (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_quantity > 40) a FULL OUTER JOIN (SELECT DISTINCT p_partkey AS k FROM part WHERE p_size > 10) b ON a.k = b.k""")
+FROM (SELECT DISTINCT l_partkey AS k FROM lineitem) a FULL OUTER JOIN (SELECT DISTINCT p_partkey + p_size % 3 AS k FROM part) b ON a.k = b.k""")
 def key_pairs(t):
-    a = t.lineitem.filter("l_quantity > 40").select(F.col("l_partkey").alias("frame"))
-    return pair_keys(a, t.part.filter("p_size > 10").select(F.col("p_partkey").alias("frame")), "frame")
+    a = t.lineitem.select(F.col("l_partkey").alias("frame"))
+    return pair_keys(a, t.part.select((F.col("p_partkey") + F.col("p_size") % 3).alias("frame")), "frame")
 
 
 @query("not_done", "S13 J02", "SELECT path, size FROM fx_manifest WHERE remote_size IS NULL")
@@ -106,11 +106,11 @@ def resume(t):
 
 
 @query("key_sets", "D02", """
-WITH a AS (SELECT DISTINCT o_custkey AS k FROM orders), b AS (SELECT c_custkey AS k FROM customer WHERE c_acctbal > 0)
+WITH a AS (SELECT DISTINCT o_custkey AS k FROM orders), b AS (SELECT c_custkey + c_nationkey % 2 AS k FROM customer)
 SELECT 'both' AS which, k FROM (SELECT k FROM a INTERSECT SELECT k FROM b) q UNION ALL SELECT 'first_only', k FROM (SELECT k FROM a EXCEPT SELECT k FROM b) q""")
 def key_sets(t):
     a = t.orders.select(F.col("o_custkey").alias("k")).distinct()
-    b = t.customer.filter("c_acctbal > 0").select(F.col("c_custkey").alias("k"))
+    b = t.customer.select((F.col("c_custkey") + F.col("c_nationkey") % 2).alias("k"))
     return a.intersect(b).select(F.lit("both").alias("which"), "k").unionByName(a.exceptAll(b).select(F.lit("first_only").alias("which"), "k"))
 
 
@@ -123,9 +123,8 @@ def tagged_union(t):
     return a.unionByName(b, allowMissingColumns=True)
 
 
-@query("seeded_sample", "D03")
+@query("seeded_sample", "D03", "SELECT frame FROM (SELECT DISTINCT frame FROM fx_frames) q ORDER BY md5('7/' || frame), frame LIMIT 40")
 def seeded_sample(t):
-    """Rows-only: our own hash order."""
     return D.seeded_sample(t.fx_frames.select("frame"), "frame", 40, 7)
 
 

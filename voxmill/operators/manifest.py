@@ -113,4 +113,4 @@ def packs_to_pull(remote: DataFrame, done: DataFrame, skip: list[str]) -> DataFr
 
 def seeded_sample(frames: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """n rows picked by a seeded hash of their key: the same rows on every run and cluster."""
-    return frames.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n)
+    return frames.orderBy(F.md5(F.concat(F.lit(f"{seed}/"), F.col(key).cast("string")).cast("binary")), key).limit(n)

@@ -1,6 +1,7 @@
 """Session helpers: table access and the shared checkpoint folder."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,3 +21,12 @@ def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the rows are stored once and the lineage ends here."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def scratch(spark: SparkSession) -> str:
+    """The URI of a fresh folder beside the checkpoints, which every executor can reach."""
+    ensure_checkpoint_dir(spark)
+    base = spark.sparkContext.getCheckpointDir()
+    if base.startswith("file:/") and not base.startswith("file://"):
+        base = "file://" + base[5:]
+    return f"{base}/{uuid.uuid4().hex}"

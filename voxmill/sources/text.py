@@ -12,12 +12,14 @@ from voxmill.schema import CLASS_COLOURS, SCORES
 
 # Colours a settled voxel wears, in the order they are applied.
 VERDICT_COLOURS = [("confirmed", (60, 220, 90)), ("disproved", (230, 60, 60)), ("missed", (70, 130, 255))]
+# The header of a point file.
 HEADER = ["ply", "format ascii 1.0", "element vertex", "property float x", "property float y", "property float z",
           "property uchar red", "property uchar green", "property uchar blue", "end_header"]
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path).select("value", F.input_file_name().alias("file"))
+def read_lines(spark: SparkSession, path: str, *folders: str) -> DataFrame:
+    """Lines with their file, and with the ``name=value`` folders named that they stand in."""
+    return spark.read.text(path).select("value", F.input_file_name().alias("file"), *folders)
 
 
 def numbers(value: Column) -> Column:

@@ -2,9 +2,12 @@
 
 import io
 import struct
+import uuid
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,6 +24,24 @@ def read_binary(spark: SparkSession, folder: str, pattern: str = "*") -> DataFra
             .load(folder).select("path", "content"))
 
 
+def write_binary(files: DataFrame, root: str) -> DataFrame:
+    """Write each (path, content) below ``root``, a URI all executors share; one row of path and size a file.
+
+    A file is written beside its place and moved there, so a repeated task leaves whole files."""
+    def write(batches):
+        store, base = fs.FileSystem.from_uri(root)
+        for pdf in batches:
+            for path, content in zip(pdf["path"], pdf["content"]):
+                at = f"{base}/{path.lstrip('/')}"
+                store.create_dir(at.rsplit("/", 1)[0], recursive=True)
+                part = f"{at}.{uuid.uuid4().hex}.part"
+                with store.open_output_stream(part, compression=None) as out:
+                    out.write(content)
+                store.move(part, at)
+            yield pd.DataFrame({"path": pdf["path"], "size": pdf["content"].map(len)})
+    return files.mapInPandas(write, "path string, size long")
+
+
 def volume_rows(files: DataFrame, array: str = "arr_0") -> DataFrame:
     """One row per cell of each npy/npz volume. Files are decoded where Spark reads them; a file
     is one frame, so a task holds one frame's array at a time."""
@@ -48,19 +69,18 @@ def complete_frames(lists: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
     return have.filter(full).select("frame"), have.filter(~full)
 
 
-def voxel_table(volumes: dict[str, DataFrame], weight: DataFrame | None = None, sentinel: int = 307200) -> DataFrame:
-    """Join the parallel volumes of each frame into voxel rows; a frame missing one is skipped.
+def voxel_table(rows: DataFrame, weight: DataFrame | None = None, sentinel: int = 307200) -> DataFrame:
+    """Turn the parallel volumes of each frame into voxel rows; a frame missing one is skipped.
 
-    ``volumes`` maps pred, label, tsdf and mapping to rows of ``volume_rows``. All sides are
-    hashed on (frame, flat), so a frame's cells spread over tasks."""
-    out = None
-    for kind in KINDS:
-        v = volumes[kind].select("frame", "flat", F.col("value").alias(kind))
-        out = v if out is None else out.join(v, ["frame", "flat"])
+    ``rows`` are those of ``volume_rows`` for files in folders named pred, label, tsdf and mapping,
+    each decoded once. One shuffle on (frame, flat) spreads a frame's cells over tasks."""
+    kind = F.element_at(F.split("file", "/"), -2)
     if weight is not None:
-        out = out.join(weight.select("frame", "flat", F.col("value").alias("label_weight")), ["frame", "flat"])
-    else:
-        out = out.withColumn("label_weight", F.lit(None).cast("double"))
+        rows = rows.unionByName(weight)
+    of = lambda k: F.max(F.when(F.col("kind") == k, F.col("value"))).alias(k)
+    out = rows.withColumn("kind", kind).groupBy("frame", "flat").agg(*[of(k) for k in KINDS], of("label_weight"))
+    needed = KINDS if weight is None else (*KINDS, "label_weight")
+    out = out.filter(reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in needed]))
     flat = F.col("flat")
     return out.select("frame", "flat", F.floor(flat / 2160).cast("int").alias("gz"), (F.floor(flat / 60) % 36).cast("int").alias("gy"),
                       (flat % 60).alias("gx"), F.col("pred").cast("int").alias("pred"), F.col("label").cast("int").alias("label"),
