@@ -82,6 +82,18 @@ def test_quantiles_match_linear_interpolation(spark):
     assert {r.name: r.mid for r in wide} == {"v": 2.5, "w": 5.0}
 
 
+def test_an_outlier_crowds_no_bucket(spark):
+    from voxmill.plans.quantiles import bucketed
+    df = spark.range(50_000).select(F.lit("k").alias("k"), F.when(F.col("id") == 0, 1e12).otherwise(F.pow(1.001, F.col("id") % 20_000)).alias("v"))
+    counted = df.groupBy("k", F.col("v").alias("v_")).agg(F.count(F.lit(1)).alias("n_"))
+    sizes = bucketed(counted, ["k"]).groupBy("b_").agg(F.count(F.lit(1)).alias("rows"), F.min("v_").alias("lo"), F.max("v_").alias("hi")).orderBy("b_").collect()
+    assert max(r.rows for r in sizes) <= 4 * 20_000 / 1024 and len(sizes) > 900
+    assert all(a.hi < b.lo for a, b in zip(sizes, sizes[1:]))
+    v = sorted(1e12 if i == 0 else 1.001 ** (i % 20_000) for i in range(50_000))
+    got = exact_quantiles(df, ["k"], "v", {"mid": 0.5, "top": 1.0}).first()
+    assert got.top == 1e12 and abs(got.mid / np.quantile(v, 0.5) - 1) < 1e-12
+
+
 def sequential(rows, start, step):
     s = start()
     return [step(s, r) for r in rows]

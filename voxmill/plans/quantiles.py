@@ -3,9 +3,12 @@
 Spark's ``percentile`` keeps every distinct value of a group in one buffer. That
 is fine for a bounded lattice (``lattice_quantiles``), not for a group of any
 size (``exact_quantiles``), which finds the histogram bucket each rank falls in
-and orders only the values of those buckets.
+and orders only the values of those buckets. Buckets end at approximate quantiles
+of the distinct values, so an outlier or a long tail crowds none of them.
 """
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,23 +23,35 @@ def lattice_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[st
         F.percentile(F.col(value), F.lit(p), F.col("n_")).alias(name) for name, p in probs.items()])
 
 
+def bucketed(counted: DataFrame, keys: list[str], buckets: int = 1024) -> DataFrame:
+    """``counted`` (keys, v_, n_) with ``total_`` of its key and ``b_``, a bucket that rises with v_.
+
+    Edges are about equally many distinct values apart. A value finds its bucket in two short
+    looks, one at every step-th edge and one between two of those."""
+    step = max(2, math.isqrt(buckets))
+    at = F.array(*[F.lit(i / buckets) for i in range(buckets)])
+    span = counted.groupBy(*keys).agg(F.percentile_approx("v_", at, F.lit(16 * buckets)).alias("edges_"), F.sum("n_").alias("total_"))
+    span = span.withColumn("coarse_", F.filter("edges_", lambda e, i: i % step == 0))
+    below = lambda edges: F.size(F.filter(edges, lambda e: e <= F.col("v_")))
+    first = F.greatest(below(F.col("coarse_")) - 1, F.lit(0)) * step
+    j = counted.join(span, keys).withColumn("from_", first)
+    return j.withColumn("b_", F.col("from_") + below(F.slice("edges_", F.col("from_") + 1, F.lit(step)))).drop("edges_", "coarse_", "from_")
+
+
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict, buckets: int = 1024) -> DataFrame:
     """Linear-interpolated quantiles of any column, one row per key.
 
-    Distinct values are counted, spread over fixed-width buckets of the key's own
-    range, and only buckets holding a wanted rank are ordered. A probability may also be
-    given as a function from the key's count (a Column) to a 0-based rank."""
+    Distinct values are counted and bucketed, and only buckets holding a wanted rank are
+    ordered. A probability may also be given as a function from the key's count (a Column) to
+    a 0-based rank."""
     k = list(keys) or ["one_"]
     src = df if keys else df.withColumn("one_", F.lit(1))
     v = F.col(value).cast("double")
     counted = (src.filter(v.isNotNull() & ~F.isnan(v)).groupBy(*k, v.alias("v_"))
                .agg(F.count(F.lit(1)).alias("n_")))
-    span = counted.groupBy(*k).agg(F.min("v_").alias("lo_"), F.max("v_").alias("hi_"), F.sum("n_").alias("total_"))
-    cell = F.when(F.col("hi_") > F.col("lo_"), F.least(F.floor(
-        (F.col("v_") - F.col("lo_")) / (F.col("hi_") - F.col("lo_")) * buckets), F.lit(buckets - 1))).otherwise(F.lit(0).cast("long"))
-    placed = counted.join(span, k).withColumn("b_", cell)
+    placed = bucketed(counted, k, buckets)
     hist = placed.groupBy(*k, "b_").agg(F.sum("n_").alias("n_"), F.first("total_").alias("total_"))
-    upto = W.partitionBy(*k).orderBy("b_").rowsBetween(W.unboundedPreceding, -1)  # <= `buckets` rows a key
+    upto = W.partitionBy(*k).orderBy("b_").rowsBetween(W.unboundedPreceding, -1)  # <= `buckets` + 1 rows a key
     hist = hist.withColumn("before_", F.coalesce(F.sum("n_").over(upto), F.lit(0)))
     total = F.col("total_")
     rank = lambda p: p(total).cast("double") if callable(p) else F.lit(float(p)) * (total - 1)
