@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from voxmill.catalog.evidence import COLOUR, WORLD
 from voxmill.catalog.registry import query
 from voxmill.functions import geometry as G
 from voxmill.functions.hooks import score_frames
@@ -94,9 +95,18 @@ def voxel_lines(t):
     return text.voxel_lines(v, "frame", F.col("label_weight") > 0)
 
 
-@query("world_lines", "S05")
+VERDICT_RGB = [" ".join(f"WHEN {name} THEN {colour[i]}" for name, colour in reversed(text.VERDICT_COLOURS)) for i in range(3)]
+
+
+@query("world_lines", "S05", WORLD + f""", lc AS ({COLOUR}), paint(id, r0, g0, b0) AS (VALUES {COLOURS}),
+shown AS (SELECT dp.*, r0, g0, b0, lc.r, lc.g, lc.b FROM dp JOIN paint ON paint.id = dp.cls LEFT JOIN lc ON lc.room = dp.room AND lc.ix = dp.ix AND lc.iy = dp.iy AND lc.iz = dp.iz
+  WHERE measured OR predicted),
+painted AS (SELECT room, ix, iy, iz, {", ".join(f"CASE {VERDICT_RGB[i]} WHEN measured AND {x} IS NOT NULL THEN round_even({x}, 0)::INT ELSE {x}0 END AS {x}" for i, x in enumerate("rgb"))} FROM shown),
+sizes AS (SELECT room, COUNT(*) AS n FROM painted GROUP BY room)
+SELECT room, 1 AS is_body, (ix * 100000::BIGINT + iy) * 100000 + iz AS pos,
+  printf('%.4f %.4f %.4f ', -1e0 + (ix + 0.5e0) * 0.08e0, -1e0 + (iy + 0.5e0) * 0.08e0, -0.13e0 + (iz + 0.5e0) * 0.08e0) || r || ' ' || g || ' ' || b AS value FROM painted
+UNION ALL SELECT room, 0, h, CASE WHEN h = 2 THEN 'element vertex ' || n ELSE ({text.HEADER})[h + 1] END FROM sizes CROSS JOIN (SELECT UNNEST(range(10)) AS h) x""")
 def world_lines(t):
-    """Rows-only: printf rounding of coordinates differs between engines; a test checks the colours."""
     w = E.with_disproved(E.verdicts(E.world_map(t.fx_evidence, t.fx_claims)))
     c = E.latest_colour(t.fx_evidence).select("room", "ix", "iy", "iz", *[F.rint(x).alias(x) for x in "rgb"])
     return text.world_lines(w.join(c, E.VOXEL, "left"), (-1.0, -1.0, -0.13), 0.08)
