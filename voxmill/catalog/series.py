@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from voxmill.catalog.geometry import PTS
 from voxmill.catalog.registry import query
 from voxmill.operators import series as S
 
