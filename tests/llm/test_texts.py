@@ -251,7 +251,9 @@ def test_top_k_is_exact(spark, none, terms):
     assert search.search(none, F.col("doc_id") % 5 == 0).count() == 0
 
 
-def test_many_shards_give_the_same(spark, monkeypatch):
+@pytest.mark.parametrize("light", [0, 8])
+def test_many_shards_give_the_same(spark, monkeypatch, light):
+    monkeypatch.setattr(search, "LIGHT", light)
     df = cases.frame(spark, ROWS)
     one = sorted(tuple(r) for r in search.search(df, F.col("doc_id") % 3 == 0).collect())
     real = search.index_shards
