@@ -269,7 +269,8 @@ def _linked(rows: DataFrame, n: int, least: float, missed: float) -> tuple[DataF
     block = F.pmod(F.xxhash64("c1"), F.col("blocks")).cast("int")
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j")))
     tiles = labels.join(crowds, "label").withColumn("blocks", blocks).withColumn("block", block).withColumn("t", F.explode(others))
-    bodies = _bodies(rows).groupBy("c1", "c2").agg(F.min("body").alias("body")).select("c1", "body")
+    # grouped by what it is joined on, so the words move once
+    bodies = _bodies(rows).groupBy("c1").agg(F.min("body").alias("body"))
     tiles = tiles.select("label", "t.i", "t.j", "block", "c1").join(bodies, "c1")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = stored(_tiles(tiles.repartition(parts, "label", "i", "j").sortWithinPartitions("label", "i", "j"), n, least), "links")
