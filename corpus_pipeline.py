@@ -17,8 +17,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of recurring templates go; every document stays."""
-    kept = lines.drop_recurring(docs)
+    """Lines of templates that recur in 10 texts go; every document stays."""
+    kept = lines.drop_recurring(docs, spread=None)
     changed = {"text": F.col("kept_text")}
     if "n_chars" in docs.columns:
         changed["n_chars"] = F.when(F.col("n_dropped") > 0, F.length("kept_text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)

@@ -357,6 +357,21 @@ def test_templates(spark, none):
     assert lines.drop_recurring(none.drop("kept_text")).count() == 0
 
 
+def test_templates_recur_by_text_whatever_stands_around(spark):
+    word = lambda i, k: "".join("abcdefghij"[int(d)] for d in f"{i:03d}{k}")
+    own = lambda i, k: " ".join(word(i, k) + s for s in ("x", "y", "z", "u"))
+    block = ["Share this page with friends", "Sign up for our newsletter today", "Terms of use apply here"]
+    rows = [(i, "\n".join([own(i, 0), "", "Read more on our site", "", own(i, 1)]), "s") for i in range(12)]     # between blank lines
+    rows += [(100 + i, "\n".join([own(100 + i, 0), *block, own(100 + i, 1)]), "s") for i in range(12)]           # inside a block
+    hot = "Follow us on every network\n" + own(300, 0)
+    rows += [(200 + i, own(200 + i, 0) + "\nFollow us on every network", "s") for i in range(12)] + [(400 + i, hot, "s") for i in range(40)]
+    by = {r.doc_id: r for r in lines.drop_recurring(cases.frame(spark, rows).drop("kept_text"), spread=None).collect()}
+    assert all(by[i].kept_text == "\n".join([own(i, 0), "", "", own(i, 1)]) for i in range(12))
+    assert all(by[100 + i].kept_text == "\n".join([own(100 + i, 0), own(100 + i, 1)]) for i in range(12))
+    assert all(by[200 + i].kept_text == own(200 + i, 0) for i in range(12))
+    assert all(by[400 + i].kept_text == own(300, 0) for i in range(40))
+
+
 # mixing -------------------------------------------------------------------------------------------
 
 def test_exponent_meets_entropy_and_repeats():

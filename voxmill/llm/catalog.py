@@ -102,7 +102,7 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     SELECT doc_id, n_lines::INTEGER AS n_lines, n_dropped::INTEGER AS n_dropped, sha256(kept_text) AS kept_sha256 FROM kept""")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     """Every document without its boilerplate lines."""
-    kept = lines.drop_recurring(table(spark, folder, "documents"))
+    kept = lines.drop_recurring(table(spark, folder, "documents"), spread=None)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("kept_text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
