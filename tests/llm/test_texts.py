@@ -151,6 +151,20 @@ def test_crowded_buckets_split_and_lose_nothing(spark):
     assert len(linked) > 20
 
 
+def test_pairs_split_to_the_last_level_are_found(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for p in range(1500):
+        a = rng.integers(0, 1 << 32, 128, dtype=np.uint32)
+        b = a.copy()
+        b[rng.permutation(128)[:25]] = rng.integers(0, 1 << 32, 25, dtype=np.uint32)
+        rows += [(2 * p, a.tobytes()), (2 * p + 1, b.tobytes())]
+    sets = shared.stored(spark.createDataFrame(rows, "c1 long, tokens binary"), "sets")
+    # every node of two sets is split, down to depth 4
+    found = {frozenset(e) for e in pairs.candidates(sets, crowd=1, depth=4).select("a", "b").collect()}
+    assert found == {frozenset((2 * p, 2 * p + 1)) for p in range(1500)}
+
+
 def test_keep_one_of_each_group(spark, none):
     rows = near_rows()
     df = cases.frame(spark, rows)

@@ -157,25 +157,47 @@ def _compare(buckets: DataFrame, maybe: float, sure: float) -> DataFrame:
     return buckets.select("path", "c1", "marks").mapInArrow(run, "a long, b long")
 
 
+def _runs(levels: int, missed: float) -> int:
+    """Runs until a pair that is split so many levels deep is missed with at most this chance.
+
+    A pair at the threshold lives on for a level as a branching process of mean 1 does: 0.63, 0.47
+    for two levels, 0.37 for three, 0.31 for four.
+    """
+    alive = 1.0
+    for _ in range(levels):
+        alive = 1 - math.exp(-alive)
+    return math.ceil(math.log(missed) / math.log(1 - alive))
+
+
 def candidates(sets: DataFrame, least: float = 0.8, missed: float = 1e-4, crowd: int = 256, depth: int = 4) -> DataFrame:
     """Edges ``a, b`` from stored ``c1, tokens``: every pair at ``least`` hangs together but for the chance ``missed``.
 
-    A run finds such a pair with the chance that a branching process of mean 1 lives on for a level,
-    0.63 (0.47 for two, 0.37 for three); the number of runs is reckoned for two levels.
+    All sets take part in the runs that pairs split two levels deep at most need. The sets of nodes
+    that are split again take part in further ones, as many as the deepest level needs. A pair that
+    was ever split so deep has both its sets there. Either way of missing a pair has half the chance.
     """
-    runs = math.ceil(math.log(missed) / math.log(1 - 0.47))
-    roots = F.explode(F.array(*[F.lit(_mix(r + 1) - (1 << 63)) for r in range(runs)]))
-    level = _split(sets.select(roots.alias("path"), "c1", "tokens"), least)
-    leaves, n = [], int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    for deep in range(1, depth + 1):
-        counts = level.groupBy("path").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-        level = stored(level.join(counts, "path"), "paths")
-        crowded = level.filter(F.col("size") > crowd)
-        if deep == depth or crowded.isEmpty():
-            leaves.append(level.select("path", "c1"))
-            break
-        leaves.append(level.filter(F.col("size") <= crowd).select("path", "c1"))
-        level = _split(crowded.select("path", "c1").join(sets, "c1"), least)
+    n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    leaves, deeper = [], []
+
+    def descend(some: DataFrame, runs: range) -> None:
+        roots = F.explode(F.array(*[F.lit(_mix(r + 1) - (1 << 63)) for r in runs]))
+        level = _split(some.select(roots.alias("path"), "c1", "tokens"), least)
+        for deep in range(1, depth + 1):
+            counts = level.groupBy("path").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+            level = stored(level.join(counts, "path"), "paths")
+            crowded = level.filter(F.col("size") > crowd)
+            if deep == depth or crowded.isEmpty():
+                leaves.append(level.select("path", "c1"))
+                break
+            leaves.append(level.filter(F.col("size") <= crowd).select("path", "c1"))
+            if deep == 2:
+                deeper.append(crowded.select("c1"))
+            level = _split(crowded.select("path", "c1").join(sets, "c1"), least)
+
+    first, last = _runs(min(depth, 2), missed / 2), _runs(depth, missed / 2)
+    descend(sets, range(first))
+    if deeper:
+        descend(sets.join(stored(deeper[0].distinct(), "deeper"), "c1", "left_semi"), range(first, last))
     rows = leaves[0]
     for more in leaves[1:]:
         rows = rows.unionByName(more)
