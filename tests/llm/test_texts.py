@@ -275,6 +275,19 @@ def test_many_shards_give_the_same(spark, monkeypatch, light):
     assert sorted(tuple(r) for r in search.search(df, F.col("doc_id") % 3 == 0).collect()) == one
 
 
+def test_registered_search_asks_with_whole_texts(spark, tmp_path):
+    from voxmill.llm.catalog import QUERIES
+    words = lambda i: [f"d{i}w{k}" for k in range(20)]
+    rows = [(20, " ".join(words(20)), "s"), (40, " ".join([*["loud"] * 9, *words(40), "faint"]), "s"), (41, "faint", "s")]
+    rows += [(50 + i, " ".join(["loud"] * 3 + words(60 + i)), "s") for i in range(15)]
+    cases.frame(spark, rows).select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.query_id, r["rank"]): r for r in QUERIES["op9_top_k_search"](spark, str(tmp_path)).collect()}
+    # words of one row only count
+    assert got[20, 1].doc_id == 20 and got[40, 1].doc_id == 40
+    n, average = len(rows), sum(len(t.split()) for _, t, _ in rows) / len(rows)
+    assert got[20, 1].score == pytest.approx(20 * math.log(1 + (n - 0.5) / 1.5) * 2.2 / (1 + 1.2 * (0.25 + 0.75 * 20 / average)))
+
+
 # toxicity -----------------------------------------------------------------------------------------
 
 def test_machine_learns_words_and_meetings(spark):
