@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxmill.llm import language, leaks, lines, mixing, pairs, search, substrings, tokens, toxicity, warc
+from voxmill.llm import language, leaks, lines, merkle, mixing, pairs, search, substrings, tokens, toxicity, warc
 from voxmill.llm.shared import remainder
 
 QUERIES = {}
@@ -175,3 +175,56 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     """Every page written as a WARC record and read back."""
     index = warc.write_archives(table(spark, folder, "pages"))
     return warc.read_records(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: Nodes level by level up to one a tree; ``{of}`` has (tree, i, h) of the leaves.
+TREE_SQL = """
+    {name} AS (SELECT 0 AS level, tree, i, h, count(*) OVER (PARTITION BY tree) AS n FROM {of}
+               UNION ALL
+               SELECT any_value(level) + 1, tree, i // 2, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 1) // 2 FROM {name}
+               WHERE n > 1 GROUP BY tree, i // 2)"""
+
+#: For each node the way up to its tree's root: the siblings from below, and on which side they are.
+WAY_SQL = """
+    {name} AS (SELECT a.level, a.tree, a.i, list(struct_pack(left := b.i < u.i, h := b.h) ORDER BY u.level) AS way
+               FROM {leaves} a JOIN {nodes} u ON u.tree = a.tree AND u.i = a.i >> u.level AND u.n > 1
+               LEFT JOIN {nodes} b ON b.tree = u.tree AND b.level = u.level AND b.i = xor(u.i, 1) GROUP BY ALL)"""
+
+
+def _crc_sql(text: str) -> str:
+    """crc32 in DuckDB, bit by bit: fixed polynomial."""
+    step = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda s, z: CASE WHEN s & 1 = 1 THEN xor(s >> 1, 3988292384) ELSE s >> 1 END)"
+    codes = f"list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {codes}), lambda c, b: {step}), 4294967295)"
+
+
+def _leaf_sql(values: dict[str, str]) -> str:
+    return "sha256(" + " || ".join(f"coalesce(strlen({v}::VARCHAR)::VARCHAR || ':' || {v}::VARCHAR, '-')" for v in values.values()) + ")"
+
+
+_PLAIN = {c: c for c in merkle.FIELDS}
+
+MERKLE_SQL = f"""
+    WITH RECURSIVE d AS (SELECT doc_id, coalesce('=' || lang, '') AS tree, {_leaf_sql(_PLAIN)} AS h,
+                                CASE WHEN {_crc_sql("doc_id::VARCHAR")} % 7 = 0 THEN {_leaf_sql(_PLAIN | {"n_chars": "(n_chars + 1)"})} END AS shown FROM documents),
+    l AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, h) - 1 AS i FROM d),
+    {TREE_SQL.format(name="t", of="l")},
+    s AS (SELECT '' AS tree, tree AS name, row_number() OVER (ORDER BY tree) - 1 AS i, h FROM t WHERE n = 1),
+    {TREE_SQL.format(name="u", of="s")},
+    r AS (SELECT h AS root FROM u WHERE n = 1),
+    {WAY_SQL.format(name="lw", leaves="(SELECT 0 AS level, tree, i FROM l)", nodes="t")},
+    {WAY_SQL.format(name="sw", leaves="(SELECT 0 AS level, tree, i FROM s)", nodes="u")},
+    p AS (SELECT doc_id, l.h AS leaf, coalesce(shown, l.h) AS given, s.h AS subroot, root,
+                 list_concat(coalesce(lw.way, []), coalesce(sw.way, [])) AS way
+          FROM l JOIN s ON s.name = l.tree CROSS JOIN r LEFT JOIN lw ON lw.tree = l.tree AND lw.i = l.i LEFT JOIN sw ON sw.i = s.i),
+    f AS (SELECT *, sha256(array_to_string(list_transform(way, lambda x: coalesce(x.h, '')), '')) AS proof_sha256,
+                 list_reduce(list_concat([struct_pack("left" := false, h := given)], way),
+                             lambda a, x: struct_pack("left" := false, h := sha256(CASE WHEN x."left" THEN x.h || a.h ELSE a.h || coalesce(x.h, '') END))).h AS folded_root FROM p)
+    SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM f""".replace("struct_pack(left :=", 'struct_pack("left" :=')
+
+
+@query("op13_merkle_manifest", MERKLE_SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's place in the manifest, with every seventh or so tampered with."""
+    tampered = F.when(F.col("doc_id").isNotNull() & (remainder("doc_id", 7) == 0), F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    return merkle.manifest(table(spark, folder, "documents"), {"n_chars": tampered})
