@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxmill.llm import language, leaks, lines, merkle, mixing, pairs, search, substrings, tokens, toxicity, warc
+from voxmill.llm import alignment, language, leaks, lines, merkle, mixing, pairs, search, substrings, tokens, toxicity, warc
 from voxmill.llm.shared import remainder
 
 QUERIES = {}
@@ -177,6 +177,12 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return warc.read_records(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query("op11_alignment")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's tokens under two tokenizers, grouped where both end."""
+    return alignment.align(table(spark, folder, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
 #: Nodes level by level up to one a tree; ``{of}`` has (tree, i, h) of the leaves.
 TREE_SQL = """
     {name} AS (SELECT 0 AS level, tree, i, h, count(*) OVER (PARTITION BY tree) AS n FROM {of}
