@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxmill.llm.shared import keyed, small, stored
+from voxmill.llm.shared import join_copies, keyed, small, stored
 
 MEASURES = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 _ALIGNED = pa.schema([("digest", pa.binary()), ("copies", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()),
@@ -228,12 +228,7 @@ def align(docs: DataFrame, a_file: str, b_file: str, doc_id="doc_id", text="text
     sums = parts.filter("pair is null").select("digest", "n", "best").unionByName(rare)
     sums = sums.groupBy("digest").agg(F.sum("n").alias("count_sum"), F.sum("best").alias("n_best"))
     measured = stored(aligned.drop("a", "b").join(sums, "digest"), "measured")
-    total = measured.agg(F.sum("copies")).first()[0] or 0
-    hot, columns = F.col("copies") * 1000 >= total, (*MEASURES, "groups_sha256")
-    widely = measured.filter(hot).select("digest", *[F.col(c).alias(f"hot_{c}") for c in columns])
-    copies = rows.select("key", "doc_id", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest")).join(F.broadcast(widely), "digest", "left")
-    #: Rows that have their measures already are dealt out by their own key, which is no digest.
-    copies = copies.withColumn("digest", F.when(F.col("hot_n_a").isNull(), F.col("digest")).otherwise(F.col("key").cast("string").cast("binary")))
-    joined = copies.join(measured.filter(~hot), "digest", "left")
-    return joined.select("doc_id", *[F.coalesce(f"hot_{c}", c, F.lit(0).cast("long")).alias(c) for c in MEASURES],
-                         F.coalesce("hot_groups_sha256", "groups_sha256", F.lit("")).alias("groups_sha256"))
+    copies = rows.select("key", "doc_id", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest"))
+    joined = join_copies(copies, measured, [*MEASURES, "groups_sha256"])
+    return joined.select("doc_id", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in MEASURES],
+                         F.coalesce("groups_sha256", F.lit("")).alias("groups_sha256"))

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxmill.llm import alignment, language, leaks, lines, merkle, mixing, pairs, search, substrings, tokens, toxicity, warc
+from voxmill.llm import alignment, forest, language, leaks, lines, merkle, mixing, pairs, search, substrings, tokens, toxicity, warc
 from voxmill.llm.shared import remainder
 
 QUERIES = {}
@@ -183,6 +183,12 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     return alignment.align(table(spark, folder, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
 
 
+@query("op12_embedding_near_dedup")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    """Every vector with its links and component at cosine 0.95."""
+    return forest.near_groups(table(spark, folder, "embeddings"))
+
+
 #: Nodes level by level up to one a tree; ``{of}`` has (tree, i, h) of the leaves.
 TREE_SQL = """
     {name} AS (SELECT 0 AS level, tree, i, h, count(*) OVER (PARTITION BY tree) AS n FROM {of}

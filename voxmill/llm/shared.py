@@ -50,6 +50,22 @@ def remainder(doc_id: str, modulus: int):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def join_copies(rows: DataFrame, told: DataFrame, columns: list[str]) -> DataFrame:
+    """``rows`` (key, digest, ..) with the ``columns`` that ``told`` (digest, copies, ..) has of each digest, else nulls.
+
+    What a thousandth of all copies or more shares, so a thousand digests at most, is broadcast, and its
+    rows are dealt out by their own key, which is no digest, like those without a digest.
+    """
+    total = told.agg(F.sum("copies")).first()[0] or 0
+    hot = F.col("copies") * 1000 >= total
+    widely = told.filter(hot).select("digest", *[F.col(c).alias(f"hot_{c}") for c in columns], F.lit(True).alias("hot"))
+    rows = rows.join(F.broadcast(widely), "digest", "left")
+    alone = F.col("digest").isNull() | F.col("hot").isNotNull()
+    rows = rows.withColumn("digest", F.when(alone, F.col("key").cast("string").cast("binary")).otherwise(F.col("digest")))
+    rest = told.filter(~hot).select("digest", *[F.col(c).alias(f"own_{c}") for c in columns])
+    return rows.join(rest, "digest", "left").withColumns({c: F.coalesce(f"hot_{c}", f"own_{c}") for c in columns})
+
+
 class Hashes(dict):
     """word bytes -> 64-bit hash, remembered; emptied when it holds ``most`` words."""
 
