@@ -2,11 +2,13 @@
 
 import math
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tests.conftest import FOLDER
 from voxmill.functions import geometry as G
 from voxmill.functions.geometry import Grid
 from voxmill.operators import evidence as E
@@ -206,6 +208,55 @@ def test_one_voxel_boxes_fill_their_own_cell(spark):
     assert got == {(i, i % 20, i * 7 % 20, i * 3 % 20, 1 + i % 11) for i in range(200)}
 
 
+def _turned(rng, yaw_only):
+    a = rng.uniform(-np.pi, np.pi, 3) * (0 if yaw_only else 1)
+    c, s = np.cos(a), np.sin(a)
+    y = rng.uniform(-np.pi, np.pi)
+    rz = np.array([[np.cos(y), -np.sin(y), 0], [np.sin(y), np.cos(y), 0], [0, 0, 1]])
+    return rz @ np.array([[1, 0, 0], [0, c[0], -s[0]], [0, s[0], c[0]]]) @ np.array([[c[1], 0, s[1]], [0, 1, 0], [-s[1], 0, c[1]]])
+
+
+@pytest.mark.parametrize("yaw_only,most", [(True, 512), (False, 512), (False, 7)])
+def test_runs_hold_the_cells_inside_each_solid(spark, yaw_only, most):
+    """Turned boxes, wedges and cylinders in closed form beside a test of every cell; later solids overwrite."""
+    rng = np.random.default_rng(5 + yaw_only)
+    g = Grid(-1.0, -2.0, 0.5, 0.25, 20, 18, 24)
+    rows, want = [], {}
+    for room in range(4):
+        for seq in range(12):
+            rot, size, centre = _turned(rng, yaw_only), rng.uniform(0.3, 4, 3), rng.uniform([-1, -2, 0.5], [4, 2.5, 6.5])
+            shape, cls = ["box", "wedge", "cylinder", "cone"][int(rng.integers(4))], int(rng.integers(1, 12))
+            rows.append((room, seq, cls, shape, *map(float, centre), *map(float, size), *map(float, rot.ravel())))
+            for ijk in np.ndindex(*g.dims):
+                p = rot.T @ (np.array([g.ox, g.oy, g.oz]) + (np.array(ijk) + 0.5) * g.unit - centre) / (size / 2)
+                inside = {"box": abs(p).max() <= 1, "wedge": abs(p).max() <= 1 and p[0] + p[2] <= 0,
+                          "cylinder": p[0] ** 2 + p[1] ** 2 <= 1 and abs(p[2]) <= 1, "cone": False}[shape]
+                if inside:
+                    want[room, *ijk] = cls
+    s = spark.createDataFrame(rows, "room int, seq int, cls int, shape string, " + ", ".join(f"{c} double" for c in ["cx", "cy", "cz", "sx", "sy", "sz", *G.ROT]))
+    runs = V.painted_runs(s, g, most=most)
+    cells = [(r.room, r.ix, r.iy, r.iz, r.label) for r in V.cells_of(runs).collect()]
+    assert len(cells) == len(want) and {c[:4]: c[4] for c in cells} == want
+    down = {tuple(r) for r in V.downsample_runs(runs, "room").collect()}
+    assert down == {tuple(r) for r in V.downsample_labels(V.cells_of(runs), "room").collect()}
+    assert {tuple(r) for r in V.downsample_runs(runs, "room", 3, 0).collect()} == {tuple(r) for r in V.downsample_labels(V.cells_of(runs), "room", 3, 0).collect()}
+
+
+def test_painting_is_compiled(spark, capsys):
+    """The JVM leaves methods above 8,000 bytes to the interpreter."""
+    from voxmill.catalog import voxels
+    from voxmill.derived import Tables
+    t = Tables(spark, FOLDER)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for df in (V.painted_runs(voxels.solids(t), voxels.LATTICE), voxels.volume(t), V.downsample_runs(voxels.volume(t), "room")):
+            df.explain("codegen")
+            sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+            assert sizes and max(sizes) < 8000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def test_block_vote_rules(spark):
     rows = [("a", i % 4, i // 4 % 4, 0, 3) for i in range(4)] + [("b", i % 4, i // 4, 0, 5) for i in range(3)] + [("c", 0, 0, z, 7 - z % 2) for z in range(4)]
     d = spark.createDataFrame(rows, "room string, ix int, iy int, iz int, label int")

@@ -146,12 +146,17 @@ def paint_sql(src, name):
     AND lz <= sz/2 - 2.0e0 * (sz/2) * ((lx + sx/2) / (2.0e0 * (sx/2))) + 1e-9 END GROUP BY ALL)"""
 
 
+def run_sums():
+    """Cells of runs, and the sum of their keys, without making them."""
+    n = F.col("k1") - F.col("k0") + 1
+    keys = (F.col("ix") * 40 + F.col("iy")) * 24 * n + (F.col("k0") + F.col("k1")) * n / 2
+    return F.sum(n).alias("n"), F.sum(keys.cast("long")).alias("keys")
+
+
 @query("painted_solids", "V12 J06 U03", f"""WITH {paint_sql('fx_solids', 'vol')}
 SELECT room, label, COUNT(*) AS n, SUM((ix * 40 + iy) * 24 + iz)::BIGINT AS keys FROM vol GROUP BY ALL""")
 def painted_solids(t):
-    p = V.paint_solids(solids(t), LATTICE)
-    key = (F.col("ix") * 40 + F.col("iy")) * 24 + F.col("iz")
-    return p.groupBy("room", "label").agg(F.count(F.lit(1)).alias("n"), F.sum(key).alias("keys"))
+    return V.painted_runs(solids(t), LATTICE).groupBy("room", "label").agg(*run_sums())
 
 
 SHELL = """rm AS (SELECT room, cx, cy, CASE WHEN ceiling THEN cz ELSE (cz - sz/2 + 24) / 2 END AS cz, sx, sy,
@@ -168,16 +173,14 @@ allsolids AS (
 
 
 def volume(t):
-    return V.label_volume(rooms(t), solids(t), LATTICE)
+    return V.label_runs(rooms(t), solids(t), LATTICE)
 
 
 @query("label_volume", "V13", f"""WITH {SHELL}, {paint_sql('allsolids', 'vol')}
 SELECT room, label, COUNT(*) AS n, SUM((ix * 40 + iy) * 24 + iz)::BIGINT AS keys FROM vol GROUP BY ALL
 UNION ALL SELECT room, 255, 38400 - COUNT(*), NULL FROM vol GROUP BY room""")
 def label_volume(t):
-    v = volume(t)
-    key = (F.col("ix") * 40 + F.col("iy")) * 24 + F.col("iz")
-    per = v.groupBy("room", "label").agg(F.count(F.lit(1)).alias("n"), F.sum(key).alias("keys"))
+    per = volume(t).groupBy("room", "label").agg(*run_sums())
     rest = per.groupBy("room").agg((40 * 40 * 24 - F.sum("n")).alias("n"))
     return per.unionByName(rest.select("room", F.lit(255).alias("label"), "n", F.lit(None).cast("long").alias("keys")))
 
@@ -193,7 +196,7 @@ pick AS (SELECT c.room, c.ix, c.iy, c.iz, c.label, ROW_NUMBER() OVER (PARTITION
 
 @query("downsampled_labels", "V09", f"WITH {DOWN} SELECT room, ix, iy, iz, CASE WHEN label = 12 THEN 255 ELSE label END AS label FROM pick WHERE rk = 1")
 def downsampled_labels(t):
-    return V.downsample_labels(volume(t), "room")
+    return V.downsample_runs(volume(t), "room")
 
 
 @query("scoring_weight", "V10", """

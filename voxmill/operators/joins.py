@@ -30,27 +30,32 @@ def explode_box(df: DataFrame, box: list[tuple[Column, Column]], names=("ix", "i
     return out
 
 
+def reckoned(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
+    """``keep`` and ``columns``, each reckoned once per row. In a plain select the optimizer may write a
+    column out again wherever a later filter or column uses it, until the JVM leaves the code to the interpreter."""
+    return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 Plane = tuple[Column, Column, Column, Column]
 
 
-def explode_convex(df: DataFrame, box: list[tuple[Column, Column]], planes: list[Plane], by: tuple[str, ...],
-                   grid: Grid, offset: float, pivot: tuple[str, str, str], keep: list[str],
-                   slab: int | None = None) -> DataFrame:
-    """Cells of a per-row box that may lie inside a convex body, with their coordinates in the
-    row's own axes: (keep.., ix, iy, iz, l0, l1, l2).
+def convex_runs(df: DataFrame, box: list[tuple[Column, Column]], planes: list[Plane], by: tuple[str, ...],
+                grid: Grid, offset: float, pivot: tuple[str, str, str], keep: list[str],
+                slab: int | None = None, wider: int = 0) -> DataFrame:
+    """For each column (ix, iy) of a per-row box the run of iz inside a convex body:
+    (keep.., ix, iy, lo_, hi_), and what gives a cell's place in the row's own axes (see ``own_axes``).
 
     The body is an intersection of half spaces ``a + bx*i + by*j + bz*k >= 0`` in cell
-    indices. Columns (i, j) are generated first; each keeps only the run of k that every
-    plane allows, widened by a cell, so a thin slanted slab or a view cone does not make its
-    whole bounding box. The caller's own exact test follows.
+    indices, so each gives the run an end in closed form and no cell is made. ``wider`` adds so
+    many cells at both ends, for callers that test each cell themselves. A run may be empty.
 
     Local coordinates are (point - pivot) turned by ``r00..r22``, ``offset`` being where in a
     cell it is sampled. The part that depends on i and j is summed once per column, which
-    keeps the code per cell short enough for the JVM to compile.
+    keeps the code per row short enough for the JVM to compile.
 
     With ``slab`` a row is first cut into slabs of that many cells along the first axis and
-    the rows are spread by (by.., slab): rows move, cells do not, a crowded key splits into
-    its slabs, and a later aggregate on (by.., slab_, cell) needs no shuffle."""
+    the rows are spread by (by.., slab): rows move, columns do not, a crowded key splits into
+    its slabs, and a later aggregate on (by.., slab_, column) needs no shuffle."""
     n = range(len(planes))
     named = df.select("*", *[c.alias(f"{e}{i}_") for i, pair in enumerate(box) for e, c in zip("ab", pair)],
                       *[c.alias(f"p{m}{x}_") for m, pl in enumerate(planes) for x, c in zip("axyz", pl)])
@@ -72,12 +77,37 @@ def explode_convex(df: DataFrame, box: list[tuple[Column, Column]], planes: list
     lo, hi = [F.col("a2_").cast("double")], [F.col("b2_").cast("double")]
     for m in n:
         s, slope = F.col(f"s{m}_"), F.col(f"p{m}z_")
-        lo.append(F.when(slope > 1e-9, F.floor(-s / slope) - 1.0))
-        hi.append(F.when(slope < -1e-9, F.ceil(-s / slope) + 1.0).when((slope <= 1e-9) & (s < -1e-6), -1.0))
+        if wider:
+            lo.append(F.when(slope > 1e-9, F.floor(-s / slope) - wider))
+            hi.append(F.when(slope < -1e-9, F.ceil(-s / slope) + wider).when((slope <= 1e-9) & (s < -1e-6), -1.0))
+        else:
+            lo.append(F.when(slope > 1e-12, -s / slope))
+            hi.append(F.when(slope < -1e-12, -s / slope).when((slope <= 1e-12) & (s < 0), -1.0))
+    ends = (F.greatest(*lo), F.least(*hi)) if wider else (F.ceil(F.least(F.greatest(*lo), F.col("b2_") + 1.0)), F.floor(F.greatest(F.least(*hi), F.lit(-1.0))))
     tail = list(dict.fromkeys([*keep, "ix", "iy", pivot[2], "r20", "r21", "r22"]))
-    out = out.select(*tail, *[f"t{j}_" for j in range(3)], F.greatest(*lo).cast("int").alias("lo_"), F.least(*hi).cast("int").alias("hi_"))
+    ends = {x: e.cast("int") for e, x in zip(ends, ("lo_", "hi_"))}
+    tail += [f"t{j}_" for j in range(3)]
+    return out.select(*tail, *[e.alias(x) for x, e in ends.items()]) if wider else reckoned(out, tail, **ends)
+
+
+def own_axes(grid: Grid, offset: float, pivot: str, iz) -> list[Column]:
+    """A cell's place in the axes of the row whose column it stands in, from what ``convex_runs`` gives."""
+    z = grid.origin[2] + (iz + offset) * grid.unit - F.col(pivot)
+    return [F.col(f"t{j}_") + z * F.col(f"r2{j}") for j in range(3)]
+
+
+def explode_convex(df: DataFrame, box: list[tuple[Column, Column]], planes: list[Plane], by: tuple[str, ...],
+                   grid: Grid, offset: float, pivot: tuple[str, str, str], keep: list[str],
+                   slab: int | None = None) -> DataFrame:
+    """Cells of a per-row box that may lie inside a convex body, with their coordinates in the
+    row's own axes: (keep.., ix, iy, iz, l0, l1, l2).
+
+    Runs of ``convex_runs``, a cell wider, so a thin slanted slab or a view cone does not make
+    its whole bounding box. The caller's own exact test follows."""
+    keep = [*keep, "slab_"] if slab else keep
+    out = convex_runs(df, box, planes, by, grid, offset, pivot, [c for c in keep if c != "slab_"], slab, 1)
     out = out.select("*", F.explode(span(F.col("lo_"), F.col("hi_"))).alias("iz"))
-    return out.select(*keep, "ix", "iy", "iz", *[(F.col(f"t{j}_") + at(2, "iz") * F.col(f"r2{j}")).alias(f"l{j}") for j in range(3)])
+    return out.select(*keep, "ix", "iy", "iz", *[c.alias(f"l{j}") for j, c in enumerate(own_axes(grid, offset, pivot[2], F.col("iz")))])
 
 
 def view_planes(p: dict[str, Column], grid: Grid, offset: float, width: int, height: int, near, far) -> list[Plane]:

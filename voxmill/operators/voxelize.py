@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from voxmill.functions import geometry as G
 from voxmill.functions.geometry import LENS, POSE, Grid, apply_pose, pose
-from voxmill.operators.joins import explode_box, explode_convex, view_cells
+from voxmill.operators.joins import convex_runs, explode_box, own_axes, reckoned, view_cells
 from voxmill.plans.quantiles import lattice_quantiles
 from voxmill.schema import IGNORE
 
@@ -117,14 +117,9 @@ def block_mean(tsdf: DataFrame, r: int = 4) -> DataFrame:
             .agg((F.sum("tsdf") / n).alias("tsdf"), F.when(F.count(F.lit(1)) / n >= 0.5, 1).otherwise(0).alias("weight")))
 
 
-def downsample_labels(cells: DataFrame, key: str, r: int = 4, default: int = IGNORE) -> DataFrame:
-    """Block vote over a sparse label volume: all bins when empty plus ignore exceed 95 %,
-    else the object classes only; ties go to the lowest class. Unlisted cells are ``default``."""
-    total = r ** 3
-    bins = F.when(F.col("label") == IGNORE, 12).otherwise(F.col("label"))
-    per = (cells.select(key, *[F.floor(F.col(c) / r).cast("int").alias(c) for c in CELL], bins.alias("bin"))
-           .groupBy(key, *CELL).agg(F.count(F.lit(1)).alias("listed"),
-                                    *[F.count_if(F.col("bin") == b).alias(f"b{b}") for b in range(13)]))
+def _block_vote(parts: DataFrame, by: list[str], key: str, total: int, default: int) -> DataFrame:
+    """Label of each block from ``parts`` (by.., bin, n): how many of its cells a class has."""
+    per = parts.groupBy(*by, *CELL).agg(F.sum("n").alias("listed"), *[F.sum(F.when(F.col("bin") == b, F.col("n")).otherwise(0)).alias(f"b{b}") for b in range(13)])
     fill = 12 if default == IGNORE else default
     n = [(F.col(f"b{b}") + (total - F.col("listed") if b == fill else 0)) for b in range(13)]
     pick = lambda which: F.greatest(*[F.struct(n[b].alias("n"), F.lit(-b).alias("m")) for b in which])["m"] * -1
@@ -133,6 +128,26 @@ def downsample_labels(cells: DataFrame, key: str, r: int = 4, default: int = IGN
     return per.select(key, *CELL, F.when(label == 12, IGNORE).otherwise(label).alias("label"))
 
 
+def downsample_labels(cells: DataFrame, key: str, r: int = 4, default: int = IGNORE) -> DataFrame:
+    """Block vote over a sparse label volume: all bins when empty plus ignore exceed 95 %,
+    else the object classes only; ties go to the lowest class. Unlisted cells are ``default``."""
+    parts = cells.select(key, *[F.floor(F.col(c) / r).cast("int").alias(c) for c in CELL],
+                         F.when(F.col("label") == IGNORE, 12).otherwise(F.col("label")).alias("bin"), F.lit(1).alias("n"))
+    return _block_vote(parts, [key], key, r ** 3, default)
+
+
+def downsample_runs(runs: DataFrame, key: str, r: int = 4, default: int = IGNORE) -> DataFrame:
+    """``downsample_labels`` of a painted volume kept as runs: each gives the blocks that it crosses a count.
+
+    Blocks of 2, 4 or 8 cells stand within the slabs that the runs were made in, so nothing moves."""
+    block = lambda c: F.floor(F.col(c) / r).cast("int")
+    by = [key, "slab_"] if 8 % r == 0 else [key]
+    parts = runs.select(*by, block("ix").alias("ix"), block("iy").alias("iy"), "k0", "k1", F.when(F.col("label") == IGNORE, 12).otherwise(F.col("label")).alias("bin"),
+                        F.explode(F.sequence(block("k0"), block("k1"))).alias("iz"))
+    inside = F.least(F.col("k1"), F.col("iz") * r + r - 1) - F.greatest(F.col("k0"), F.col("iz") * r) + 1
+    return _block_vote(parts.select(*by, *CELL, "bin", inside.alias("n")), by, key, r ** 3, default)
+
+
 def label_weight(label: Column, tsdf: Column) -> Column:
     """Scoring mask: annotated (1..253) or clearly behind a surface."""
     return (label.between(1, 253) | (tsdf < -0.5)).cast("int")
@@ -148,47 +163,60 @@ def frustum_labels(vox: DataFrame, frames: DataFrame, grid: Grid, width: int, he
 
 
 # ---- solids --------------------------------------------------------------
+# A painted volume is kept as columns: for each (ix, iy) disjoint runs of iz with their class.
 
 EDGE = 1e-9  # cells whose centre lies on a face are inside
+FACES_OF_BOX = [(tuple(s if i == j else 0 for j in range(3)), 1) for i in range(3) for s in (1, -1)]
 
+#: shape name -> half spaces ``a . (p / h) <= b`` on a solid's own coordinates ``p`` and half sizes ``h``, and whether
+#: it is also cut by the upright ellipse of its first two half sizes. A wedge is the box below its slope.
+PAINTERS = {
+    "box": (FACES_OF_BOX, False),
+    "wedge": ([*FACES_OF_BOX, ((1, 0, 1), 0)], False),
+    "cylinder": (FACES_OF_BOX[4:], True),
+}
 
-def half_spaces(*planes):
-    """Containment in the intersection of ``a . (p / h) <= b``, on a solid's own coordinates ``p`` and half sizes ``h``.
-
-    Multiplied through by the half sizes, so that a flat solid divides by nothing."""
-    def test(p, h):
-        sides = []
-        for a, b in planes:
-            axes = [i for i in range(3) if a[i]]
-            scale = [reduce(lambda x, y: x * y, [h[k] for k in axes if k != i], F.lit(1.0)) for i in axes]
-            reach = reduce(lambda x, y: x * y, [h[k] for k in axes], F.lit(1.0))
-            sides.append(sum((a[i] * p[i] * s for i, s in zip(axes, scale)), F.lit(0.0)) <= b * reach + EDGE)
-        return reduce(lambda x, y: x & y, sides)
-    return test
 
+def _with_sides(solids: DataFrame) -> DataFrame:
+    """Each solid with the half spaces of its shape in cell indices, ``sides_``, from its local coordinates by cell index.
 
-FACES_OF_BOX = [(tuple(s if i == j else 0 for j in range(3)), 1) for i in range(3) for s in (1, -1)]
+    Multiplied through by the half sizes, so that a flat solid divides by nothing. All of it depends on the
+    solid alone and is reckoned before its columns are made. Solids of an unknown shape go."""
+    spark = solids.sparkSession
+    kinds = [(shape, [(*map(float, a), float(b)) for a, b in planes], ellipse) for shape, (planes, ellipse) in PAINTERS.items()]
+    known = spark.createDataFrame(kinds, "shape string, planes_ array<struct<a0 double, a1 double, a2 double, b double>>, round_ boolean")
 
+    def side(p):
+        take = [F.when(p[f"a{i}"] != 0, F.col(f"h{i}_")).otherwise(1.0) for i in range(3)]
+        scale = [p[f"a{i}"] * take[(i + 1) % 3] * take[(i + 2) % 3] for i in range(3)]
+        part = lambda x: sum((-scale[i] * F.col("own_")[i][x] for i in range(3)), F.lit(0.0))
+        return F.struct((p["b"] * take[0] * take[1] * take[2] + EDGE + part(0)).alias("a"), *[part(x + 1).alias(n) for x, n in enumerate("xyz")])
 
-def elliptic(p, h):
-    """Within the upright ellipse of the first two half sizes."""
-    return p[0] * p[0] * h[1] * h[1] + p[1] * p[1] * h[0] * h[0] <= h[0] * h[0] * h[1] * h[1]
+    return (solids.join(F.broadcast(known), "shape")
+            .withColumn("sides_", F.transform("planes_", side)).drop("planes_", "own_"))
 
 
-CAPS = half_spaces(*FACES_OF_BOX[4:])
-# shape name -> containment test; a wedge is the box below its slope, a cylinder an ellipse between caps
-PAINTERS = {
-    "box": half_spaces(*FACES_OF_BOX),
-    "wedge": half_spaces(*FACES_OF_BOX, ((1, 0, 1), 0)),
-    "cylinder": lambda p, h: elliptic(p, h) & CAPS(p, h),
-}
+def _round_runs(runs: DataFrame, keep: list[str], grid: Grid) -> DataFrame:
+    """(keep.., k0, k1): runs, those of round solids cut to the ellipse of the first two half sizes, in closed form."""
+    a, b = F.col("h1_") * F.col("h1_"), F.col("h0_") * F.col("h0_")
+    at, step = own_axes(grid, 0.5, "cz", F.lit(0)), [grid.unit * F.col(f"r2{j}") for j in range(2)]
+    runs = reckoned(runs, [*keep, "lo_", "hi_", "round_"], square=step[0] * step[0] * a + step[1] * step[1] * b,
+                    mid=at[0] * step[0] * a + at[1] * step[1] * b, rest=at[0] * at[0] * a + at[1] * at[1] * b - b * a)
+    upright = F.col("square") < 1e-18
+    root = F.when(F.col("round_") & ~upright, F.col("mid") * F.col("mid") - F.col("square") * F.col("rest"))
+    runs = reckoned(runs, [*keep, "lo_", "hi_", "square", "mid"], root=F.sqrt(root), out=F.col("round_") & F.when(upright, F.col("rest") > 0).otherwise(root < 0))
+    runs = runs.filter("not out")
+    end = lambda sign: (sign * F.col("root") - F.col("mid")) / F.col("square")
+    cut = F.col("root").isNotNull()
+    return runs.select(*keep, F.when(cut, F.greatest(F.col("lo_"), F.ceil(end(-1)).cast("int"))).otherwise(F.col("lo_")).alias("k0"),
+                       F.when(cut, F.least(F.col("hi_"), F.floor(end(1)).cast("int"))).otherwise(F.col("hi_")).alias("k1")).filter("k0 <= k1")
 
 
-def solid_cells(solids: DataFrame, grid: Grid, key: str = "room") -> DataFrame:
-    """Every (solid, cell) containment, where its slab of the room was sent.
+def solid_runs(solids: DataFrame, grid: Grid, key: str = "room") -> DataFrame:
+    """(key, slab_, ix, iy, seq, cls, k0, k1): the cells of each column that each solid contains, where its slab of the room was sent.
 
-    ``solids(key, seq, cls, shape, cx, cy, cz, sx, sy, sz, r00..r22)``. Each solid makes
-    about the cells it contains; the solids are shuffled, never the cells."""
+    ``solids(key, seq, cls, shape, cx, cy, cz, sx, sy, sz, r00..r22)``. The solids are shuffled, never columns
+    or cells. A solid of an unknown shape contains nothing."""
     half = [F.col(f"s{a}") / 2.0 for a in "xyz"]
     box = []
     for i, a in enumerate("xyz"):
@@ -196,30 +224,51 @@ def solid_cells(solids: DataFrame, grid: Grid, key: str = "room") -> DataFrame:
         idx = lambda w: F.floor((w - grid.origin[i]) / grid.unit).cast("int")
         box.append((F.greatest(F.lit(0), idx(F.col(f"c{a}") - reach)),
                     F.least(F.lit(grid.dims[i] - 1), idx(F.col(f"c{a}") + reach))))
-    planes = []
+    own = []
     for j in range(3):
         r = [F.col(f"r{i}{j}") for i in range(3)]
         at = sum(((o + 0.5 * grid.unit - F.col(f"c{a}")) * x for o, a, x in zip(grid.origin[1:], "yz", r[1:])),
                  (grid.ox + 0.5 * grid.unit - F.col("cx")) * r[0])
-        planes += [(half[j] + sign * at, *[sign * grid.unit * x for x in r]) for sign in (1.0, -1.0)]
-    cells = explode_convex(solids, box, planes, (key,), grid, 0.5, ("cx", "cy", "cz"),
-                           [key, "seq", "cls", "shape", "sx", "sy", "sz"], slab=8)
-    local = [F.col(f"l{j}") for j in range(3)]
-    hit = F.lit(False)
-    for shape, test in PAINTERS.items():
-        hit = F.when(F.col("shape") == shape, test(local, half)).otherwise(hit)
-    return cells.filter(hit).select(key, "slab_", *CELL, "seq", "cls")
+        own.append(F.array(at, *[grid.unit * x for x in r]))
+    solids = _with_sides(solids.withColumns({"own_": F.array(*own)} | {f"h{i}_": h for i, h in enumerate(half)}))
+    sides = [F.get("sides_", F.lit(m)) for m in range(max(len(planes) for planes, _ in PAINTERS.values()))]
+    sides = [tuple(F.coalesce(s[x], F.lit(float(x == "a"))) for x in "axyz") for s in sides]  # what a shape lacks holds everywhere
+    runs = convex_runs(solids, box, sides, (key,), grid, 0.5, ("cx", "cy", "cz"), [key, "seq", "cls", "round_", "h0_", "h1_"], slab=8)
+    return _round_runs(runs.filter("lo_ <= hi_"), [key, "slab_", "ix", "iy", "seq", "cls"], grid)
 
 
-def paint_solids(solids: DataFrame, grid: Grid, key: str = "room") -> DataFrame:
-    """Class of every cell some solid contains; the later solid overwrites.
+def _swept(runs: DataFrame, by: list[str]) -> DataFrame:
+    """(by.., k0, k1, top): the runs of each column cut where any begins or ends, with the greatest ``top`` there."""
+    held = runs.groupBy(*by).agg(F.collect_list(F.struct("k0", "k1", "top")).alias("runs"))
+    cuts = F.array_sort(F.array_distinct(F.flatten(F.transform("runs", lambda r: F.array(r["k0"], r["k1"] + 1)))))
+    held = held.withColumn("cuts", cuts)
+    over = lambda a: F.array_max(F.transform(F.filter("runs", lambda r: (r["k0"] <= a) & (r["k1"] >= a)), lambda r: r["top"]))
+    pieces = F.transform(F.col("cuts"), lambda a, i: F.struct(a.alias("k0"), (F.get("cuts", i + 1) - 1).alias("k1"), over(a).alias("top")))
+    return held.select(*by, F.inline(F.filter(pieces, lambda p: p["top"].isNotNull())))
+
+
+def painted_runs(solids: DataFrame, grid: Grid, key: str = "room", most: int = 512) -> DataFrame:
+    """(key, slab_, ix, iy, k0, k1, label): class of all that some solid contains, as runs; the later solid overwrites.
 
-    Overlaps are settled where the cells were made, without a shuffle."""
-    cells = solid_cells(solids, grid, key)
+    Overlaps are settled by a sweep along each column where its runs were made, without a shuffle. In rooms
+    of more than ``most`` solids every ``most`` of their order are swept first, which leaves no more runs than a column has cells."""
     # one whole number orders by seq and carries the class, the cheapest thing to aggregate
-    rank = F.max(F.col("seq").cast("long") * 256 + F.col("cls"))
-    return (cells.groupBy(key, "slab_", *CELL).agg(rank.alias("top"))
-            .select(key, *CELL, F.pmod("top", F.lit(256)).cast("int").alias("label")))
+    top = (F.col("seq").cast("long") * 256 + F.col("cls")).alias("top")
+    runs = solid_runs(solids, grid, key).select(key, "slab_", "ix", "iy", "seq", "k0", "k1", top)
+    column = [key, "slab_", "ix", "iy"]
+    if not solids.groupBy(key).count().filter(F.col("count") > most).isEmpty():
+        runs = _swept(runs.withColumn("part_", F.floor(F.col("seq") / most)), [*column, "part_"])
+    return _swept(runs, column).select(*column, "k0", "k1", F.pmod("top", F.lit(256)).cast("int").alias("label"))
+
+
+def cells_of(runs: DataFrame, key: str = "room") -> DataFrame:
+    """The cells of a painted volume, one row each."""
+    return runs.select(key, "ix", "iy", F.explode(F.sequence("k0", "k1")).alias("iz"), "label")
+
+
+def paint_solids(solids: DataFrame, grid: Grid, key: str = "room") -> DataFrame:
+    """Class of every cell some solid contains; the later solid overwrites."""
+    return cells_of(painted_runs(solids, grid, key), key)
 
 
 def yaw_rotation(c: Column, s: Column) -> list[Column]:
@@ -254,9 +303,14 @@ def room_shell(rooms: DataFrame, grid: Grid) -> DataFrame:
             .select("room", "f_.*", *G.ROT))
 
 
+def label_runs(rooms: DataFrame, solids: DataFrame, grid: Grid) -> DataFrame:
+    """Room shell, then solids in order, as runs of columns. Cells not listed are unannotated."""
+    return painted_runs(room_shell(rooms, grid).unionByName(solids), grid)
+
+
 def label_volume(rooms: DataFrame, solids: DataFrame, grid: Grid) -> DataFrame:
     """Room shell, then solids in order. Cells not listed are unannotated."""
-    return paint_solids(room_shell(rooms, grid).unionByName(solids), grid)
+    return cells_of(label_runs(rooms, solids, grid))
 
 
 def move_solids(solids: DataFrame, moves: DataFrame, key: str = "room") -> DataFrame:
