@@ -264,14 +264,19 @@ def test_block_vote_rules(spark):
     assert got == {"a": 3, "b": 0, "c": 6}       # 4 of 64 occupied already win, 3 do not, ties go low
 
 
-def test_distance_is_exact_below_the_cap(spark):
-    rng = random.Random(2)
-    pts = {(rng.randrange(14), rng.randrange(12), rng.randrange(10)) for _ in range(12)}
-    d = V.squared_distance(spark.createDataFrame([(0, *p) for p in pts], "frame int, ix int, iy int, iz int"), Grid(0, 0, 0, 1, 14, 12, 10), 5, ["frame"])
-    got = {(r.ix, r.iy, r.iz): r.d2 for r in d.collect()}
-    for c in np.ndindex(14, 12, 10):
-        best = min(sum((a - b) ** 2 for a, b in zip(c, p)) for p in pts)
-        assert got.get(c, 25) == min(best, 25)
+@pytest.mark.parametrize("seed,n,cap", [(2, 12, 5), (3, 1, 12), (4, 60, 12), (5, 400, 3), (6, 12, 1), (7, 5, 40)])
+def test_distance_is_exact_below_the_cap(spark, seed, n, cap):
+    rng = random.Random(seed)
+    pts = {(rng.randrange(14), rng.randrange(12), rng.randrange(10)) for _ in range(n)}
+    rows = [(f, *p) for p in pts for f in ([0, 1] if p[0] % 2 else [0])]
+    d = V.squared_distance(spark.createDataFrame(rows, "frame int, ix int, iy int, iz int"), Grid(0, 0, 0, 1, 14, 12, 10), cap, ["frame"]).collect()
+    got = {(r.frame, r.ix, r.iy, r.iz): r.d2 for r in d}
+    assert len(got) == len(d) and (not d or max(got.values()) < cap * cap)
+    for frame in (0, 1):
+        mine = [r[1:] for r in rows if r[0] == frame]
+        for c in np.ndindex(14, 12, 10):
+            best = min((sum((a - b) ** 2 for a, b in zip(c, p)) for p in mine), default=cap * cap)
+            assert got.get((frame, *c), cap * cap) == min(best, cap * cap)
 
 
 @pytest.mark.parametrize("cells", [[(0, 0, 0)], [(0, 0, 0), (1, 0, 0)], [(x, y, 0) for x in range(4) for y in range(3)]])

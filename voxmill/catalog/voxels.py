@@ -86,14 +86,12 @@ def sight_test(t):
 
 def dist_sql(g, cap):
     return f"""surf AS (SELECT DISTINCT frame, ix, iy, iz FROM cells),
-dist AS (SELECT frame, x AS ix, y AS iy, z AS iz, MIN(d2) AS d2 FROM (
-  SELECT frame, ix + dx AS x, iy + dy AS y, iz + dz AS z, dx*dx + dy*dy + dz*dz AS d2 FROM surf,
-  (SELECT CAST(UNNEST(range(-{cap}, {cap} + 1)) AS INT) AS dx) a, (SELECT CAST(UNNEST(range(-{cap}, {cap} + 1)) AS INT) AS dy) b,
-  (SELECT CAST(UNNEST(range(-{cap}, {cap} + 1)) AS INT) AS dz) c WHERE dx*dx + dy*dy + dz*dz < {cap * cap}) q
-  WHERE x BETWEEN 0 AND {g.nx - 1} AND y BETWEEN 0 AND {g.ny - 1} AND z BETWEEN 0 AND {g.nz - 1} GROUP BY ALL)"""
+lattice AS (SELECT CAST(i // {g.ny * g.nz} AS INT) AS x, CAST(i // {g.nz} % {g.ny} AS INT) AS y, CAST(i % {g.nz} AS INT) AS z FROM range({g.nx * g.ny * g.nz}) r(i)),
+dist AS (SELECT frame, x AS ix, y AS iy, z AS iz, MIN((x - ix) * (x - ix) + (y - iy) * (y - iy) + (z - iz) * (z - iz)) AS d2
+  FROM surf JOIN lattice ON x BETWEEN ix - {cap} AND ix + {cap} GROUP BY ALL HAVING MIN((x - ix) * (x - ix) + (y - iy) * (y - iy) + (z - iz) * (z - iz)) < {cap * cap})"""
 
 
-CAP = 4
+CAP = 12
 
 
 @query("surface_distance", "V06", f"WITH {PTS}, {cells(SMALL)}, {dist_sql(SMALL, CAP)} SELECT frame, CAST(d2 AS INT) AS d2, COUNT(*) AS n, SUM((ix * 20 + iy) * 12 + iz)::BIGINT AS keys FROM dist GROUP BY ALL")

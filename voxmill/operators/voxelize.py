@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from voxmill.functions import geometry as G
 from voxmill.functions.geometry import LENS, POSE, Grid, apply_pose, pose
-from voxmill.operators.joins import convex_runs, explode_box, own_axes, reckoned, view_cells
+from voxmill.operators.joins import convex_runs, explode_box, own_axes, reckoned, spread, view_cells
 from voxmill.plans.quantiles import lattice_quantiles
 from voxmill.schema import IGNORE
 
@@ -87,19 +87,39 @@ def sight_test(depth: DataFrame, frames: DataFrame, grid: Grid, width: int, heig
     return seen.join(known, ["frame", "u", "v"]).select("frame", *CELL, sign.alias("sign"))
 
 
+def _envelope(sources: Column, n: int) -> Column:
+    """The lower envelope of parabolas ``d2 + (x - at)^2`` over x = 0 .. n - 1, from ``sources`` (at, d2) sorted by ``at``:
+    (at, d2, lo), each lowest from ``lo`` to where the next begins. The earlier one wins a tie."""
+    high = lambda p, x: p["d2"] + (x - p["at"]) * (x - p["at"])
+
+    def add(held, q):
+        # where the new one lies below at the start of an older one, it does so everywhere behind
+        kept = F.filter(held, lambda p: high(p, p["lo"]) <= high(q, p["lo"]))
+        top = F.element_at(kept, -1)
+        cross = F.floor((q["d2"] + q["at"] * q["at"] - top["d2"] - top["at"] * top["at"]) / (2 * (q["at"] - top["at"]))).cast("int") + 1
+        lo = F.when(F.size(kept) == 0, 0).otherwise(cross)
+        return F.concat(kept, F.filter(F.array(F.struct(q["at"].alias("at"), q["d2"].alias("d2"), lo.alias("lo"))), lambda p: p["lo"] < n))
+    none = F.array().cast("array<struct<at:int,d2:int,lo:int>>")
+    return F.aggregate(sources, none, add)
+
+
 def squared_distance(surface: DataFrame, grid: Grid, cap: int, keys: list[str]) -> DataFrame:
     """Squared distance (in cells) to the nearest surface cell, only where it is below ``cap``.
 
-    Exact and separable: one pass per axis, each a bounded spread of +-cap and a
-    minimum that is combined before the shuffle. Everything not listed is at the cap."""
-    out = surface.select(*keys, *CELL, F.lit(0).alias("d2"))
-    for axis, n in zip(CELL, grid.dims):
-        steps = F.sequence(F.greatest(F.lit(-cap), -F.col(axis)), F.least(F.lit(cap), n - 1 - F.col(axis)))
-        out = (out.select(*keys, *CELL, "d2", F.explode(steps).alias("s_"))
-               .select(*keys, *[c for c in CELL if c != axis], (F.col(axis) + F.col("s_")).alias(axis),
-                       (F.col("d2") + F.col("s_") * F.col("s_")).alias("d2"))
-               .filter(F.col("d2") < cap * cap)
-               .groupBy(*keys, *CELL).agg(F.min("d2").alias("d2")))
+    Exact and separable: along each axis a line of cells takes the lower envelope of the parabolas that
+    the sources on it stand for, so each cell is made once, whatever the cap. The surface is spread by
+    ``keys``, whose volume the grid bounds, and nothing moves after that. Everything not listed is at the cap."""
+    out = spread(surface.select(*keys, *CELL, F.lit(0).alias("d2")), *keys)
+    for axis, n in zip(reversed(CELL), reversed(grid.dims)):
+        line = [*keys, *[c for c in CELL if c != axis]]
+        held = out.groupBy(*line).agg(F.array_sort(F.collect_set(F.struct(F.col(axis).alias("at"), "d2"))).alias("sources"))
+        held = held.select(*line, _envelope(F.col("sources"), n).alias("env"))
+        reach = lambda d2: F.ceil(F.sqrt((cap * cap - d2).cast("double"))).cast("int") - 1  # the last step that stays below the cap
+        runs = F.transform("env", lambda p, i: F.struct(p["at"].alias("at"), p["d2"].alias("d2"), F.greatest(p["lo"], p["at"] - reach(p["d2"])).alias("lo"),
+                                                        F.least(F.coalesce(F.get("env", i + 1)["lo"], F.lit(n)) - 1, p["at"] + reach(p["d2"])).alias("hi")))
+        held = held.select(*line, F.inline(F.filter(runs, lambda r: r["lo"] <= r["hi"])))
+        step = F.col(axis) - F.col("at")
+        out = held.withColumn(axis, F.explode(F.sequence("lo", "hi"))).select(*keys, *CELL, (F.col("d2") + step * step).alias("d2"))
     return out
 
 
