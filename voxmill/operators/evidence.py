@@ -136,14 +136,25 @@ def vote_counts(claims: DataFrame) -> DataFrame:
         *[F.sum(f"v{c}").alias(f"v{c}") for c in range(1, N_CLASSES)])
 
 
-def with_class(votes: DataFrame, seen_min: int = SEEN_MIN, agree: float = AGREE) -> DataFrame:
+def claim_of(seen_min: int = SEEN_MIN, agree: float = AGREE) -> tuple[Column, Column]:
     """Is the voxel claimed occupied (strictly more than ``agree`` of at least ``seen_min``
-    frames), and as which class (lowest id on ties)."""
+    frames), and as which class (lowest id on ties), from its votes ``v1 ..`` and ``n_seen``."""
     v = [F.col(f"v{c}") for c in range(1, N_CLASSES)]
     total = sum(v[1:], v[0])
     best = F.greatest(*[F.struct(n.alias("n"), F.lit(-c).alias("m")) for c, n in enumerate(v, 1)])["m"] * -1
     occupied = (F.col("n_seen") >= seen_min) & (total > agree * F.col("n_seen"))
-    return votes.select(*VOXEL, "n_seen", "first_pred", occupied.alias("predicted"), F.when(occupied, best).otherwise(0).alias("cls"))
+    return occupied, F.when(occupied, best).otherwise(0)
+
+
+def with_class(votes: DataFrame, seen_min: int = SEEN_MIN, agree: float = AGREE) -> DataFrame:
+    """Voxels with their claim."""
+    occupied, cls = claim_of(seen_min, agree)
+    return votes.select(*VOXEL, "n_seen", "first_pred", occupied.alias("predicted"), cls.alias("cls"))
+
+
+def blind_claim() -> Column:
+    """Had the sensor no information yet by the frame that first claimed the voxel?"""
+    return F.col("first_pred").isNotNull() & (F.col("first_touch").isNull() | (F.col("first_touch") > F.col("first_pred")))
 
 
 def world_map(evidence: DataFrame, claims: DataFrame) -> DataFrame:
@@ -153,10 +164,8 @@ def world_map(evidence: DataFrame, claims: DataFrame) -> DataFrame:
     c = with_class(vote_counts(claims))
     m = e.join(c, VOXEL, "full_outer")
     zero = lambda n: F.coalesce(n, F.lit(0)).alias(n)
-    # had the sensor any information by the frame that first claimed the voxel?
-    blind = F.col("first_pred").isNotNull() & (F.col("first_touch").isNull() | (F.col("first_touch") > F.col("first_pred")))
     m = m.select(*VOXEL, zero("n_hit"), zero("n_pass"), "first_touch", zero("n_seen"), "first_pred",
-                 F.coalesce("predicted", F.lit(False)).alias("predicted"), zero("cls"), blind.alias("blind"))
+                 F.coalesce("predicted", F.lit(False)).alias("predicted"), zero("cls"), blind_claim().alias("blind"))
     return m.withColumn("state", measured_state(F.col("n_hit"), F.col("n_pass")))
 
 
