@@ -173,6 +173,22 @@ def test_a_stream_without_its_checkpoint_overwrites_nothing(spark, tmp_path):
     assert store.world().filter("colour_n > 0 AND r <> 7").count() == 0
 
 
+def test_a_frame_delivered_again_is_whole(spark, tmp_path):
+    """A stream dies in the middle of frame 1; another, of a later or an earlier name, brings the frame whole."""
+    e = lambda rows: spark.createDataFrame([(0, f, x, 0, 0, k, 5, 5, 5) for f, x, k in rows], "room int, frame int, ix int, iy int, iz int, kind string, r int, g int, b int")
+    c = lambda rows: spark.createDataFrame([(0, f, x, 0, 0, k) for f, x, k in rows], "room int, frame int, ix int, iy int, iz int, cls int")
+    whole = e([(1, 0, "hit"), (1, 1, "pass"), (1, 2, "hit"), (2, 1, "hit")]), c([(1, 0, 3), (1, 2, 4)])
+    for first, second in (("a", "b"), ("b", "a")):
+        store = MapStore(spark, str(tmp_path / f"map-{first}")).create()
+        store.merge(e([(1, 0, "hit"), (1, 9, "hit")]), c([(1, 0, 3)]), 0, first)    # voxel 9 came with the first alone
+        store.merge(*whole, 0, second)
+        got = {r.ix: (r.n_hit, r.n_pass, r.n_seen, r.v3, r.v4, r.colour_n) for r in store.totals().collect()}
+        assert got == {0: (1, 0, 1, 1, 0, 1), 1: (1, 1, 0, 0, 0, 1), 2: (1, 0, 1, 0, 1, 1), 9: (1, 0, 0, 0, 0, 1)}
+        assert {(r.frame, r.stream) for r in store.late().collect()} == {(1, first)}
+        small = store.compact(str(tmp_path / f"small-{first}"), 1)
+        assert {r.ix: (r.n_hit, r.n_pass, r.n_seen) for r in small.totals().collect()} == {x: v[:3] for x, v in got.items()}
+
+
 def test_gather_matches_brute_force(spark):
     local, world = Grid(-1.0, -1.0, 0.0, 0.25, 8, 8, 6), Grid(-2.0, -2.0, -0.5, 0.25, 16, 16, 12)
     rng = random.Random(3)

@@ -13,7 +13,7 @@ from voxmill.functions.hooks import score_frames
 from voxmill.operators import evidence as E
 from voxmill.schema import CLASS_COLOURS, CLASS_NAMES, RAW_TO_CLASS
 from voxmill.session import scratch
-from voxmill.sources import mapstore, meta, text, volumes
+from voxmill.sources import mapstore, meta, points, text, volumes
 
 COLOURS = ", ".join(f"({i}, {r}, {g}, {b})" for i, (r, g, b) in enumerate(CLASS_COLOURS))
 
@@ -74,6 +74,31 @@ def label_runs(t):
     return e.groupBy((F.col("file") % 97).alias("part"), "label").agg(F.count(F.lit(1)).alias("cells"), F.sum("flat").alias("flats"))
 
 
+@query("label_run_files", "S02", f"""
+WITH r AS (SELECT l_suppkey AS file, ROW_NUMBER() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) AS q,
+  CASE WHEN l_partkey % 19 = 0 THEN 255 ELSE CAST(l_partkey % 37 AS INT) END AS raw, CAST(l_quantity AS INT) AS count FROM lineitem),
+s AS (SELECT *, COALESCE(SUM(count) OVER (PARTITION BY file ORDER BY q ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM r)
+SELECT file, CASE WHEN raw = 255 THEN 255 ELSE ({RAW_TO_CLASS})[raw + 1] END AS label, SUM(count)::BIGINT AS cells, SUM(count * start + count * (count - 1) // 2)::BIGINT AS flats,
+  file / 2e0 AS ox, 1e0 AS t00 FROM s GROUP BY ALL""")
+def label_run_files(t):
+    """One binary label file a supplier, written below the shared folder and decoded again: origin, pose and runs."""
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["l_orderkey", "l_linenumber", "l_partkey"])
+        file, part = int(pdf["file"].iloc[0]), pdf["l_partkey"].to_numpy()
+        head = np.concatenate([[file / 2, 1, 2], np.eye(4).ravel()]).astype("<f4")
+        runs = np.stack([np.where(part % 19 == 0, 255, part % 37), pdf["count"].to_numpy()], axis=1).astype("<u4")
+        return pd.DataFrame({"path": [f"/{file}.bin"], "content": [head.tobytes() + runs.tobytes()]})
+
+    rows = t.lineitem.select(F.col("l_suppkey").alias("file"), "l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").cast("int").alias("count"))
+    root = scratch(t.spark)
+    volumes.write_binary(rows.groupBy("file").applyInPandas(pack, "path string, content binary"), root).agg(F.sum("size")).collect()
+    heads, runs = volumes.label_runs(volumes.read_binary(t.spark, root, "*.bin"))
+    name = F.regexp_extract("file", r"([0-9]+)\.bin$", 1).cast("long").alias("file")
+    heads = heads.select(name, F.col("vox_origin")[0].alias("ox"), F.col("T")[0].alias("t00"))
+    e = volumes.expand_runs(runs.select(name, "seq", "raw", "count")).groupBy("file", "label").agg(F.count(F.lit(1)).alias("cells"), F.sum("flat").alias("flats"))
+    return e.join(heads, "file")
+
+
 @query("point_lines", "S03", f"""
 WITH c(cls, r, g, b) AS (VALUES {COLOURS})
 SELECT room, ix, iy, iz, CASE WHEN (ix + iy) % 7 = 0 THEN -1 ELSE o.cls END AS cls FROM fx_occupied o JOIN c ON c.cls = o.cls""")
@@ -95,21 +120,55 @@ def voxel_lines(t):
     return text.voxel_lines(v, "frame", F.col("label_weight") > 0)
 
 
+@query("voxel_files", "S03 S04", f"""
+WITH c(cls, r, g, b) AS (VALUES {COLOURS}), v AS (SELECT frame, flat, gz, gy, gx, MAX(pred) AS pred, MAX(label_weight) AS w FROM fx_voxels GROUP BY ALL)
+SELECT frame, gz AS ix, gy AS iy, gx AS iz, v.pred AS cls, COUNT(*) OVER (PARTITION BY frame) AS said, COUNT(*) OVER (PARTITION BY frame) AS lines
+FROM v JOIN c ON c.cls = v.pred WHERE w > 0 AND pred > 0""")
+def voxel_files(t):
+    """One point file a frame, written with commit and read back: every voxel with its class, what the header says and what the file holds."""
+    v = t.fx_voxels.groupBy("frame", "flat", "gz", "gy", "gx").agg(F.max("pred").alias("pred"), F.max("label_weight").alias("label_weight"))
+    root = scratch(t.spark)
+    points.write_point_files(text.voxel_body(v, "frame", F.col("label_weight") > 0), root, "frame", F.col("at"))
+    lines = points.read_point_files(t.spark, root).select(F.col("key").cast("int").alias("frame"), "value")
+    head = lines.filter(F.col("value").startswith("element vertex")).select("frame", F.regexp_extract("value", r"(\d+)$", 1).cast("long").alias("said"))
+    read = text.parse_points(lines, "frame").select("frame", "ix", "iy", "iz", "cls")
+    return read.join(head, "frame").join(read.groupBy("frame").agg(F.count(F.lit(1)).alias("lines")), "frame").select("frame", "ix", "iy", "iz", "cls", "said", "lines")
+
+
 VERDICT_RGB = [" ".join(f"WHEN {name} THEN {colour[i]}" for name, colour in reversed(text.VERDICT_COLOURS)) for i in range(3)]
 
 
-@query("world_lines", "S05", WORLD + f""", lc AS ({COLOUR}), paint(id, r0, g0, b0) AS (VALUES {COLOURS}),
+PAINTED = WORLD + f""", lc AS ({COLOUR}), paint(id, r0, g0, b0) AS (VALUES {COLOURS}),
 shown AS (SELECT dp.*, r0, g0, b0, lc.r, lc.g, lc.b FROM dp JOIN paint ON paint.id = dp.cls LEFT JOIN lc ON lc.room = dp.room AND lc.ix = dp.ix AND lc.iy = dp.iy AND lc.iz = dp.iz
   WHERE measured OR predicted),
 painted AS (SELECT room, ix, iy, iz, {", ".join(f"CASE {VERDICT_RGB[i]} WHEN measured AND {x} IS NOT NULL THEN round_even({x}, 0)::INT ELSE {x}0 END AS {x}" for i, x in enumerate("rgb"))} FROM shown),
-sizes AS (SELECT room, COUNT(*) AS n FROM painted GROUP BY room)
+sizes AS (SELECT room, COUNT(*) AS n FROM painted GROUP BY room)"""
+
+
+@query("world_lines", "S05", PAINTED + f"""
 SELECT room, 1 AS is_body, (ix * 100000::BIGINT + iy) * 100000 + iz AS pos,
   printf('%.4f %.4f %.4f ', -1e0 + (ix + 0.5e0) * 0.08e0, -1e0 + (iy + 0.5e0) * 0.08e0, -0.13e0 + (iz + 0.5e0) * 0.08e0) || r || ' ' || g || ' ' || b AS value FROM painted
 UNION ALL SELECT room, 0, h, CASE WHEN h = 2 THEN 'element vertex ' || n ELSE ({text.HEADER})[h + 1] END FROM sizes CROSS JOIN (SELECT UNNEST(range(10)) AS h) x""")
 def world_lines(t):
+    return text.world_lines(world(t), (-1.0, -1.0, -0.13), 0.08)
+
+
+def world(t):
     w = E.with_disproved(E.verdicts(E.world_map(t.fx_evidence, t.fx_claims)))
     c = E.latest_colour(t.fx_evidence).select("room", "ix", "iy", "iz", *[F.rint(x).alias(x) for x in "rgb"])
-    return text.world_lines(w.join(c, E.VOXEL, "left"), (-1.0, -1.0, -0.13), 0.08)
+    return w.join(c, E.VOXEL, "left")
+
+
+@query("world_files", "S05", PAINTED + " SELECT room, ix, iy, iz, r::INT AS r, g::INT AS g, b::INT AS b, n AS said FROM painted JOIN sizes USING (room)")
+def world_files(t):
+    """One point file a room, in metres, written with commit and read back to the cells its points stand in."""
+    root, unit = scratch(t.spark), 0.08
+    points.write_point_files(text.world_body(world(t), (-1.0, -1.0, -0.13), unit), root, "room", F.col("at"))
+    lines = points.read_point_files(t.spark, root).select(F.col("key").cast("int").alias("room"), "value")
+    head = lines.filter(F.col("value").startswith("element vertex")).select("room", F.regexp_extract("value", r"(\d+)$", 1).cast("long").alias("said"))
+    n = lines.filter(F.col("value").rlike("^-?[0-9]")).select("room", text.numbers(F.col("value")).alias("n"))
+    cells = [F.rint((F.col("n")[i] - o) / unit - 0.5).cast("int").alias(c) for i, (o, c) in enumerate(zip((-1.0, -1.0, -0.13), ("ix", "iy", "iz")))]
+    return n.select("room", *cells, *[F.col("n")[3 + i].cast("int").alias(c) for i, c in enumerate("rgb")]).join(head, "room")
 
 
 @query("trajectory_lines", "S06", """
@@ -125,6 +184,13 @@ def trajectory_lines(t):
     return m.select("capture", "run", "frame", "r00", "r02", "tx", "ty", "tz", "w")
 
 
+def through_files(t, docs, key):
+    """Documents (key, value) written one file a key below the shared folder and read back whole."""
+    root = scratch(t.spark)
+    docs.repartition(key).write.partitionBy(key).text(root)
+    return meta.read_documents(t.spark, root, key).withColumn(key, F.col(key).cast(docs.schema[key].dataType))
+
+
 @query("frame_metadata", "S07", """
 SELECT scene, CAST(frame AS VARCHAR) AS frame, CASE WHEN frame % 3 = 0 THEN tz WHEN frame % 3 = 1 THEN 1.5e0 + scene ELSE 1.5e0 + scene END AS camera_height,
   CASE WHEN frame % 4 = 0 THEN 0.25e0 ELSE 0e0 END AS yaw, fx, cy FROM fx_frames""")
@@ -136,7 +202,7 @@ def frame_metadata(t):
     name = F.col("frame").cast("string")
     docs = f.groupBy("scene").agg(F.map_from_entries(F.collect_list(F.struct(name, one))).alias("frame_meta"), F.collect_list(name).alias("frames"), F.first(k).alias("cam_K"))
     docs = docs.select("scene", F.to_json(F.struct("frames", "frame_meta", "cam_K", (1.5 + F.col("scene")).alias("camera_height"))).alias("value"))
-    return meta.frame_meta(docs, "scene").select("scene", "frame", "camera_height", "yaw", "fx", "cy")
+    return meta.frame_meta(through_files(t, docs, "scene"), "scene").select("scene", "frame", "camera_height", "yaw", "fx", "cy")
 
 
 @query("solids_documents", "S08", f"""
@@ -150,7 +216,7 @@ def solids_documents(t):
     one = F.struct("seq", cls.alias("class"), "shape", F.array("cx", "cy", "cz").alias("center"), F.array("sx", "sy", "sz").alias("size"),
                    F.array(F.array("c", -F.col("s"), z), F.array("s", "c", z), F.array(z, z, o)).alias("rotation"))
     docs = t.fx_solids.groupBy("room").agg(F.array_sort(F.collect_list(one)).alias("solids")).select("room", F.to_json(F.struct("solids")).alias("value"))
-    good, bad = meta.solids(docs, "room")
+    good, bad = meta.solids(through_files(t, docs, "room"), "room")
     src = t.fx_solids.select("room", "seq", F.col("shape").alias("sh"), F.col("cx").alias("x"), F.col("sz").alias("h"), "c", "s")
     bad = bad.join(src, ["room", "seq"]).select("room", "seq", F.lit(None).cast("int").alias("cls"), F.col("sh").alias("shape"), F.col("x").alias("cx"), F.col("h").alias("sz"),
                                                 (F.round("c", 9) + 0.0).alias("r00"), (F.round(-F.col("s"), 9) + 0.0).alias("r01"), "why")
@@ -181,7 +247,9 @@ def calibration_files(t):
                                                        F.lit(0.0), F.lit(0.0), F.lit(1.0), F.col("tz"), F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0)]])
     rows = F.array(kv("fx_depth", F.col("fx")), kv("fy_depth", F.col("fy")), kv("mx_depth", F.col("cx")), kv("my_depth", F.col("cy")), F.lit("depthWidth = 640"),
                    F.lit("depthHeight=480"), F.lit("a note"), F.when(F.col("frame") % 2 == 0, kv("colorToDepthExtrinsics", mat)))
-    c = text.parse_calibration(f.select("frame", F.explode(rows).alias("value")).filter("value IS NOT NULL"), "frame")
+    root = scratch(t.spark)
+    f.select("frame", F.explode(rows).alias("value")).filter("value IS NOT NULL").repartition("frame").write.partitionBy("frame").text(root)
+    c = text.parse_calibration(text.read_lines(t.spark, root, "frame").select(F.col("frame").cast(f.schema["frame"].dataType).alias("frame"), "value"), "frame")
     return c.select("frame", "fx_depth", "mx_depth", "depthWidth", F.col("extrinsics")[3].alias("shift_x"))
 
 

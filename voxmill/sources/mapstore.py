@@ -2,9 +2,10 @@
 
 A batch writes its own part and nothing else, so a repeated batch replaces itself and the cost of a
 batch does not grow with the map. Parts of one frame add up, however many batches of a stream it
-came in. A frame that a second stream brings too (say, one restarted without its checkpoint)
-belongs to the stream that is first by name; the other's rows are late and count nothing. Folding
-frames away closes them.
+came in. A frame that a second stream brings too (say, one restarted without its checkpoint after the
+first died in the middle of the frame) belongs to the stream that brought the most of it; what the
+others saw of a voxel counts once with it, their votes and colour only where it has nothing there.
+Folding frames away closes them.
 """
 
 from pyspark.sql import DataFrame, SparkSession
@@ -62,26 +63,34 @@ class MapStore:
         part.write.mode("overwrite").parquet(f"{self.path}/parts/stream={stream}/batch={batch}")
 
     def _parts(self) -> tuple[DataFrame, DataFrame]:
-        """Rows of frames that count, and (room, frame, stream, batch) of those that came too late."""
+        """Rows of open frames, ``main`` where they are of the frame's own stream, and (room, frame, stream, batch) of all
+        that the map could do without: parts of closed frames, and of other streams."""
         parts = self._read("parts", PART)
         closed = self._read("closed", "upto int").agg(F.coalesce(F.max("upto"), F.lit(-(1 << 31))).alias("upto"))
         came = parts.groupBy("room", "frame", "stream", "batch").agg(F.count(F.lit(1)).alias("n"))
-        owner = came.groupBy("room", "frame").agg(F.min("stream").alias("owner"))
+        # the most rows, then the first by name
+        owner = came.groupBy("room", "frame", "stream").agg(F.sum("n").alias("n"))
+        owner = owner.groupBy("room", "frame").agg(F.min(F.struct(-F.col("n"), "stream"))["stream"].alias("owner"))
         late = came.join(owner, ["room", "frame"]).crossJoin(F.broadcast(closed)).filter("stream <> owner OR frame <= upto")
-        parts = parts.join(owner, ["room", "frame"]).crossJoin(F.broadcast(closed)).filter("stream = owner AND frame > upto")
-        return parts.drop("owner", "upto"), late.select("room", "frame", "stream", "batch")
+        parts = parts.join(owner, ["room", "frame"]).crossJoin(F.broadcast(closed)).filter("frame > upto")
+        return parts.withColumn("main", F.col("stream") == F.col("owner")).drop("owner", "upto"), late.select("room", "frame", "stream", "batch")
 
     def frames(self) -> DataFrame:
-        """``room, frame`` of every frame that counts and is not folded away."""
+        """``room, frame`` of every frame that is not folded away."""
         return self._parts()[0].select("room", "frame").distinct()
 
     def late(self) -> DataFrame:
         return self._parts()[1]
 
     def _seen(self) -> DataFrame:
-        """One row per (voxel, frame), its parts added up."""
-        return self._parts()[0].groupBy(*VOXEL, "frame").agg(
-            F.max("hit").alias("hit"), F.max("seen").alias("seen"), *[F.sum(v).alias(v) for v in VOTES], F.sum("lit").alias("lit"), *[F.sum(c).alias(c) for c in RGB])
+        """One row per (voxel, frame): a stream's parts added up, then the streams put together."""
+        sums = [*VOTES, "lit", *RGB]
+        each = self._parts()[0].groupBy(*VOXEL, "frame", "stream").agg(
+            F.max("hit").alias("hit"), F.max("seen").alias("seen"), F.max("main").alias("main"), *[F.sum(c).alias(c) for c in sums])
+        # the frame's own stream first, then the one that has the most here, then the first by name
+        rank = F.struct(~F.col("main"), -(F.col("lit") + sum((F.col(v) for v in VOTES[1:]), F.col(VOTES[0]))), "stream")
+        best = each.groupBy(*VOXEL, "frame").agg(F.max("hit").alias("hit"), F.max("seen").alias("seen"), F.min_by(F.struct(*sums), rank).alias("s"))
+        return best.select(*VOXEL, "frame", "hit", "seen", "s.*")
 
     def totals(self, upto: int | None = None) -> DataFrame:
         seen = self._seen()
@@ -118,7 +127,7 @@ class MapStore:
                                           F.col("colour_n").cast("long").alias("colour_n"), *RGB)
         totals.write.mode("errorifexists").parquet(f"{new.path}/base")
         self.spark.createDataFrame([(upto,)], "upto int").write.mode("errorifexists").parquet(f"{new.path}/closed")
-        left = self._parts()[0].filter(F.col("frame") > upto)
+        left = self._parts()[0].filter(F.col("frame") > upto).drop("main")
         left.write.partitionBy("stream", "batch").mode("errorifexists").parquet(f"{new.path}/parts")
         self.spark.createDataFrame([], PART.rsplit(", stream", 1)[0]).write.parquet(f"{new.path}/parts/stream=none/batch=-1")
         return new

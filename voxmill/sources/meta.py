@@ -13,9 +13,9 @@ SOLID = "struct<class:string,label:string,shape:string,center:array<double>,size
 SOLIDS = f"struct<room:struct<center:array<double>,size:array<double>,yaw_deg:double,thickness:double,ceiling:boolean>,solids:array<{SOLID}>>"
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Whole JSON files as (file, value)."""
-    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
+def read_documents(spark: SparkSession, path: str, *folders: str) -> DataFrame:
+    """Whole JSON files as (file, value), with the ``name=value`` folders named that they stand in."""
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value", *folders)
 
 
 def frame_meta(docs: DataFrame, key: str, given: dict[str, Column] | None = None, default_height: float = 1.25) -> DataFrame:

@@ -58,15 +58,24 @@ def point_lines(points: DataFrame, key: str, order: Column) -> DataFrame:
 
 
 def voxel_lines(vox: DataFrame, key: str, shown: Column) -> DataFrame:
-    """Labelled voxels as point lines: hidden and unannotated cells left out, class colour."""
+    """Labelled voxels as point lines with their header."""
+    return point_lines(voxel_body(vox, key, shown), key, F.col("at"))
+
+
+def voxel_body(vox: DataFrame, key: str, shown: Column) -> DataFrame:
+    """(key, at, value): hidden and unannotated cells left out, class colour."""
     cls = F.when(shown & (F.col("pred") != 255), F.col("pred")).otherwise(0)
     v = vox.withColumn("cls_", cls).filter("cls_ > 0")
-    body = v.select(key, "flat", F.concat_ws(" ", "gz", "gy", "gx", *colour_column(F.col("cls_"))).alias("value"))
-    return point_lines(body, key, F.col("flat"))
+    return v.select(key, F.col("flat").alias("at"), F.concat_ws(" ", "gz", "gy", "gx", *colour_column(F.col("cls_"))).alias("value"))
 
 
 def world_lines(world: DataFrame, origin: tuple, unit: float, key: str = "room") -> DataFrame:
-    """A world map as points in metres: measured colour over class colour, verdict colour over both."""
+    """A world map as point lines in metres with their header."""
+    return point_lines(world_body(world, origin, unit, key), key, F.col("at"))
+
+
+def world_body(world: DataFrame, origin: tuple, unit: float, key: str = "room") -> DataFrame:
+    """(key, at, value): points in metres, measured colour over class colour, verdict colour over both."""
     w = world.filter("measured OR predicted")
     rgb = colour_column(F.col("cls"))
     out = []
@@ -76,9 +85,8 @@ def world_lines(world: DataFrame, origin: tuple, unit: float, key: str = "room")
             x = F.when(F.col(name), F.lit(colour[i])).otherwise(x)
         out.append(x)
     at = [F.format_string("%.4f", o + (F.col(n) + 0.5) * unit) for o, n in zip(origin, ("ix", "iy", "iz"))]
-    body = w.select(key, "ix", "iy", "iz", F.concat_ws(" ", *at, *[c.cast("string") for c in out]).alias("value"))
-    at = lambda n: F.col(n).cast("long")
-    return point_lines(body, key, (at("ix") * 100000 + at("iy")) * 100000 + at("iz"))
+    long = lambda n: F.col(n).cast("long")
+    return w.select(key, ((long("ix") * 100000 + long("iy")) * 100000 + long("iz")).alias("at"), F.concat_ws(" ", *at, *[c.cast("string") for c in out]).alias("value"))
 
 
 def write_points(lines: DataFrame, path: str, key: str) -> None:
