@@ -13,6 +13,7 @@ from voxmill.functions import rules as R
 from voxmill.operators import manifest as D
 from voxmill.operators import series as S
 from voxmill.plans import blocks as B
+from voxmill.plans import bricks
 from voxmill.plans.fold import fold_blocks
 from voxmill.plans.quantiles import column_quantiles, exact_quantiles, lattice_quantiles
 
@@ -224,3 +225,40 @@ def test_greedy_batches_match_a_plain_loop(spark):
 def test_states_are_json():
     for start in (R.belief_start, R.gravity_start, R.height_start, R.settle_start):
         assert json.loads(json.dumps(start())) == start()
+
+
+def test_bricks_hold_sets_and_their_neighbours(spark):
+    rng = random.Random(12)
+    cells = {(k, *(rng.randrange(-7, 6) for _ in range(3))) for k in range(2) for _ in range(400)}
+    df = spark.createDataFrame(sorted(cells) * 2, "room int, ix int, iy int, iz int")
+    made = bricks.bricks(df, ["room"])
+    assert made.count() < len(cells) / 5
+    rows = lambda d: sorted(tuple(r) for r in d.select("room", "ix", "iy", "iz").collect())
+    assert rows(bricks.cells(made, "bits", ["room"])) == sorted(cells)
+    step = lambda c, a, d: (*c[:1 + a], c[1 + a] + d, *c[2 + a:])
+    around = bricks.neighbours(made, ["room"])
+    for a in range(3):
+        for way, d in (("up", 1), ("down", -1)):
+            assert rows(bricks.cells(around, f"{way}{a}", ["room"])) == sorted(step(c, a, -d) for c in cells)
+    want = cells | {step(c, a, d) for c in cells for a in range(3) for d in (1, -1)}
+    assert rows(bricks.cells(bricks.grown(made, ["room"]), "bits", ["room"])) == sorted(want)
+    none = bricks.bricks(df.limit(0), ["room"])
+    assert none.count() == bricks.grown(none, ["room"]).count() == 0
+
+
+def test_least_direction_is_the_eigenvector(spark):
+    rng = np.random.default_rng(3)
+    rows, want = [], {}
+    for i in range(300):
+        a = rng.standard_normal((3, 3))
+        size = [[1, 1, 1], [1, 1, 1e-3], [5, 1e-4, 2], [1e3, 1e3, 0]][i % 4]
+        q = np.linalg.qr(a)[0]
+        m = q @ np.diag(np.array(size) * (1 + rng.random(3))) @ q.T
+        m = (m + m.T) / 2
+        rows.append((i, *[float(m[x, y]) for x in range(3) for y in range(x, 3)]))
+        want[i] = np.linalg.eigh(m)[1][:, 0]
+    names = [f"q{x}{y}" for x in range(3) for y in range(x, 3)]
+    df = spark.createDataFrame(rows + [(999, 2.0, 0.0, 0.0, 2.0, 0.0, 2.0)], "id int, " + ", ".join(f"{n} double" for n in names))
+    got = {r.id: r for r in S.least_direction(df, ["id"], {n: F.col(n) for n in names}).collect()}
+    assert got[999].e0 is None
+    assert all(abs(abs(want[i] @ [got[i].e0, got[i].e1, got[i].e2]) - 1) < 1e-9 for i in want)

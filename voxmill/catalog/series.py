@@ -247,16 +247,63 @@ def dropped_frames(t):
     return S.dropped_frames(t.fx_tracking)
 
 
-@query("camera_floor", "T17 U02")
+def plane_sql(name, of, key):
+    """Least-squares planes of the points ``of`` (key, p0..p2, up0..up2), by the closed form for the least eigenvector."""
+    return f"""{name}_m AS (SELECT {key}, COUNT(*) AS n, {", ".join(f"ANY_VALUE(up{i}) AS up{i}, SUM(p{i}) / COUNT(*) AS c{i}" for i in range(3))},
+  {", ".join(f"SUM(p{i} * p{j}) / COUNT(*) AS r{i}{j}" for i in range(3) for j in range(i, 3))} FROM {of} GROUP BY {key}),
+{name}_q AS (SELECT *, {", ".join(f"r{i}{j} - c{i} * c{j} AS q{i}{j}" for i in range(3) for j in range(i, 3))} FROM {name}_m),
+{name}_a AS (SELECT *, (q00 + q11 + q22) / 3 AS mean FROM {name}_q),
+{name}_b AS (SELECT *, q00 - mean AS a, q11 - mean AS b, q22 - mean AS c FROM {name}_a),
+{name}_p AS (SELECT *, SQRT((a * a + b * b + c * c + 2 * (q01 * q01 + q02 * q02 + q12 * q12)) / 6) AS p,
+  a * (b * c - q12 * q12) - q01 * (q01 * c - q12 * q02) + q02 * (q01 * q12 - b * q02) AS det FROM {name}_b),
+{name}_l AS (SELECT *, CASE WHEN p > 0 THEN mean + 2 * p * COS(ACOS(GREATEST(-1, LEAST(1, det / (2 * p * p * p)))) / 3 + 2 * PI() / 3) END AS lam FROM {name}_p),
+{name}_x AS (SELECT *, q01 * q12 - q02 * (q11 - lam) AS x0, q02 * q01 - (q00 - lam) * q12 AS x1, (q00 - lam) * (q11 - lam) - q01 * q01 AS x2,
+  q01 * (q22 - lam) - q02 * q12 AS y0, q02 * q02 - (q00 - lam) * (q22 - lam) AS y1, (q00 - lam) * q12 - q01 * q02 AS y2,
+  (q11 - lam) * (q22 - lam) - q12 * q12 AS z0, q12 * q02 - q01 * (q22 - lam) AS z1, q01 * q12 - (q11 - lam) * q02 AS z2 FROM {name}_l),
+{name}_n AS (SELECT *, {", ".join(f"{v}0 * {v}0 + {v}1 * {v}1 + {v}2 * {v}2 AS {v}n" for v in "xyz")} FROM {name}_x),
+{name}_e AS (SELECT *, {", ".join(f"CASE WHEN GREATEST(xn, yn, zn) > 0 THEN CASE WHEN xn >= yn AND xn >= zn THEN x{i} WHEN yn >= zn THEN y{i} ELSE z{i} END / SQRT(GREATEST(xn, yn, zn)) ELSE up{i} END AS e{i}" for i in range(3))} FROM {name}_n),
+{name}_s AS (SELECT *, CASE WHEN e0 * up0 + e1 * up1 + e2 * up2 < 0 THEN -1 ELSE 1 END AS side FROM {name}_e),
+{name} AS (SELECT {key}, side * e0 AS n0, side * e1 AS n1, side * e2 AS n2, -side * (e0 * c0 + e1 * c1 + e2 * c2) AS d FROM {name}_s)"""
+
+
+@query("camera_floor", "T17 U02", f"""WITH pts AS (SELECT d.frame, (u - cx) * z / fx AS p0, (v - cy) * z / fy AS p1, z AS p2, r20 AS up0, r21 AS up1, r22 AS up2
+  FROM (SELECT *, depth_mm / 1000e0 AS z FROM fx_depth WHERE depth_mm > 0) d JOIN fx_frames f ON d.frame = f.frame),
+band AS (SELECT *, -(p0 * up0 + p1 * up1 + p2 * up2) AS h FROM pts WHERE -(p0 * up0 + p1 * up1 + p2 * up2) > 0.4e0 AND -(p0 * up0 + p1 * up1 + p2 * up2) < 2.5e0),
+hist AS (SELECT frame, LEAST(FLOOR((h - 0.4e0) / 0.02e0)::INT, 104) AS bin, COUNT(*) AS c FROM band GROUP BY ALL),
+tops AS (SELECT *, MAX(c) OVER (PARTITION BY frame) AS top, SUM(c) OVER (PARTITION BY frame) AS band_n FROM hist),
+peaks AS (SELECT frame, 0.4e0 + 0.02e0 * MAX(bin) FILTER (c >= GREATEST(0.15e0 * top, 1e0)) AS peak, ANY_VALUE(band_n) AS band_n FROM tops WHERE band_n >= 20 GROUP BY frame),
+b AS (SELECT band.*, peak, band_n FROM band JOIN peaks ON band.frame = peaks.frame), s1 AS (SELECT * FROM b WHERE ABS(h - (peak + 0.01e0)) < 0.06e0),
+{plane_sql("f1", "s1", "frame")},
+near1 AS (SELECT b.* FROM b JOIN f1 ON b.frame = f1.frame WHERE ABS(p0 * n0 + p1 * n1 + p2 * n2 + d) < 0.03e0),
+s2 AS (SELECT * FROM near1 WHERE frame IN (SELECT frame FROM near1 GROUP BY frame HAVING COUNT(*) >= 10)),
+{plane_sql("f2", "s2", "frame")},
+near2 AS (SELECT b.frame, COUNT(*) AS inliers FROM b JOIN f2 ON b.frame = f2.frame WHERE ABS(p0 * n0 + p1 * n1 + p2 * n2 + d) < 0.03e0 GROUP BY b.frame),
+planes AS (SELECT * FROM f2 UNION ALL SELECT * FROM f1 WHERE frame NOT IN (SELECT frame FROM f2)),
+one AS (SELECT frame, ANY_VALUE(up0) AS up0, ANY_VALUE(up1) AS up1, ANY_VALUE(up2) AS up2, ANY_VALUE(peak) AS peak, ANY_VALUE(band_n) AS band_n FROM b GROUP BY frame),
+res AS (SELECT p.frame, ABS(d) AS height, DEGREES(ACOS(LEAST(1, ABS(n0 * up0 + n1 * up1 + n2 * up2)))) AS tilt_deg, COALESCE(inliers, 0) AS inliers, peak, band_n
+  FROM planes p JOIN one ON p.frame = one.frame LEFT JOIN near2 ON near2.frame = p.frame),
+why AS (SELECT *, CASE WHEN tilt_deg > 3 THEN 'tilted' WHEN inliers < 10 THEN 'few points' END AS error FROM res)
+SELECT frame, ROUND(height, 5) AS height, ROUND(tilt_deg, 3) AS tilt_deg, inliers::BIGINT AS inliers, ROUND(peak, 9) AS peak_below_lens, band_n::BIGINT AS points_in_band, error,
+  CASE WHEN error IS NULL THEN ROUND(height, 5) END AS camera_height FROM why""")
 def camera_floor(t):
-    """Rows-only: plane fits. The tests rebuild a known floor."""
+    """Plane fits under each camera; the tests rebuild a known floor too."""
     f = S.fit_floor(S.camera_points(t.fx_depth, t.fx_frames), ["frame"], min_band=20, min_inliers=10)
-    return S.floor_gate(f, min_inliers=10)
-
-
-@query("room_floor", "T18")
+    return S.floor_gate(f, min_inliers=10).withColumns({"height": F.round("height", 5), "camera_height": F.round("camera_height", 5), "tilt_deg": F.round("tilt_deg", 3),
+                                                        "peak_below_lens": F.round("peak_below_lens", 9)})
+
+
+@query("room_floor", "T18", f"""WITH lv AS (SELECT cloud, x, y, z, FLOOR(z / 0.02e0)::INT AS level, FLOOR(x / 0.2e0)::INT AS gx, FLOOR(y / 0.2e0)::INT AS gy FROM fx_points),
+area AS (SELECT cloud, level FROM (SELECT DISTINCT cloud, level, gx, gy FROM lv) q GROUP BY ALL HAVING 0.04e0 * COUNT(*) >= 0.2e0),
+low AS (SELECT cloud, MIN(level) AS low FROM area GROUP BY cloud),
+s AS (SELECT lv.*, x AS p0, y AS p1, z AS p2, 0e0 AS up0, 0e0 AS up1, 1e0 AS up2 FROM lv JOIN low ON lv.cloud = low.cloud WHERE ABS(z - (low + 0.5e0) * 0.02e0) <= 0.03e0),
+{plane_sql("pl", "s", "cloud")},
+foot AS (SELECT cloud, 0.04e0 * COUNT(*) AS area_m2 FROM (SELECT DISTINCT cloud, gx, gy FROM s) q GROUP BY cloud),
+zs AS (SELECT cloud, QUANTILE_CONT(ROUND(z, 4), 0.5) AS floor_z, COUNT(*) AS vertices FROM s GROUP BY cloud)
+SELECT zs.cloud, ROUND(floor_z, 6) AS floor_z, vertices, ROUND(area_m2, 6) AS area_m2, ROUND(DEGREES(ACOS(LEAST(1, ABS(n2)))), 3) AS tilt_deg,
+  CASE WHEN ABS(floor_z) > 0.04e0 OR DEGREES(ACOS(LEAST(1, ABS(n2)))) > 2 THEN 'warn' ELSE 'ok' END AS status
+FROM zs JOIN foot ON foot.cloud = zs.cloud JOIN pl ON pl.cloud = zs.cloud""")
 def room_floor(t):
-    return S.room_floor(t.fx_points, "cloud", min_area=0.2)
+    return S.room_floor(t.fx_points, "cloud", min_area=0.2).withColumns({"floor_z": F.round("floor_z", 6), "area_m2": F.round("area_m2", 6), "tilt_deg": F.round("tilt_deg", 3)})
 
 
 HEIGHTS = "SELECT capture, frame, 0.5e0 + fitness * 1.5e0 + frame % 1009 / 300e0 AS height FROM fx_tracking"

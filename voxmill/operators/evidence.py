@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from voxmill.functions import geometry as G
 from voxmill.functions.geometry import LENS, POSE, Grid, pose
 from voxmill.operators.joins import explode_box, nearest_any, view_cells
+from voxmill.plans import bricks
 from voxmill.plans.blocks import block_prefix
 from voxmill.schema import CLASS_COLOURS, N_CLASSES, case_of
 
@@ -178,12 +179,13 @@ def verdicts(world: DataFrame) -> DataFrame:
 
 
 def with_disproved(v: DataFrame) -> DataFrame:
-    """``in_free`` minus the one-voxel skin along measured surfaces."""
-    steps = [(0, 0, 0), (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)]
-    skin = (v.filter("measured").select("room", F.inline(F.array(*[
-        F.struct(*[(F.col(n) + d).alias(n) for n, d in zip(CELL, s)]) for s in steps])))
-        .distinct().withColumn("skin_", F.lit(True)))
-    return (v.join(skin, VOXEL, "left")
+    """``in_free`` minus the one-voxel skin along measured surfaces. Only voxels of both are joined back."""
+    key = ["room", *bricks.BRICK]
+    skin = bricks.grown(bricks.bricks(v.filter("measured").select(*VOXEL), ["room"]), ["room"])
+    free = bricks.bricks(v.filter("in_free").select(*VOXEL), ["room"]).withColumnRenamed("bits", "free")
+    both = free.join(skin, key).withColumn("bits", F.col("bits").bitwiseAND(F.col("free"))).filter("bits <> 0")
+    skinned = bricks.cells(both, "bits", ["room"]).withColumn("skin_", F.lit(True))
+    return (v.join(skinned, VOXEL, "left")
             .withColumn("disproved", F.col("in_free") & F.col("skin_").isNull()).drop("skin_"))
 
 
@@ -203,18 +205,16 @@ def verdict_identity(v: DataFrame) -> DataFrame:
 def agreement_within(measured: DataFrame, reference: DataFrame, reach: int, keys: list[str]) -> DataFrame:
     """Share of measured voxels within 0..reach steps (6-neighbour) of a reference voxel.
 
-    The reference is spread once over the L1 ball, keeping each cell's least distance."""
-    key = keys + CELL
-    ball = [(x, y, z) for x in range(-reach, reach + 1) for y in range(-reach, reach + 1)
-            for z in range(-reach, reach + 1) if abs(x) + abs(y) + abs(z) <= reach]
-    grown = (reference.select(*key).distinct().select(*keys, F.inline(F.array(*[F.struct(
-        *[(F.col(n) + d).alias(n) for n, d in zip(CELL, b)], F.lit(sum(map(abs, b))).alias("r")) for b in ball])))
-        .groupBy(*key).agg(F.min("r").alias("r")))
-    j = measured.select(*key).distinct().join(grown, key, "left")
-    n = F.count(F.lit(1))
-    return j.agg(n.alias("n"), *[F.count_if(F.col("r") <= r).alias(f"w{r}") for r in range(reach + 1)]).select(
-        F.inline(F.array(*[F.struct(F.lit(r).alias("within"), "n", F.col(f"w{r}").alias("hits"),
-                                    (F.col(f"w{r}") / F.greatest("n", F.lit(1))).alias("share")) for r in range(reach + 1)])))
+    Both are bricks; the reference grows by a step at a time and bits in common are counted."""
+    near, key = bricks.bricks(reference, keys), [*keys, *bricks.BRICK]
+    j = bricks.bricks(measured, keys)
+    for r in range(reach + 1):
+        near = bricks.grown(near, keys) if r else near
+        j = j.join(near.withColumnRenamed("bits", f"near{r}"), key, "left")
+    hits = [F.coalesce(F.sum(F.bit_count(F.col("bits").bitwiseAND(F.coalesce(f"near{r}", F.lit(0).cast("long"))))), F.lit(0)).cast("long").alias(f"w{r}") for r in range(reach + 1)]
+    total = j.agg(F.coalesce(F.sum(F.bit_count("bits")), F.lit(0)).cast("long").alias("n"), *hits)
+    return total.select(F.inline(F.array(*[F.struct(F.lit(r).alias("within"), "n", F.col(f"w{r}").alias("hits"),
+                                                    (F.col(f"w{r}") / F.greatest("n", F.lit(1))).alias("share")) for r in range(reach + 1)])))
 
 
 def carve_free(vox: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxmill.operators.joins import nearest, nearest_any
+from voxmill.plans import bricks
 
 CELL = ["ix", "iy", "iz"]
 # Face directions and the shade each is drawn with.
@@ -13,19 +14,15 @@ FACES = [((1, 0, 0), 0.86), ((-1, 0, 0), 0.66), ((0, 1, 0), 1.00), ((0, -1, 0),
 def exposed_faces(cells: DataFrame, keys: list[str]) -> DataFrame:
     """Faces of a voxel set that do not lie between two occupied voxels.
 
-    A face between two cells has one name, (lower cell, axis): the two sides meet in one
-    aggregate, so nothing is joined back."""
+    The set is bricks; a face is a bit whose neighbour along the axis is not set, and only those become rows."""
+    around = bricks.neighbours(bricks.bricks(cells, keys), keys).filter("bits <> 0")
     sides = []
-    for (dx, dy, dz), shade in FACES:
-        axis = [abs(dx), abs(dy), abs(dz)].index(1)
-        d = (dx, dy, dz)
-        low = [F.col(n) + min(x, 0) for n, x in zip(CELL, d)]
-        sides.append(F.struct(*[c.alias("f" + n) for c, n in zip(low, CELL)], F.lit(axis).alias("axis"),
-                              F.lit(1 if sum(d) > 0 else -1).alias("dir"), F.lit(shade).alias("shade")))
-    f = cells.select(*keys, *CELL).distinct().select(*keys, F.inline(F.array(*sides)))
-    g = f.groupBy(*keys, *["f" + n for n in CELL], "axis").agg(F.count(F.lit(1)).alias("n"), F.first("dir").alias("dir"), F.first("shade").alias("shade"))
-    back = lambda i, n: F.col("f" + n) + F.when((F.col("axis") == i) & (F.col("dir") < 0), 1).otherwise(0)
-    return g.filter("n = 1").select(*keys, *[back(i, n).alias(n) for i, n in enumerate(CELL)], "axis", "dir", "shade")
+    for d, shade in FACES:
+        axis = [abs(x) for x in d].index(1)
+        beside = F.col(f"{'up' if sum(d) > 0 else 'down'}{axis}")
+        sides.append(F.struct(F.col("bits").bitwiseAND(F.bitwise_not(beside)).alias("open"), F.lit(axis).alias("axis"), F.lit(sum(d)).alias("dir"), F.lit(shade).alias("shade")))
+    faces = around.select(*keys, *bricks.BRICK, F.inline(F.array(*sides))).filter("open <> 0")
+    return bricks.cells(faces, "open", [*keys, "axis", "dir", "shade"]).select(*keys, *CELL, "axis", "dir", "shade")
 
 
 def _corners():
