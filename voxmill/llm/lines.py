@@ -54,7 +54,7 @@ def tree_lines(docs: DataFrame, depth: int = 3, neighbours: bool = True, doc_id=
     return rows.select("k1", "k2", "line_no", "x.masked", "x.leaf", F.xxhash64("x.before", "x.after").alias("around"))
 
 
-def recurring_lines(docs: DataFrame, support: int = 10, depth: int = 3, constant: float = 0.6, spread: float | None = 0.5,
+def recurring_lines(docs: DataFrame, support: int = 10, depth: int = 3, constant: float = 0.6, spread: float | None = None,
                     doc_id="doc_id", text="text") -> DataFrame:
     """``k1, k2, line_nos``: the lines of recurring templates by row.
 
@@ -81,19 +81,33 @@ def recurring_lines(docs: DataFrame, support: int = 10, depth: int = 3, constant
     return found.join(often, ["t1", "t2"], "left_semi").groupBy("k1", "k2").agg(F.collect_set("line_no").alias("line_nos"))
 
 
+def _kept(docs: DataFrame, doc_id: str, text: str, rule: dict) -> DataFrame:
+    """``row`` (all columns of ``docs``), ``kept``, ``n_lines``, ``n_dropped``; the row's own columns can clash with nothing here."""
+    found = recurring_lines(docs, doc_id=doc_id, text=text, **rule)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), *_row_keys(doc_id, text), F.split(F.coalesce(F.col(text), F.lit("")), "\n").alias("lines"))
+    rows = rows.join(found, ["k1", "k2"], "left")
+    # a set is taken from the line numbers and each kept line is looked up by its place: linear in lines
+    places = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "line_nos")
+    kept = F.array_join(F.transform(places, lambda i: F.get("lines", i)), "\n")
+    return rows.select("row", F.when(F.col("line_nos").isNull(), F.col("row")[text]).otherwise(kept).alias("kept"),
+                       F.size("lines").alias("n_lines"), F.coalesce(F.size("line_nos"), F.lit(0)).alias("n_dropped"))
+
+
 def drop_recurring(docs: DataFrame, doc_id="doc_id", text="text", **rule) -> DataFrame:
-    """``docs`` with the columns ``kept_text, n_lines, n_dropped`` added.
+    """``docs`` with the columns ``kept_text, n_lines, n_dropped`` added; columns of ``docs`` with these names give way.
 
     Every row stays; a text that is all boilerplate becomes empty. Lines without tokens are never
     templates. A null text counts as one empty line and stays null. Rows that repeat id and text get the same.
     """
-    found = recurring_lines(docs, doc_id=doc_id, text=text, **rule)
-    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
-    k1, k2 = _row_keys(doc_id, text)
-    rows = docs.withColumn("__k1", k1).withColumn("__k2", k2)
-    found = found.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("line_nos").alias("__gone"))
-    rows = rows.join(found, ["__k1", "__k2"], "left")
-    gone = F.col("__gone")
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(gone, i)), "\n")
-    return rows.select(*[F.col(c) for c in docs.columns], F.when(gone.isNull(), F.col(text)).otherwise(kept).alias("kept_text"),
-                       F.size(lines).alias("n_lines"), F.coalesce(F.size(gone), F.lit(0)).alias("n_dropped"))
+    own = [c for c in docs.columns if c not in ("kept_text", "n_lines", "n_dropped")]
+    return _kept(docs, doc_id, text, rule).select(*[F.col("row")[c].alias(c) for c in own], F.col("kept").alias("kept_text"), "n_lines", "n_dropped")
+
+
+def cleaned(docs: DataFrame, doc_id="doc_id", text="text", n_chars="n_chars", **rule) -> DataFrame:
+    """``docs`` with boilerplate lines out of ``text``: the same rows and columns.
+
+    ``n_chars``, where there is such a column, follows the texts that changed; all else stays, whatever its name."""
+    changed = {text: F.col("kept")}
+    if n_chars in docs.columns:
+        changed[n_chars] = F.when(F.col("n_dropped") > 0, F.length("kept")).otherwise(F.col("row")[n_chars]).cast(docs.schema[n_chars].dataType)
+    return _kept(docs, doc_id, text, rule).select(*[changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns])

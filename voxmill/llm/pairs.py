@@ -322,11 +322,14 @@ def jaccard_groups(docs: DataFrame, least: float = 0.8, n: int = 5, missed: floa
 
 
 def keep_one(docs: DataFrame, least: float = 0.8, n: int = 5, missed: float = 1e-4, doc_id="doc_id", text="text") -> DataFrame:
-    """The rows of ``docs``, all columns as they are, one of each group: that of the least id, then the first."""
-    rows = stored(docs.withColumn("__key", F.monotonically_increasing_id()), "rows")
-    plain = rows.select(F.col("__key").alias("key"), F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    """The rows of ``docs``, all columns as they are and whatever their names, one of each group: that of the least id, then the first.
+
+    Null, empty and blank texts have no words and are one group; a null id is least only among null ids. Repeated rows are one group."""
+    rows = stored(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("key")), "rows")
+    plain = rows.select("key", F.col("row")[doc_id].cast("long").alias("doc_id"), F.coalesce(F.col("row")[text], F.lit("")).alias("text"))
     members, per_set = _linked(plain, n, least, missed)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "key")).alias("first")
     classes = members.groupBy("c1", "c2").agg(first).join(per_set.select("c1", "label"), "c1", "left")
     kept = classes.groupBy(F.coalesce("label", F.xxhash64("c1", "c2")).alias("g"), F.col("label").isNull().alias("alone")).agg(F.min("first").alias("first"))
-    return rows.join(kept.select(F.col("first.key").alias("__key")), "__key", "left_semi").drop("__key")
+    rows = rows.join(kept.select(F.col("first.key").alias("key")), "key", "left_semi")
+    return rows.select(*[F.col("row")[c].alias(c) for c in docs.columns])
