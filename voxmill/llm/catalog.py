@@ -69,17 +69,15 @@ LINES_SQL = """
     l2 AS (SELECT *, regexp_replace(line, '[^\\x20\\x09-\\x0D0-9]*[0-9][^\\x20\\x09-\\x0D]*', '<*>', 'g') AS masked FROM l1),
     l3 AS (SELECT *, regexp_extract_all(masked, '[^\\x20\\x09-\\x0D]+') AS toks FROM l2),
     l4 AS (SELECT *, len(toks) AS n, len(toks)::VARCHAR || chr(1) || array_to_string(toks[1:3], chr(1)) AS leaf FROM l3),
-    l5 AS (SELECT *, coalesce(lag(leaf) OVER u, '') || chr(2) || coalesce(lead(leaf) OVER u, '') AS around FROM l4
-           WINDOW u AS (PARTITION BY doc_id, body ORDER BY line_no)),
-    ln AS (SELECT * FROM l5 WHERE n > 0),
+    ln AS (SELECT * FROM l4 WHERE n > 0),
     kinds AS (SELECT leaf, masked, any_value(toks) AS toks, count(*) AS c FROM ln
               WHERE leaf IN (SELECT leaf FROM ln GROUP BY 1 HAVING count(*) >= 10) GROUP BY 1, 2),
     parts AS (SELECT leaf, masked, c, unnest(toks) AS token, generate_subscripts(toks, 1) AS place FROM kinds),
     held AS (SELECT *, sum(c) OVER (PARTITION BY leaf, place, token) >= 10 AS known FROM parts),
     shapes AS (SELECT leaf, masked, string_agg(CASE WHEN known THEN token ELSE '<*>' END, ' ' ORDER BY place) AS template FROM held
                GROUP BY 1, 2 HAVING avg(known::INTEGER) >= 0.6),
-    found AS (SELECT doc_id, body, line_no, around, leaf, template FROM ln JOIN shapes USING (leaf, masked)),
-    often AS (SELECT leaf, template FROM found GROUP BY 1, 2 HAVING count(DISTINCT around) >= 10 AND count(DISTINCT around) >= 0.5 * count(*)),
+    found AS (SELECT doc_id, body, line_no, leaf, template FROM ln JOIN shapes USING (leaf, masked)),
+    often AS (SELECT leaf, template FROM found GROUP BY 1, 2 HAVING count(DISTINCT body) >= 10),
     gone AS (SELECT doc_id, body, line_no FROM found JOIN often USING (leaf, template)),
     kept AS (SELECT doc_id, body, count(*) AS n_lines, count(*) FILTER (gone.line_no IS NOT NULL) AS n_dropped,
                     coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (gone.line_no IS NULL), '') AS kept_text
@@ -152,9 +150,8 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     WITH t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
     p AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM t) GROUP BY 1, 2, 3),
     g AS (SELECT count(*) AS n, sum(len(w)) / count(*) AS avgdl FROM t),
-    f AS (SELECT term, ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM p, g GROUP BY 1 HAVING count(*) > 1),
-    q AS (SELECT doc_id AS query_id, term, idf FROM p JOIN f USING (term) WHERE doc_id % 20 = 0
-          QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY tf * idf DESC, term) <= 16),
+    f AS (SELECT term, ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM p, g GROUP BY 1),
+    q AS (SELECT doc_id AS query_id, term, idf FROM p JOIN f USING (term) WHERE doc_id % 20 = 0),
     s AS (SELECT query_id, p.doc_id, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 9) AS score
           FROM q JOIN p USING (term), g GROUP BY 1, 2)
     SELECT query_id, (row_number() OVER w)::INTEGER AS rank, doc_id, score FROM s
