@@ -4,7 +4,6 @@ Every stage but the last returns the columns of ``documents``; the last returns
 """
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from voxmill.llm import leaks, lines, mixing, pairs, toxicity
 from voxmill.llm.catalog import table, toxicity_machine
@@ -17,12 +16,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of templates that recur in 10 texts go; every document stays."""
-    kept = lines.drop_recurring(docs, spread=None)
-    changed = {"text": F.col("kept_text")}
-    if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.col("n_dropped") > 0, F.length("kept_text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return kept.select(*[changed.get(c, F.col(c)).alias(c) for c in docs.columns])
+    """Lines of templates that recur in 10 texts go; every document and every column stays."""
+    return lines.cleaned(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
