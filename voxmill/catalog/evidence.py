@@ -86,6 +86,36 @@ def gather_prediction(t):
     return g.groupBy("frame", "cls").agg(F.count(F.lit(1)).alias("n"))
 
 
+DYADIC = G.Grid(-2.0, -2.0, -0.5, 0.25, 16, 16, 10)
+# Quarter turns and eighths of a metre: every product and sum is exact, also where a centre lies on a border.
+TURNS = {name: f"CASE {q} {' '.join(f'WHEN {i} THEN {v}e0' for i, v in enumerate(vals))} END"
+         for q, names in (("frame % 4", ("c", "s")), ("frame // 4 % 4", ("lc", "ls"))) for name, vals in zip(names, ((1, 0, -1, 0), (0, 1, 0, -1)))}
+
+
+def turned_frames(t):
+    f = t.fx_frames.select("frame")
+    q = {"": F.col("frame") % 4, "l_": F.floor(F.col("frame") / 4) % 4}
+    pick = lambda k, vals: F.element_at(F.array(*[F.lit(float(v)) for v in vals]), (k + 1).cast("int"))
+    out = []
+    for pre, k in q.items():
+        c, s, z, o = pick(k, (1, 0, -1, 0)), pick(k, (0, 1, 0, -1)), F.lit(0.0), F.lit(1.0)
+        out += [x.alias(pre + n) for x, n in zip([c, -s, z, s, c, z, z, z, o], G.ROT)]
+    at = {"tx": F.col("frame") % 7 - 3, "ty": F.col("frame") % 5 - 2, "tz": F.col("frame") % 3, "l_tx": F.col("frame") % 4, "l_ty": F.lit(1), "l_tz": F.col("frame") % 2}
+    return f.select("frame", *out, *[(x / 8.0).alias(n) for n, x in at.items()])
+
+
+@query("gathered_cells", "W06", f"""WITH {CLAIMS}, f AS (SELECT frame, {", ".join(f"{x} AS {n}" for n, x in TURNS.items())}, (frame % 7 - 3) / 8e0 AS tx, (frame % 5 - 2) / 8e0 AS ty,
+  (frame % 3) / 8e0 AS tz, (frame % 4) / 8e0 AS lx, 1 / 8e0 AS ly, (frame % 2) / 8e0 AS lz FROM fx_frames),
+w AS (SELECT CAST(i // 160 AS INT) AS ix, CAST(i // 10 % 16 AS INT) AS iy, CAST(i % 10 AS INT) AS iz FROM range(2560) r(i)),
+d AS (SELECT f.*, ix, iy, iz, -2e0 + (ix + 0.5e0) * 0.25e0 - tx AS dx, -2e0 + (iy + 0.5e0) * 0.25e0 - ty AS dy, -0.5e0 + (iz + 0.5e0) * 0.25e0 - tz AS dz FROM f CROSS JOIN w),
+cam AS (SELECT *, c * dx + s * dy AS cx, -s * dx + c * dy AS cy FROM d),
+l AS (SELECT frame, ix, iy, iz, FLOOR((lc * cx - ls * cy + lx + 2) / 0.25e0)::INT AS jx, FLOOR((ls * cx + lc * cy + ly + 2) / 0.25e0)::INT AS jy, FLOOR((dz + lz + 0.5e0) / 0.25e0)::INT AS jz FROM cam)
+SELECT l.frame, l.ix, l.iy, l.iz, cls FROM l JOIN claims q ON q.frame = l.frame AND q.ix = jx AND q.iy = jy AND q.iz = jz""")
+def gathered_cells(t):
+    """Every world cell that takes a class, under poses without rounding: ownership at borders included."""
+    return E.gather_prediction(claims(t), turned_frames(t), DYADIC, DYADIC)
+
+
 CL = f"""cl AS (SELECT {VOX}, cls, frame FROM fx_claims),
 vs AS (SELECT {VOX}, cls, COUNT(*) AS n FROM cl WHERE cls > 0 GROUP BY ALL),
 best AS (SELECT {VOX}, cls, ROW_NUMBER() OVER (PARTITION BY {VOX} ORDER BY n DESC, cls) AS rk, SUM(n) OVER (PARTITION BY {VOX}) AS total FROM vs),
