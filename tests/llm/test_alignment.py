@@ -83,10 +83,13 @@ def test_empty_table(spark):
     assert [tuple(r)[1:] for r in alignment.align(cases.frame(spark, [(1, None, "s"), (1, "", "s")]), *FILES).collect()] == [(0,) * 6 + ("",)] * 2
 
 
-def test_long_texts_are_cut_where_nothing_changes():
+def test_parts_have_the_tokens_of_the_whole_text():
     both = alignment.Tokenizers(*FILES)
     assert both.cuts
-    texts = [" ".join(t or "" for _, t, _ in cases.made() + SPECIAL[2:4]), "x" * 5000, "a b " * 2000, " lead  and   trail  "]
-    for most in (1, 7, 64, 1000):
-        for (a, b), (c, d) in zip(both.encode(texts, 1 << 30), both.encode(texts, most)):
-            assert len(a) and a.tolist() == c.tolist() and b.tolist() == d.tolist()
+    texts = [" ".join(t or "" for _, t, _ in cases.made() + SPECIAL[2:4]), "x" * 5000, "a b " * 2000, " lead  and   trail  ", "it's 5 o'clock, don't 1 2 x_ y ½ z"]
+    whole = alignment.Tokenizers(*FILES)
+    whole.cuts = False
+    for held in (150_000, 3, 3, 3):
+        for text, got, want in zip(texts, both.records(texts, held), whole.records(texts)):
+            assert got == want and got[0] == len(both.a.encode(" " + text, add_special_tokens=False).ids)
+    assert all(len(p) <= 64 for p in both.known)

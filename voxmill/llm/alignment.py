@@ -8,6 +8,7 @@ its rows by a digest of the text.
 import functools
 import hashlib
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +20,9 @@ from voxmill.llm.shared import join_copies, keyed, small, stored
 
 MEASURES = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 _ALIGNED = pa.schema([("digest", pa.binary()), ("copies", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()),
-                      ("n_links", pa.int64()), ("groups_sha256", pa.string()), ("a", pa.binary()), ("b", pa.binary())])
+                      ("n_links", pa.int64()), ("groups_sha256", pa.string()), ("links", pa.binary())])
+#: A space between letters or digits.
+_CUT = re.compile(r"(?<=[^\W_]) (?=[^\W_])")
 _SQL = {pa.int64(): "long", pa.string(): "string", pa.binary(): "binary"}
 
 
@@ -56,38 +59,89 @@ class Tokenizers:
         #: id k as decimal text and its end mark: at 2 k within a group, at 2 k + 1 as the group's last.
         self.text_a = [b"%d%c" % (i, c) for i in range(len(entries)) for c in b",|"]
         self.text = self.text_a + [b"%d%c" % (i, c) for i in range(len(pieces)) for c in b",;"]
-
-    def parts(self, text: str, most: int) -> list[str]:
-        """``text`` cut at single spaces between letters or digits into parts of about ``most`` characters at least; the spaces go."""
-        if len(text) <= most or not self.cuts:
-            return [text]
-        out, start = [], 0
-        while len(text) - start > most:
-            at = text.find(" ", start + most)
-            while at >= 0 and not (text[at - 1].isalnum() and text[at + 1:at + 2].isalnum()):
-                at = text.find(" ", at + 1)
-            if at < 0:
-                break
-            out.append(text[start:at])
-            start = at + 1
-        return [*out, text[start:]]
-
-    def encode(self, texts: list[str], most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Ids of both sides for each text, or two empty arrays where bytes are not those of the text."""
-        cut = [self.parts(t, most) for t in texts]
-        flat = [p for parts in cut for p in parts]
-        a = self.a.encode_batch_fast([" " + p for p in flat], add_special_tokens=False)
-        b = self.b.encode(flat, num_threads=1)
-        at = 0
-        for text, parts in zip(texts, cut):
-            ids_a = [i for e in a[at:at + len(parts)] for i in e.ids]
-            ids_b = [i for e in b[at:at + len(parts)] for i in e]
-            at += len(parts)
-            raw = b" " + text.encode()
-            if text and raw == b"".join(map(self.bytes_a.__getitem__, ids_a)) == b"".join(map(self.bytes_b.__getitem__, ids_b)):
-                yield np.array(ids_a, np.int64), np.array(ids_b, np.int64)
+        self.text_len = np.array(list(map(len, self.text)), np.int64)
+
+        self.known: dict[str, tuple | None] = {}
+        self.met: set[int] = set()
+
+    def parts(self, text: str) -> list[str]:
+        """``text`` cut at single spaces between letters or digits, which go: both sides end a token there and start the next with the space."""
+        return _CUT.split(text) if self.cuts else [text]
+
+    def records(self, texts: list[str], held: int = 150_000) -> list[tuple[int, int, bytes, bytes] | None]:
+        """Tokens of both sides, the groups as text and the linked ids as pairs of 32-bit numbers, or None where a side does not give the bytes back.
+
+        A text is its parts put together. Parts of up to 64 characters that come a second time are remembered, up to ``held`` of them."""
+        cut = [self.parts(t) for t in texts]
+        if len(self.known) > held:
+            self.known.clear()
+        if len(self.met) > 2 * held:
+            self.met.clear()
+        new = list({p: None for parts in cut for p in parts if p not in self.known})
+        self.known.update(zip(new, self._parts(new)))
+        out = []
+        for parts in cut:
+            rows = list(map(self.known.__getitem__, parts))
+            if None in rows:
+                out.append(None)
+                continue
+            n, groups, links = zip(*rows)
+            total = sum(n)
+            out.append((total & 0xFFFFFFFF, total >> 32, b";".join(groups), b"".join(links)))
+        for p in new:
+            if len(p) > 64 or (h := hash(p)) not in self.met:
+                del self.known[p]
+                if len(p) <= 64:
+                    self.met.add(h)
+        return out
+
+    def _parts(self, parts: list[str]) -> list[tuple[int, bytes, bytes] | None]:
+        """``n_a + (n_b << 32)``, groups and links of each part.
+
+        Parts that begin and end with letters or digits go to the libraries as texts of many parts, in which
+        both sides end a token at every cut; the others, and texts that are not given back, part by part."""
+        out: list[tuple | None] = [None] * len(parts)
+        joint = [k for k, p in enumerate(parts) if p[:1].isalnum() and p[-1:].isalnum()] if self.cuts else []
+        alone = sorted({*range(len(parts))} - {*joint})
+        for runs in ([joint[k:k + 4096] for k in range(0, len(joint), 4096)], [[k] for k in alone]):
+            again = []
+            for at in range(0, len(runs), 4096):
+                again += self._runs(parts, runs[at:at + 4096], out)
+            if again:
+                self._runs(parts, [[k] for run in again if len(run) > 1 for k in run], out)
+        return out
+
+    def _runs(self, parts: list[str], runs: list[list[int]], out: list) -> list[list[int]]:
+        """Fill ``out`` for the parts of each run, one text a run; returns the runs that were not given back."""
+        texts = [" ".join(parts[k] for k in run) for run in runs]
+        all_a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        all_b = self.b.encode(texts, num_threads=1)
+        good, ids_a, ids_b, again = [], [], [], []
+        for run, text, a, b in zip(runs, texts, all_a, all_b):
+            if b" " + text.encode() == b"".join(map(self.bytes_a.__getitem__, a)) == b"".join(map(self.bytes_b.__getitem__, b)):
+                good += run
+                ids_a += a
+                ids_b += b
             else:
-                yield np.empty(0, np.int64), np.empty(0, np.int64)
+                again.append(run)
+        if not good:
+            return again
+        a, b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
+        end_a, end_b = self.align(a, b)
+        # a part is a run of tokens on both sides and a run of groups, up to where its bytes end
+        ends = np.cumsum([len(parts[k].encode()) + 1 for k in good])
+        upto_a, upto_b = (np.searchsorted(np.cumsum(n[x]), ends) + 1 for n, x in ((self.len_a, a), (self.len_b, b)))
+        order = self.grouped(a, b, end_a, end_b)
+        shown = b"".join(map(self.text.__getitem__, order.tolist()))
+        marks = np.cumsum(self.text_len[order])[upto_a + upto_b - 1]
+        links = np.stack([a[end_a], b[end_b]], axis=1).astype("<u4").tobytes()
+        pairs = 8 * np.searchsorted(end_a, upto_a)
+        sizes = np.diff(upto_a, prepend=0) + (np.diff(upto_b, prepend=0) << 32)
+        x = y = 0
+        for k, n, mark, pair in zip(good, sizes.tolist(), marks.tolist(), pairs.tolist()):
+            out[k] = n, shown[x:mark - 1], links[y:pair]
+            x, y = mark, pair
+        return again
 
     def align(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in ``a`` and in ``b`` of the tokens that end at the same byte."""
@@ -96,15 +150,15 @@ class Tokenizers:
         same = ends_a[np.minimum(at, len(ends_a) - 1)] == ends_b
         return at[same], np.flatnonzero(same)
 
-    def groups(self, a, b, end_a, end_b) -> bytes:
-        """``a1,a2|b1;a3|b2,b3``: ids of each group, both sides."""
+    def grouped(self, a, b, end_a, end_b) -> np.ndarray:
+        """Places in ``text`` of all tokens, group by group, first those of ``a``: ``a1,a2|b1;a3|b2,b3;``."""
         at_a, at_b = np.arange(len(a)), np.arange(len(b))
         before = np.concatenate([[0], end_b + 1])
         order = np.empty(len(a) + len(b), np.int64)
         in_a, in_b = np.searchsorted(end_a, at_a), np.searchsorted(end_b, at_b)
         order[at_a + before[in_a]] = 2 * a + (end_a[in_a] == at_a)
         order[at_b + end_a[in_b] + 1] = len(self.text_a) + 2 * b + (end_b[in_b] == at_b)
-        return b"".join(map(self.text.__getitem__, order.tolist()))[:-1]
+        return order
 
 
 @functools.cache
@@ -122,51 +176,56 @@ def _portions(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
             yield batch.slice(a, b - a)
 
 
-def aligned_texts(texts: DataFrame, a_file: str, b_file: str, part: int = 1 << 18) -> DataFrame:
-    """Each of the distinct ``texts`` (text, copies) aligned; ``a`` and ``b`` hold the linked ids as 32-bit numbers."""
+def aligned_texts(texts: DataFrame, a_file: str, b_file: str) -> DataFrame:
+    """Each of the distinct ``texts`` (text, copies) aligned; ``links`` holds the linked ids as pairs of 32-bit numbers."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = _loaded(a_file, b_file)
         for batch in small(batches):
             for rows in _portions(batch, 1 << 20):
                 words, out = rows.column(0).to_pylist(), []
-                for text, copies, (a, b) in zip(words, rows.column(1).to_pylist(), both.encode(words, part)):
-                    end_a, end_b = both.align(a, b) if len(a) else (a, b)
-                    shown = hashlib.sha256(both.groups(a, b, end_a, end_b)).hexdigest() if len(a) else ""
-                    out.append((hashlib.sha256(text.encode()).digest(), copies, len(a), len(b), len(end_a), len(end_a), shown,
-                                a[end_a].astype("<u4").tobytes(), b[end_b].astype("<u4").tobytes()))
+                for text, copies, found in zip(words, rows.column(1).to_pylist(), both.records(words)):
+                    n_a, n_b, groups, links = found or (0, 0, b"", b"")
+                    shown = hashlib.sha256(groups).hexdigest() if found else ""
+                    out.append((hashlib.sha256(text.encode()).digest(), copies, n_a, n_b, len(links) // 8, len(links) // 8, shown, links))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _ALIGNED)], schema=_ALIGNED)
 
     return texts.select("text", "copies").mapInArrow(work, _ddl(_ALIGNED))
 
 
-def _pairs(batch: pa.RecordBatch, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
-    """The id pairs of all rows, a above b in 64 bits, and how many each row has."""
-    left, right = ([np.frombuffer(x, "<u4") for x in batch.column(c).to_pylist()] for c in (a, b))
-    sizes = np.array([len(x) for x in left], np.int64)
-    return (np.concatenate(left).astype(np.int64) << 32 | np.concatenate(right).astype(np.int64)) if len(left) else np.empty(0, np.int64), sizes
+def _pairs(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The id pairs of all rows from their second column, a above b in 64 bits, and how many each row has."""
+    links = batch.column(1).to_pylist()
+    both = np.frombuffer(b"".join(links), "<u4").reshape(-1, 2).astype(np.int64)
+    return both[:, 0] << 32 | both[:, 1], np.array([len(x) // 8 for x in links], np.int64)
 
 
 def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    found, at = np.unique(keys, return_inverse=True)
-    total = np.zeros(len(found), np.int64)
-    np.add.at(total, at, n)
-    return found, total
+    order = np.argsort(keys)
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.diff(keys, prepend=keys[:1] - 1))
+    return keys[first], np.add.reduceat(n, first) if len(first) else n
 
 
-def pair_counts(aligned: DataFrame, held: int = 2_000_000) -> DataFrame:
+def pair_counts(aligned: DataFrame, held: int = 500_000) -> DataFrame:
     """``pair, n, best``: links of each id pair over all rows, and whether no pair of its second id has more."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, n = np.empty(0, np.int64), np.empty(0, np.int64)
+        keys, n, late, size = np.empty(0, np.int64), np.empty(0, np.int64), [], 0
+
+        def merged():
+            return _summed(np.concatenate([keys, *[p for p, _ in late]]), np.concatenate([n, *[c for _, c in late]]))
+
         for batch in small(batches):
-            pairs, sizes = _pairs(batch, 1, 2)
-            copies = np.repeat(batch.column(0).to_numpy(), sizes)
-            keys, n = _summed(np.concatenate([keys, pairs]), np.concatenate([n, copies]))
-            if len(keys) > held:
-                yield from _slices(keys, n)
-                keys, n = keys[:0], n[:0]
-        yield from _slices(keys, n)
-
-    counts = aligned.select("copies", "a", "b").mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+            pairs, sizes = _pairs(batch)
+            late.append((pairs, np.repeat(batch.column(0).to_numpy(), sizes)))
+            size += len(pairs)
+            if size > held:
+                (keys, n), late, size = merged(), [], 0
+                if len(keys) > held:
+                    yield from _slices(keys, n)
+                    keys, n = keys[:0], n[:0]
+        yield from _slices(*merged())
+
+    counts = aligned.select("copies", "links").mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
     counts = stored(counts.withColumn("b", F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF))), "pairs")
     top = counts.groupBy("b").agg(F.max("n").alias("top"))
     return stored(counts.join(top, "b").select("pair", "n", (F.col("n") == F.col("top")).alias("best")), "pair_counts")
@@ -205,13 +264,14 @@ def align(docs: DataFrame, a_file: str, b_file: str, doc_id="doc_id", text="text
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, n, best = known.value
         for batch in small(batches):
-            pairs, sizes = _pairs(batch, 1, 2)
+            pairs, sizes = _pairs(batch)
             row = np.repeat(np.arange(batch.num_rows), sizes)
             at = np.searchsorted(keys, pairs)
             hit = np.zeros(len(pairs), bool) if not len(keys) else keys[np.minimum(at, len(keys) - 1)] == pairs
-            sums, bests = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
-            np.add.at(sums, row[hit], n[at[hit]])
-            np.add.at(bests, row[hit], best[at[hit]])
+            at = np.where(hit, at, 0)
+            upto = np.concatenate([[0], np.cumsum(sizes)])
+            sums, bests = (np.diff(np.concatenate([[0], np.cumsum(np.where(hit, x[at], 0))])[upto]) if len(keys) else np.zeros(batch.num_rows, np.int64)
+                           for x in (n, best))
             kinds, kind = np.unique(pairs[~hit], return_inverse=True)
             rare, times = np.unique(row[~hit] * max(1, len(kinds)) + kind, return_counts=True)
             at_row, at_kind = np.divmod(rare, max(1, len(kinds)))
@@ -222,12 +282,12 @@ def align(docs: DataFrame, a_file: str, b_file: str, doc_id="doc_id", text="text
                 pa.array(np.concatenate([sums, times])), pa.array(np.concatenate([bests, np.zeros(len(times), np.int64)]))],
                 names=["digest", "pair", "n", "best"])
 
-    parts = stored(aligned.select("digest", "a", "b").mapInArrow(measure, "digest binary, pair long, n long, best long"), "measures")
+    parts = stored(aligned.select("digest", "links").mapInArrow(measure, "digest binary, pair long, n long, best long"), "measures")
     rare = parts.filter("pair is not null").select("digest", "pair", F.col("n").alias("times")).join(counts, "pair")
     rare = rare.select("digest", (F.col("times") * F.col("n")).alias("n"), (F.col("times") * F.col("best").cast("long")).alias("best"))
     sums = parts.filter("pair is null").select("digest", "n", "best").unionByName(rare)
     sums = sums.groupBy("digest").agg(F.sum("n").alias("count_sum"), F.sum("best").alias("n_best"))
-    measured = stored(aligned.drop("a", "b").join(sums, "digest"), "measured")
+    measured = stored(aligned.drop("links").join(sums, "digest"), "measured")
     copies = rows.select("key", "doc_id", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest"))
     joined = join_copies(copies, measured, [*MEASURES, "groups_sha256"])
     return joined.select("doc_id", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in MEASURES],
