@@ -100,9 +100,9 @@ def test_tokens_are_the_librarys(spark, docs, none, name):
 
 # substring dedup ----------------------------------------------------------------------------------
 
-@pytest.mark.parametrize("window,crowd", [(20, 50_000), (20, 0), (7, 2)])
+@pytest.mark.parametrize("window,crowd", [(20, 1 << 24), (20, 0), (7, 2000)])
 def test_repeats(spark, docs, window, crowd):
-    got = rows_of(substrings.drop_repeats(docs, window, crowd=crowd), "doc_id", "n_words", "n_removed", "kept")
+    got = rows_of(substrings.drop_repeats(docs, window, crowd_bytes=crowd), "doc_id", "n_words", "n_removed", "kept")
     kept = cases.repeats(ROWS, window)
     want = []
     for i, t, _ in ROWS:
@@ -112,6 +112,36 @@ def test_repeats(spark, docs, window, crowd):
     assert sum(r[2] for r in got) > 500
 
 
+def test_repeats_in_many_rows_without_id(spark):
+    import random
+    rng = random.Random(8)
+    rows = [(None, " ".join(f"n{rng.randrange(9)}" for _ in range(rng.randrange(5, 60))), "s") for _ in range(1500)]
+    rows += [(None, rows[3][1], "s")] * 40 + [(7, rows[4][1] + " more", "s")]
+    texts = sorted({t for _, t, _ in rows[:-1]})
+    got = substrings.drop_repeats(cases.frame(spark, rows), 6).collect()
+    # rows without id come first, in an order of their own: what is left holds each window once
+    windows = {tuple(w[p:p + 6]) for t in texts for w in [t.split()] for p in range(len(w) - 5)}
+    assert len(got) == len(rows) and sum(r.n_words for r in got) == sum(len(t.split()) for _, t, _ in rows)
+    covered = Counter(tuple(w[p:p + 6]) for t in texts for w in [t.split()] for p in range(len(w) - 5))
+    clean = {t for t in texts if all(covered[tuple(t.split()[p:p + 6])] == 1 for p in range(len(t.split()) - 5))}
+    kept = Counter(r.kept for r in got)
+    assert all(kept[t] >= 1 for t in clean) and max(covered.values()) > 1 and len(clean) > 100 and len(windows) > 1000
+    assert [r.kept for r in got if r.doc_id == 7] == ["more"] and kept[rows[3][1]] in (0, 41)
+
+
+def test_words_with_low_bytes_are_no_other_words(spark):
+    base = [f"b{i}" for i in range(19)]
+    rows = [(i, " ".join([*base, w]), "s") for i, w in enumerate(["end", "end\x01x", "end", "en"])] + [(9, " ".join([*base, "end", "after"]), "s")]
+    got = {r.doc_id: (r.n_removed, r.kept) for r in substrings.drop_repeats(cases.frame(spark, rows)).collect()}
+    assert {i: n for i, (n, _) in got.items()} == {0: 0, 1: 0, 2: 20, 3: 0, 9: 20} and got[9][1] == "after"
+
+
+def test_common_words():
+    assert substrings.common_words(b"a b c ", b"a b c ") == 3 and substrings.common_words(b"a b c ", b"a b cd ") == 2
+    assert substrings.common_words(b"a ", b"b ") == 0 and substrings.common_words(b"a b ", b"a b c ") == 2
+    assert sorted(map(sorted, substrings.inner_nodes([(b"a b c ", 0), (b"a b d ", 1), (b"a c ", 2), (b"a b c ", 3)], 2))) == [[0, 1, 3], [2]]
+
+
 def test_repeats_of_nothing(none):
     assert substrings.drop_repeats(none).count() == 0
 
@@ -226,6 +256,19 @@ def test_leaks(spark, none, most):
     assert leaks.contaminated(none, bench).count() == 0 and leaks.contaminated(df, bench.limit(0)).count() == 0 and leaks.clean(df, bench.limit(0)).count() == len(rows)
 
 
+def test_registered_decontamination_finds_a_planted_passage(spark, tmp_path):
+    from voxmill.llm.catalog import QUERIES
+    import random
+    rng = random.Random(31)
+    text = lambda n: " ".join(f"v{rng.randrange(5000)}" for _ in range(n))
+    items = [(k, text(60)) for k in range(20)]
+    rows = [(i, text(200) + (f" {items[i % 20][1]} " if i % 9 == 0 else " ") + text(50), "s") for i in range(90)]
+    cases.frame(spark, rows).select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = QUERIES["op3_decontamination"](spark, str(tmp_path)).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(i, i % 20) for i in range(0, 90, 9)}
+
+
 def test_index_holds_all_within_the_radius():
     assert leaks.RADIUS < leaks.BITS // leaks.BLOCK * (leaks.NEAR + 1)
     rng = np.random.default_rng(1)
@@ -242,14 +285,14 @@ def test_index_holds_all_within_the_radius():
 
 # search -------------------------------------------------------------------------------------------
 
-@pytest.mark.parametrize("terms", [None, 3])
-def test_top_k_is_exact(spark, none, terms):
+@pytest.mark.parametrize("terms,least", [(None, 2), (3, 2), (None, 1)])
+def test_top_k_is_exact(spark, none, terms, least):
     df = cases.frame(spark, ROWS)
-    got = sorted(((r.query_id, r["rank"], r.doc_id, round(r.score, 7)) for r in search.search(df, F.col("doc_id") % 5 == 0, k=4, terms=terms).collect()))
+    got = sorted(((r.query_id, r["rank"], r.doc_id, round(r.score, 7)) for r in search.search(df, F.col("doc_id") % 5 == 0, k=4, terms=terms, least=least).collect()))
     parsed = [(cases.order(i), k, i, Counter(cases.lowered(t))) for k, (i, t, _) in enumerate(ROWS)]
     n, average = len(parsed), sum(sum(c.values()) for *_, c in parsed) / len(parsed)
     df_of = Counter(w for *_, c in parsed for w in c)
-    idf = {w: math.log(1 + (n - x + 0.5) / (x + 0.5)) for w, x in df_of.items() if x > 1}
+    idf = {w: math.log(1 + (n - x + 0.5) / (x + 0.5)) for w, x in df_of.items() if x >= least}
     want = []
     for _, _, i, q in parsed:
         if i is None or i % 5:
@@ -310,6 +353,21 @@ def test_machine_learns_words_and_meetings(spark):
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {i for i in got if got[i] < 0.5}
 
 
+def test_score_is_the_sum_over_all_pairs(spark):
+    """Bias, weights and one product of factors for each pair of a text's features, by the plain formula."""
+    names = ["vile", "group", "mild", "other", "noun"]
+    features = np.array(sorted({h for t in names for h in toxicity.hashed(t)}), np.uint32)
+    rng = np.random.default_rng(6)
+    m = toxicity.Machine(features, -0.3, rng.normal(0, 1, len(features)), rng.normal(0, 1, (len(features), 4)))
+    rows = [(i, " ".join(names[k] for k in rng.integers(0, 5, i % 7)), "s") for i in range(40)] + [(90, None, "s"), (91, "vile " * 500, "s")]
+    got = {r.doc_id: r.score for r in toxicity.score(cases.frame(spark, rows), m).collect()}
+    for i, t, _ in rows:
+        have = sorted({int(np.searchsorted(features, h)) for x in toxicity.terms(t) for h in toxicity.hashed(x) if h in set(features.tolist())})
+        z = m.bias + sum(m.w[a] for a in have) + sum(float(m.v[a] @ m.v[b]) for k, a in enumerate(have) for b in have[:k])
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-max(-60, min(60, z)))), rel=1e-9)
+    assert len(set(got.values())) > 10
+
+
 def test_scores_of_awkward_rows(spark, docs, none):
     lab = spark.createDataFrame([(i, 1, i % 2) for i in range(40)] + [(None, 1, 1), (41, 1, None), (3, 1, 1)], "doc_id long, quality int, toxic int")
     machine = toxicity.fit(toxicity.sample(docs, lab, shared.remainder("doc_id", 3) != 1, 10, 10))
@@ -322,7 +380,7 @@ def test_scores_of_awkward_rows(spark, docs, none):
 
 # line dedup ---------------------------------------------------------------------------------------
 
-def plain_lines(rows, support=10, depth=3, constant=0.6, spread=0.5):
+def plain_lines(rows, support=10, depth=3, constant=0.6, spread=None):
     import re
     from collections import defaultdict
     found = []
@@ -347,17 +405,18 @@ def plain_lines(rows, support=10, depth=3, constant=0.6, spread=0.5):
         if leaf[l] >= support:
             known = [place[l, q, x] >= support for q, x in enumerate(w)]
             if sum(known) >= constant * len(w) - 1e-12:
-                shapes[l, tuple(x if k else "<*>" for x, k in zip(w, known))].append((i, t, p, around))
+                shapes[l, tuple(x if k else "<*>" for x, k in zip(w, known))].append((i, t, p, t if spread is None else around))
     gone = defaultdict(set)
     for rows_at in shapes.values():
         n = len({r[3] for r in rows_at})
-        if n >= support and n >= spread * sum(times[r[0], r[1]] for r in rows_at):
+        if n >= support and n >= (spread or 0) * sum(times[r[0], r[1]] for r in rows_at):
             for i, t, p, _ in rows_at:
                 gone[i, t].add(p)
     return gone
 
 
-def test_templates(spark, none):
+@pytest.mark.parametrize("spread", [0.5, None])
+def test_templates(spark, none, spread):
     import random
     rng = random.Random(9)
     rows = list(ROWS)
@@ -370,8 +429,8 @@ def test_templates(spark, none):
     copy = "same copied text here\nand its second line\nand a third of it"
     rows += [(2000 + i, copy, "s") for i in range(30)]
     df = cases.frame(spark, rows)
-    got = lines.drop_recurring(df.drop("kept_text")).collect()
-    gone = plain_lines(rows)
+    got = lines.drop_recurring(df, spread=spread).collect()
+    gone = plain_lines(rows, spread=spread)
     want = []
     for i, t, _ in rows:
         ls = (t or "").split("\n")
@@ -381,6 +440,13 @@ def test_templates(spark, none):
     by = {r.doc_id: r for r in got}
     assert all("Posted by" not in by[1000 + i].kept_text and "All rights" not in by[1000 + i].kept_text and by[1000 + i].n_dropped == 1 + i % 2 for i in range(60))
     assert all(by[2000 + i].kept_text == copy for i in range(30))
+    clash = ["kept_text", "n_lines", "n_dropped", "row", "kept", "lines", "line_nos", "k1", "k2", "__k1", "__gone"]
+    named = df.select("doc_id", "text", "n_chars", *[F.lit("own").alias(c) for c in clash])
+    clean = lines.cleaned(named, spread=spread)
+    assert clean.columns == named.columns
+    assert sorted(((r.doc_id, r.text, r.n_chars) for r in clean.collect()), key=str) == sorted(
+        ((i, t, None if t is None else len(t)) for i, t, _, _ in want), key=str)
+    assert clean.filter(" OR ".join(f"`{c}` <> 'own'" for c in clash)).count() == 0
     assert lines.drop_recurring(none.drop("kept_text")).count() == 0
 
 
