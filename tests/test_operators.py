@@ -52,6 +52,13 @@ def test_nearest_in_a_crowd(spark, limit):
             assert got[i][1] == best and got[i][0] == min(f[j][0] for j in np.nonzero(row == best)[0])
 
 
+def test_nearest_broadcasts_nothing_that_grows(spark):
+    """Cells and points of the references go through a shuffle, however small they look."""
+    p = spark.range(50).select(F.col("id"), *[(F.col("id") * k % 7 / 10).alias(a) for k, a in ((3, "x"), (5, "y"), (2, "z"))])
+    plan = J.nearest(p, p.withColumnRenamed("id", "ref_id"), 0.3)._jdf.queryExecution().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_nearest_keeps_keys_apart(spark):
     q = spark.createDataFrame([(1, "a", 0.0, 0.0, 0.0), (2, "c", 0.0, 0.0, 0.0)], "id long, k string, x double, y double, z double")
     f = spark.createDataFrame([(7, "b", 0.0, 0.0, 0.0), (8, "a", 40.0, 0.0, 0.0)], "ref_id long, k string, x double, y double, z double")

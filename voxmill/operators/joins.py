@@ -5,6 +5,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from voxmill.functions.geometry import Grid, pose, span, view_box
+from voxmill.plans.blocks import growing
 from voxmill.session import cut
 
 
@@ -186,12 +187,13 @@ def nearest(queries: DataFrame, refs: DataFrame, limit: float, levels: int | Non
 
     ``queries(id, keys.., x, y, z)``, ``refs(ref_id, keys.., x, y, z)``; only rows with
     equal keys meet. A coarse-to-fine descent over nested cells. At each level a query
-    holds a few candidate cells and the best distance proven so far (some reference of a
-    candidate cell is no farther than the cell's far corner); cells whose near side lies
+    holds a few candidate cells and the best distance proven so far (that to one known
+    reference of each candidate cell); cells whose near side lies
     beyond it are dropped before their children are looked at. A crowded cell costs its
     eight children and not its points, so hot cells on either side never meet pair by
     pair; only the last level's small cells are opened, after equal points have been
-    merged. How deep to go is read from the references unless ``levels`` is given.
+    merged. Cells are never broadcast, as they grow with the references.
+    How deep to go is read from the references unless ``levels`` is given.
     """
     keys = list(keys or [])
     levels = levels or levels_for(refs, limit, keys)
@@ -199,10 +201,10 @@ def nearest(queries: DataFrame, refs: DataFrame, limit: float, levels: int | Non
     at = keys + ["cx", "cy", "cz"]
     pts = refs.groupBy(*keys, "x", "y", "z").agg(F.min("ref_id").alias("ref_id"))
     fine = pts.select("*", *[_cell(a, finest).alias(f"c{a}") for a in "xyz"])
-    # occupied cells per level, each derived from the finer one
-    cells = [fine.select(*at).distinct()]
+    # occupied cells per level with one of their points, each derived from the finer one
+    cells = [fine.groupBy(*at).agg(F.min(F.struct(*[F.col(a).alias(f"r{a}") for a in "xyz"])).alias("point"))]
     for _ in range(levels - 1):
-        up = cells[0].select(*keys, *[F.floor(F.col(f"c{a}") / 2).alias(f"c{a}") for a in "xyz"]).distinct()
+        up = cells[0].groupBy(*keys, *[F.floor(F.col(f"c{a}") / 2).alias(f"c{a}") for a in "xyz"]).agg(F.min("point").alias("point"))
         cells.insert(0, up)
     own = ["id", *keys, "x", "y", "z"]
 
@@ -212,22 +214,22 @@ def nearest(queries: DataFrame, refs: DataFrame, limit: float, levels: int | Non
             cand = cand.select("*", F.explode(F.array(*[F.lit(d) for d in steps])).alias(f"d{a}"))
         return cand.select(*own, *[(F.col(f"h{a}") + F.col(f"d{a}")).alias(f"c{a}") for a in "xyz"])
 
-    cand = branch(queries, {a: _cell(a, limit) for a in "xyz"}, [-1, 0, 1])
+    cand = branch(spread(queries.select(*own), "id"), {a: _cell(a, limit) for a in "xyz"}, [-1, 0, 1])
     for level in range(levels):
         size = limit / 2 ** level
         if level:
             cand = branch(cand, {a: 2 * F.col(f"c{a}") for a in "xyz"}, [0, 1])
         lo = {a: F.col(f"c{a}") * size for a in "xyz"}
         gap = {a: F.greatest(lo[a] - F.col(a), F.col(a) - lo[a] - size, F.lit(0.0)) for a in "xyz"}
-        reach = {a: F.greatest(F.abs(F.col(a) - lo[a]), F.abs(F.col(a) - lo[a] - size)) for a in "xyz"}
         near2 = gap["x"] * gap["x"] + gap["y"] * gap["y"] + gap["z"] * gap["z"]
-        far2 = reach["x"] * reach["x"] + reach["y"] * reach["y"] + reach["z"] * reach["z"]
         # a hair of slack keeps rounding from dropping a cell that holds the answer
-        cand = cand.withColumn("near2", near2).filter(F.col("near2") <= limit * limit * (1 + 1e-9)).withColumn("far2", far2)
-        cand = cand.join(cells[level], at, "left_semi")
-        best = F.min("far2").over(W.partitionBy("id"))  # a query's few cells
-        cand = cand.withColumn("best2", best).filter(F.col("near2") <= F.col("best2") * (1 + 1e-9)).drop("near2", "far2", "best2")
-    opened = cand.join(fine.select(*at, "ref_id", *[F.col(a).alias(f"r{a}") for a in "xyz"]), at)
+        cand = cand.withColumn("near2", near2).filter(F.col("near2") <= limit * limit * (1 + 1e-9))
+        cand = cand.join(growing(cells[level]), at)
+        off = {a: F.col(a) - F.col(f"point.r{a}") for a in "xyz"}
+        cand = cand.withColumn("some2", off["x"] * off["x"] + off["y"] * off["y"] + off["z"] * off["z"]).drop("point")
+        best = F.min("some2").over(W.partitionBy("id"))  # a query's few cells
+        cand = cand.withColumn("best2", best).filter(F.col("near2") <= F.col("best2") * (1 + 1e-9)).drop("near2", "some2", "best2")
+    opened = cand.join(growing(fine.select(*at, "ref_id", *[F.col(a).alias(f"r{a}") for a in "xyz"])), at)
     d = {a: F.col(a) - F.col(f"r{a}") for a in "xyz"}
     d2 = d["x"] * d["x"] + d["y"] * d["y"] + d["z"] * d["z"]
     return (opened.withColumn("d2", d2).filter(F.col("d2") <= limit * limit)

@@ -13,6 +13,14 @@ from pyspark.sql import functions as F
 FAN = 4096
 
 
+def growing(df: DataFrame) -> DataFrame:
+    """A table that grows with the input, for the other side of an equi-join: both sides are shuffled and sorted.
+
+    Spark would broadcast it through the driver as long as its compressed shuffle files look small,
+    which they do at several times the driver's share of memory."""
+    return df.hint("merge")
+
+
 def block_prefix(blocks: DataFrame, keys: list[str], block: str, value: str, out: str, how=F.sum, start=0) -> DataFrame:
     """Running ``how`` of ``value`` over the earlier blocks of each key, ``start`` before the first.
 
