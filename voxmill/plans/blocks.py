@@ -32,7 +32,7 @@ def block_prefix(blocks: DataFrame, keys: list[str], block: str, value: str, out
     tops = tops.select(*keys, "super_", how("s_").over(before).alias("top_"))
     inner = W.partitionBy(*keys, "super_").orderBy(block).rowsBetween(W.unboundedPreceding, -1)
     join = (lambda x, y: F.coalesce(x, F.lit(0)) + F.coalesce(y, F.lit(0))) if how is F.sum else (F.greatest if how is F.max else F.least)
-    return (b.withColumn("in_", how(value).over(inner)).join(tops, keys + ["super_"])
+    return (b.withColumn("in_", how(value).over(inner)).join(growing(tops), keys + ["super_"])
             .withColumn(out, F.coalesce(join(F.col("in_"), F.col("top_")), F.lit(start))).drop("super_", "in_", "top_"))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxmill.operators.evidence import CELL, VOXEL, latest_colour, measured_state, verdicts, with_class
+from voxmill.plans.blocks import growing
 from voxmill.schema import N_CLASSES
 
 VOTES = [f"v{c}" for c in range(1, N_CLASSES)]
@@ -71,8 +72,8 @@ class MapStore:
         # the most rows, then the first by name
         owner = came.groupBy("room", "frame", "stream").agg(F.sum("n").alias("n"))
         owner = owner.groupBy("room", "frame").agg(F.min(F.struct(-F.col("n"), "stream"))["stream"].alias("owner"))
-        late = came.join(owner, ["room", "frame"]).crossJoin(F.broadcast(closed)).filter("stream <> owner OR frame <= upto")
-        parts = parts.join(owner, ["room", "frame"]).crossJoin(F.broadcast(closed)).filter("frame > upto")
+        late = came.join(growing(owner), ["room", "frame"]).crossJoin(F.broadcast(closed)).filter("stream <> owner OR frame <= upto")
+        parts = parts.join(growing(owner), ["room", "frame"]).crossJoin(F.broadcast(closed)).filter("frame > upto")
         return parts.withColumn("main", F.col("stream") == F.col("owner")).drop("owner", "upto"), late.select("room", "frame", "stream", "batch")
 
     def frames(self) -> DataFrame:
@@ -108,15 +109,15 @@ class MapStore:
         looks = seen.filter("lit > 0").select(*VOXEL, "frame", *[(F.col(c) / F.col("lit")).alias(c) for c in RGB])
         looks = old.unionByName(looks).withColumn("kind", F.lit("hit"))
         before = base.select(*VOXEL, F.when(F.col("colour_n") > 0, F.col("colour_n") - 1).alias("more_"))
-        colour = latest_colour(looks).join(before, VOXEL, "left").withColumn("colour_n", F.col("colour_n") + F.coalesce("more_", F.lit(0))).drop("more_")
-        return sums.join(colour, VOXEL, "left").withColumn("colour_n", F.coalesce("colour_n", F.lit(0)))
+        colour = latest_colour(looks).join(growing(before), VOXEL, "left").withColumn("colour_n", F.col("colour_n") + F.coalesce("more_", F.lit(0))).drop("more_")
+        return sums.join(growing(colour), VOXEL, "left").withColumn("colour_n", F.coalesce("colour_n", F.lit(0)))
 
     def world(self) -> DataFrame:
         """The map with state, claim, blind flag, verdicts and colour."""
         t = self.totals()
         c = with_class(t.select(*VOXEL, "n_seen", "first_pred", *VOTES)).drop("n_seen", "first_pred")
         blind = F.col("first_pred").isNotNull() & (F.col("first_touch").isNull() | (F.col("first_touch") > F.col("first_pred")))
-        return verdicts(t.join(c, VOXEL).withColumn("blind", blind).withColumn("state", measured_state(F.col("n_hit"), F.col("n_pass"))))
+        return verdicts(t.join(growing(c), VOXEL).withColumn("blind", blind).withColumn("state", measured_state(F.col("n_hit"), F.col("n_pass"))))
 
     def compact(self, target: str, upto: int) -> "MapStore":
         """A fresh store with the frames up to ``upto`` (not negative) folded into one row a voxel and closed.
