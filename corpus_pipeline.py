@@ -16,8 +16,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of templates that recur in 10 texts go; every document and every column stays."""
-    return lines.cleaned(docs)
+    """Lines of templates that recur in 10 texts or between 10 neighbours go; every document and every column stays."""
+    return lines.cleaned(docs, between=0.5)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -415,6 +415,17 @@ def plain_lines(rows, support=10, depth=3, constant=0.6, spread=None):
     return gone
 
 
+def test_templates_of_few_texts_between_many_neighbours(spark):
+    """A template of two texts that stands between ever different lines recurs, as one of ten texts does."""
+    other = ["alpha one", "beta two three", "gamma", "delta four five six", "epsilon seven", "zeta", "eta eight nine", "theta ten", "iota", "kappa eleven twelve", "lambda", "mu x"]
+    rows = [(d, "\n".join(x for i, o in enumerate(other) for x in (f"{o} {chr(97 + d)}", f"disk usage is {i} percent")), 1) for d in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars int")
+    assert [r.n_dropped for r in lines.drop_recurring(df, between=0.5).orderBy("doc_id").collect()] == [12, 12]
+    assert [r.n_dropped for r in lines.drop_recurring(df).collect()] == [0, 0]
+    ten = spark.createDataFrame([(d, f"start\ndisk usage is {d} percent\nend", 1) for d in range(10)], "doc_id long, text string, n_chars int")
+    assert all(r.n_dropped == 3 for r in lines.drop_recurring(ten, between=0.5).collect())
+
+
 @pytest.mark.parametrize("spread", [0.5, None])
 def test_templates(spark, none, spread):
     import random

@@ -4,7 +4,7 @@ A line goes to the leaf of its token count and first tokens, tokens with digits
 fields. In a leaf, a token that few lines have at its place is a variable field too; what is left
 is the line's template. A template that recurs across texts is boilerplate and all its lines are
 dropped. Exact copies of a text count once, and stay for the near-duplicate stage. On request it
-must recur between different neighbours instead.
+must recur between different neighbours instead, or may do either.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -38,7 +38,7 @@ def _row_keys(doc_id: str, text: str) -> list[Column]:
 
 
 def tree_lines(docs: DataFrame, depth: int = 3, neighbours: bool = True, doc_id="doc_id", text="text") -> DataFrame:
-    """``k1, k2, line_no, masked, leaf, around``: every line that has tokens; around hashes both neighbours' leaves, or the text."""
+    """``k1, k2, line_no, masked, leaf, body``: every line that has tokens; body hashes the text. With ``neighbours`` also ``around``, of both neighbours' leaves."""
     body = F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("body")
     rows = docs.select(*_row_keys(doc_id, text), body, F.transform(_spaced(F.split(F.coalesce(F.col(text), F.lit("")), "\n")), _masked).alias("lines"))
     code = F.transform("lines", lambda x: F.xxhash64(_count(x), F.substring_index(x, " ", depth)))
@@ -46,23 +46,26 @@ def tree_lines(docs: DataFrame, depth: int = 3, neighbours: bool = True, doc_id=
     if not neighbours:
         rows = rows.withColumn("each", F.arrays_zip(F.col("lines").alias("masked"), F.col("code").alias("leaf")))
         rows = rows.select("k1", "k2", "body", F.posexplode("each").alias("line_no", "x")).filter("x.masked <> ''")
-        return rows.select("k1", "k2", "line_no", "x.masked", "x.leaf", F.col("body").alias("around"))
+        return rows.select("k1", "k2", "line_no", "x.masked", "x.leaf", "body")
     none = F.array(F.lit(0).cast("long"))
     rows = rows.withColumn("each", F.arrays_zip(F.col("lines").alias("masked"), F.col("code").alias("leaf"), F.concat(none, "code").alias("before"),
                                                 F.concat(F.slice("code", F.lit(2), F.greatest(F.size("code") - 1, F.lit(0))), none).alias("after")))
-    rows = rows.select("k1", "k2", F.posexplode("each").alias("line_no", "x")).filter("x.masked <> ''")
-    return rows.select("k1", "k2", "line_no", "x.masked", "x.leaf", F.xxhash64("x.before", "x.after").alias("around"))
+    rows = rows.select("k1", "k2", "body", F.posexplode("each").alias("line_no", "x")).filter("x.masked <> ''")
+    return rows.select("k1", "k2", "line_no", "x.masked", "x.leaf", "body", F.xxhash64("x.before", "x.after").alias("around"))
 
 
 def recurring_lines(docs: DataFrame, support: int = 10, depth: int = 3, constant: float = 0.6, spread: float | None = None,
-                    doc_id="doc_id", text="text") -> DataFrame:
+                    between: float | None = None, doc_id="doc_id", text="text") -> DataFrame:
     """``k1, k2, line_nos``: the lines of recurring templates by row.
 
     ``support``: lines a token needs at its place to be constant, and different texts or neighbours a
     template needs; ``constant``: share of constant tokens a template needs; ``spread``: neighbours as
-    a share of its lines, or None to count different texts alone, whatever stands around the line. A leaf with fewer lines than ``support`` can hold no such template, which is exact.
+    a share of its lines, or None to count different texts alone, whatever stands around the line;
+    ``between``: without ``spread``, templates whose neighbours are many and this share of their lines go too. A leaf with fewer lines than ``support`` can hold no such template, which is exact.
     """
-    lines = tree_lines(docs, depth, spread is not None, doc_id, text)
+    share = between if spread is None else spread
+    places = (["body"] if spread is None else []) + (["around"] if share is not None else [])
+    lines = tree_lines(docs, depth, share is not None, doc_id, text)
     leaves = lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= support).select("leaf")
     lines = stored(lines.join(leaves, "leaf", "left_semi"), "leaf-lines")
     kinds = lines.groupBy("leaf", "masked").agg(F.count(F.lit(1)).alias("c"))
@@ -73,12 +76,13 @@ def recurring_lines(docs: DataFrame, support: int = 10, depth: int = 3, constant
     templates = (fields.groupBy("leaf", "masked").agg(F.array_join(shape, " ").alias("template"), F.avg(F.coalesce("known", F.lit(0))).alias("held"))
                  .filter(F.col("held") >= constant).select("leaf", "masked", F.xxhash64("leaf", "template").alias("t1"), F.xxhash64("template", "leaf").alias("t2")))
     # the line's text served its purpose; its template is all that goes on
-    found = stored(lines.join(templates, ["leaf", "masked"]).select("k1", "k2", "line_no", "t1", "t2", "around"), "templated")
+    found = stored(lines.join(templates, ["leaf", "masked"]).select("k1", "k2", "line_no", "t1", "t2", *places), "templated")
     # combined by what counts once, so a hot template is one row for each text or neighbourhood
-    often = (found.groupBy("t1", "t2", "around").agg(F.count(F.lit(1)).alias("c"))
+    often = [found.groupBy("t1", "t2", place).agg(F.count(F.lit(1)).alias("c"))
              .groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("places"), F.sum("c").alias("lines"))
-             .filter((F.col("places") >= support) & (F.col("places") >= (spread or 0.0) * F.col("lines"))).select("t1", "t2"))
-    return found.join(often, ["t1", "t2"], "left_semi").groupBy("k1", "k2").agg(F.collect_set("line_no").alias("line_nos"))
+             .filter((F.col("places") >= support) & (F.col("places") >= (share if place == "around" else 0.0) * F.col("lines"))).select("t1", "t2")
+             for place in places]
+    return found.join(often[0] if len(often) == 1 else often[0].unionByName(often[1]), ["t1", "t2"], "left_semi").groupBy("k1", "k2").agg(F.collect_set("line_no").alias("line_nos"))
 
 
 def _kept(docs: DataFrame, doc_id: str, text: str, rule: dict) -> DataFrame:
