@@ -183,6 +183,24 @@ def test_fold_settles_when_state_never_forgets(spark):
     assert {r.rn: r.n for r in got} == {i: i + 1 for i in range(60)}
 
 
+def test_fold_keeps_runs_whole_when_joins_turn_into_broadcasts(spark):
+    def step(s, r):
+        s["v"], last = r["v"], s["v"]
+        return {"was": last}
+    df = spark.range(4000).select(F.lit("a").alias("k"), F.col("id").alias("rn"), (F.col("id") + 1).alias("v")).repartition(8)
+    late = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m",
+            "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "8"}
+    before = {k: spark.conf.get(k, None) for k in late}
+    for k, v in late.items():
+        spark.conf.set(k, v)
+    try:
+        got = fold_blocks(df, ["k"], "rn", ["v"], lambda: {"v": 0}, step, "was long", 256).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert sorted((r.rn, r.was) for r in got) == [(i, i) for i in range(4000)]
+
+
 def test_best_height_is_sequential(spark):
     rng = random.Random(2)
     rows = [("a", i, round(rng.uniform(0.4, 1.1) + i / 400, 4) if i % 5 else None) for i in range(300)]

@@ -52,7 +52,9 @@ def fold_blocks(df: DataFrame, keys: list[str], index: str, inputs: list[str], s
         """``todo``: keys, run_, start_ of the runs of ``size`` blocks to fold."""
         r = rows.withColumn("run_", F.floor(F.col("blk_") / size)).join(todo, [*keys, "run_"])
         r = r.withColumn("start_", F.when(at == F.col("run_") * size * width, F.col("start_"))).join(lasts, block)
-        r = r.withColumn("last_", at == F.col("top_")).drop("top_").repartition(n, *keys, "run_").sortWithinPartitions(*keys, "run_", index)
+        # by a hash of the columns: AQE drops a repartition by the very columns of a join below it, and then
+        # reads the rows of that join map task by map task when it becomes a broadcast, which cuts runs apart
+        r = r.withColumn("last_", at == F.col("top_")).drop("top_").repartition(n, F.xxhash64(*keys, "run_")).sortWithinPartitions(*keys, "run_", index)
         return cut(r.mapInPandas(run, f"{ddl}, {outputs}, blk_ long, begin_ string, end_ string"))
 
     lasts = cut(rows.groupBy(*block).agg(F.max(index).alias("top_")))
