@@ -59,6 +59,13 @@ def test_nearest_broadcasts_nothing_that_grows(spark):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+def test_nearest_sends_a_query_once(spark):
+    """A query meets the occupied cells around it in one row, and not as a row for each cell there may be."""
+    p = spark.createDataFrame([(i, i * 0.1, 0.0, 0.0) for i in range(20)], "id long, x double, y double, z double")
+    plan = J.nearest(p, p.withColumnRenamed("id", "ref_id"), 0.3, levels=3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode([-1,0,1])" not in plan and "explode([0,1])" not in plan
+
+
 def test_nearest_keeps_keys_apart(spark):
     q = spark.createDataFrame([(1, "a", 0.0, 0.0, 0.0), (2, "c", 0.0, 0.0, 0.0)], "id long, k string, x double, y double, z double")
     f = spark.createDataFrame([(7, "b", 0.0, 0.0, 0.0), (8, "a", 40.0, 0.0, 0.0)], "ref_id long, k string, x double, y double, z double")

@@ -186,10 +186,13 @@ def nearest(queries: DataFrame, refs: DataFrame, limit: float, levels: int | Non
     """Nearest reference of every query within ``limit``: (id, ref_id, d2), lowest ref_id on ties.
 
     ``queries(id, keys.., x, y, z)``, ``refs(ref_id, keys.., x, y, z)``; only rows with
-    equal keys meet. A coarse-to-fine descent over nested cells. At each level a query
+    equal keys meet. A coarse-to-fine descent over nested cells. The first cells are two limits
+    wide, so a query reaches into two along each axis. At each level a query
     holds a few candidate cells and the best distance proven so far (that to one known
     reference of each candidate cell); cells whose near side lies
-    beyond it are dropped before their children are looked at. A crowded cell costs its
+    beyond it are dropped before their children are looked at. A cell carries its occupied
+    children as one short array, so a query meets them in one row and only those that may hold
+    its answer become rows. A crowded cell costs its
     eight children and not its points, so hot cells on either side never meet pair by
     pair; only the last level's small cells are opened, after equal points have been
     merged. Cells are never broadcast, as they grow with the references.
@@ -203,32 +206,42 @@ def nearest(queries: DataFrame, refs: DataFrame, limit: float, levels: int | Non
     fine = pts.select("*", *[_cell(a, finest).alias(f"c{a}") for a in "xyz"])
     # occupied cells per level with one of their points, each derived from the finer one
     cells = [fine.groupBy(*at).agg(F.min(F.struct(*[F.col(a).alias(f"r{a}") for a in "xyz"])).alias("point"))]
-    for _ in range(levels - 1):
+    for _ in range(levels):
         up = cells[0].groupBy(*keys, *[F.floor(F.col(f"c{a}") / 2).alias(f"c{a}") for a in "xyz"]).agg(F.min("point").alias("point"))
         cells.insert(0, up)
     own = ["id", *keys, "x", "y", "z"]
-
-    def branch(cand: DataFrame, base: dict[str, Column], steps: list[int]) -> DataFrame:
-        cand = cand.select(*own, *[base[a].alias(f"h{a}") for a in "xyz"])
-        for a in "xyz":
-            cand = cand.select("*", F.explode(F.array(*[F.lit(d) for d in steps])).alias(f"d{a}"))
-        return cand.select(*own, *[(F.col(f"h{a}") + F.col(f"d{a}")).alias(f"c{a}") for a in "xyz"])
-
-    cand = branch(spread(queries.select(*own), "id"), {a: _cell(a, limit) for a in "xyz"}, [-1, 0, 1])
-    for level in range(levels):
-        size = limit / 2 ** level
-        if level:
-            cand = branch(cand, {a: 2 * F.col(f"c{a}") for a in "xyz"}, [0, 1])
-        lo = {a: F.col(f"c{a}") * size for a in "xyz"}
-        gap = {a: F.greatest(lo[a] - F.col(a), F.col(a) - lo[a] - size, F.lit(0.0)) for a in "xyz"}
-        near2 = gap["x"] * gap["x"] + gap["y"] * gap["y"] + gap["z"] * gap["z"]
+    held = F.collect_list(F.struct(*[F.col(f"c{a}") for a in "xyz"], "point")).alias("held")  # at most 8
+    corner = [f"p{a}" for a in "xyz"]
+
+    def closest(rows: DataFrame, size: float, best: Column | None = None) -> DataFrame:
+        """(own.., best2, near2, cx, cy, cz): the cells of ``held`` that may hold a query's answer."""
+        def gap(a: str, s: Column) -> Column:
+            lo = s[f"c{a}"] * size
+            return F.greatest(lo - F.col(a), F.col(a) - lo - size, F.lit(0.0))
+        square = lambda part: part("x") * part("x") + part("y") * part("y") + part("z") * part("z")
+        seen = F.transform("held", lambda s: F.struct(*[s[f"c{a}"].alias(f"c{a}") for a in "xyz"], square(lambda a: gap(a, s)).alias("near2"),
+                                                      square(lambda a: F.col(a) - s["point"][f"r{a}"]).alias("some2")))
         # a hair of slack keeps rounding from dropping a cell that holds the answer
-        cand = cand.withColumn("near2", near2).filter(F.col("near2") <= limit * limit * (1 + 1e-9))
-        cand = cand.join(growing(cells[level]), at)
-        off = {a: F.col(a) - F.col(f"point.r{a}") for a in "xyz"}
-        cand = cand.withColumn("some2", off["x"] * off["x"] + off["y"] * off["y"] + off["z"] * off["z"]).drop("point")
-        best = F.min("some2").over(W.partitionBy("id"))  # a query's few cells
-        cand = cand.withColumn("best2", best).filter(F.col("near2") <= F.col("best2") * (1 + 1e-9)).drop("near2", "some2", "best2")
+        seen = F.filter(seen, lambda s: s["near2"] <= limit * limit * (1 + 1e-9))
+        rows = reckoned(rows, own if best is None else [*own, "best2"], seen=seen)
+        some = F.array_min(F.transform("seen", lambda s: s["some2"]))
+        rows = reckoned(rows, [*own, "seen"], best2=some if best is None else F.least(best, some))
+        rows = rows.select(*own, "best2", F.inline(F.filter("seen", lambda s: s["near2"] <= F.col("best2") * (1 + 1e-9))))
+        return rows.drop("some2")
+
+    # a query stands between the cells that its limit reaches: (floor of its low side) and the next along each axis
+    first = cells[0].select(*keys, "cx", "cy", "cz", "point")
+    for a in "xyz":
+        first = first.select("*", F.explode(F.array(F.col(f"c{a}") - 1, F.col(f"c{a}"))).alias(f"p{a}"))
+    around = first.groupBy(*keys, *corner).agg(held)
+    asked = spread(queries.select(*own), "id").select(*own, *[F.floor((F.col(a) - limit) / (2 * limit)).alias(f"p{a}") for a in "xyz"])
+    cand = closest(asked.join(growing(around), keys + corner), 2 * limit).drop("near2")
+    for level in range(1, levels + 1):
+        children = cells[level].groupBy(*keys, *[F.floor(F.col(f"c{a}") / 2).alias(f"p{a}") for a in "xyz"]).agg(held)
+        cand = cand.select(*own, "best2", *[F.col(f"c{a}").alias(f"p{a}") for a in "xyz"]).join(growing(children), keys + corner)
+        cand = closest(cand, 2 * limit / 2 ** level, F.col("best2"))
+        best = F.min("best2").over(W.partitionBy("id"))  # a query's few cells
+        cand = cand.withColumn("best2", best).filter(F.col("near2") <= F.col("best2") * (1 + 1e-9)).drop("near2")
     opened = cand.join(growing(fine.select(*at, "ref_id", *[F.col(a).alias(f"r{a}") for a in "xyz"])), at)
     d = {a: F.col(a) - F.col(f"r{a}") for a in "xyz"}
     d2 = d["x"] * d["x"] + d["y"] * d["y"] + d["z"] * d["z"]
