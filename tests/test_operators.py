@@ -396,3 +396,35 @@ def test_solids_from_files_reject_bad_rows(spark, tmp_path):
     g = good.collect()
     assert [(r.seq, r.cls, r.shape) for r in g] == [(0, 6, "box")] and math.isclose(g[0].r10, 1.0)
     assert {r.seq: r.why for r in bad.collect()} == {1: "class", 2: "shape", 3: "rotation"}
+
+
+def most_made(df):
+    """Rows of the plan's largest Generate, once the rows were taken."""
+    df.collect()
+
+    def walk(plan):
+        kind = plan.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec" or kind.endswith("QueryStageExec"):
+            yield from walk(plan.executedPlan() if kind == "AdaptiveSparkPlanExec" else plan.plan())
+            return
+        if kind == "GenerateExec":
+            yield plan.metrics().get("numOutputRows").get().value()
+        for i in range(plan.children().size()):
+            yield from walk(plan.children().apply(i))
+    return max(walk(df._jdf.queryExecution().executedPlan()))
+
+
+def test_vertices_are_made_at_the_surface_only(spark):
+    rng = random.Random(7)
+    block = [(0, x, y, z) for x in range(12) for y in range(12) for z in range(12)]
+    assert most_made(M.surface_vertices(spark.createDataFrame(block, "room int, ix int, iy int, iz int"), ["room"])) < len(block)
+    rows = [(r, x, y, z) for r in (0, 1) for x in range(-3, 7) for y in range(-5, 4) for z in range(9) if rng.random() < 0.4]
+    rows += [(1, None, 2, 3), (1, None, 2, 4), (None, 0, 0, 0)]
+    masks = {}
+    for key, *p in rows:
+        for b, c in enumerate((i, j, k) for i in (0, 1) for j in (0, 1) for k in (0, 1)):
+            at = (key, *[None if x is None else x - o for x, o in zip(p, c)])
+            masks[at] = masks.get(at, 0) | 1 << b
+    want = sorted(((str(at), *[None if x is None else x + o for x, o in zip(at[1:], M._vertex_of(m))]) for at, m in masks.items() if m < 255), key=str)
+    got = M.surface_vertices(spark.createDataFrame(rows + rows[:20], "room int, ix int, iy int, iz int"), ["room"]).collect()
+    assert sorted(((str((r.room, r.cix, r.ciy, r.ciz)), r.x, r.y, r.z) for r in got), key=str) == want

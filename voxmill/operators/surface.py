@@ -1,5 +1,7 @@
 """Surfaces of voxel sets and meshes as tables of vertices, faces and edges."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,21 +27,34 @@ def exposed_faces(cells: DataFrame, keys: list[str]) -> DataFrame:
     return bricks.cells(faces, "open", [*keys, "axis", "dir", "shade"]).select(*keys, *CELL, "axis", "dir", "shade")
 
 
-def _corners():
-    return [(a, b, c) for a in (0, 1) for b in (0, 1) for c in (0, 1)]
+def _corner_masks(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys.., cix, ciy, ciz, mask): which corners of each lattice cell are occupied, of those with any and not all.
+
+    Worked out brick by brick, so that rows and memory follow the bricks; only cells on the surface become rows."""
+    corner = [F.col(f"c{b}") for b in range(8)]
+    some, every = reduce(lambda a, b: a.bitwiseOR(b), corner), reduce(lambda a, b: a.bitwiseAND(b), corner)
+    around = bricks.octants(bricks.bricks(cells, keys), keys)
+    held = around.withColumn("open", some.bitwiseAND(F.bitwise_not(every))).filter("open <> 0")
+    on = bricks.cells(held, "open", [*keys, *bricks.BRICK, *[f"c{b}" for b in range(8)]], "place_")
+    mask = sum((F.getbit(f"c{b}", F.col("place_")).cast("int") * (1 << b) for b in range(1, 8)), F.getbit("c0", F.col("place_")).cast("int"))
+    return on.select(*keys, *[F.col(n).cast(cells.schema[n].dataType).alias("c" + n) for n in CELL], mask.alias("mask"))
+
+
+def _unplaced_masks(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """``_corner_masks`` of voxels that lack a coordinate, which stand in no brick: theirs is missing in the cell, too."""
+    spots = [F.struct(*[(F.col(n) - o).alias("c" + n) for n, o in zip(CELL, c)], F.lit(1 << b).alias("bit")) for b, c in enumerate(bricks.CORNERS)]
+    return (cells.select(*keys, *CELL).distinct().select(*keys, F.inline(F.array(*spots)))
+            .groupBy(*keys, *["c" + n for n in CELL]).agg(F.bit_or("bit").alias("mask")).filter("mask < 255"))
 
 
 def surface_vertices(cells: DataFrame, keys: list[str]) -> DataFrame:
     """One vertex per lattice cell that straddles the surface, at the mean of its crossing edges'
     midpoints, and the occupied voxel it belongs to.
 
-    Each occupied voxel is a corner of eight cells; a cell's corners become an 8-bit mask.
-    The 256 answers are worked out once from the mask and joined as a 256-row table. Cell
-    (i, j, k) spans voxels i..i+1, so vertices are in voxel index coordinates."""
-    corners = _corners()
-    spots = [F.struct(*[(F.col(n) - o).alias("c" + n) for n, o in zip(CELL, c)], F.lit(1 << b).alias("bit")) for b, c in enumerate(corners)]
-    masks = (cells.select(*keys, *CELL).distinct().select(*keys, F.inline(F.array(*spots)))
-             .groupBy(*keys, *["c" + n for n in CELL]).agg(F.bit_or("bit").alias("mask")).filter("mask < 255"))
+    The eight corners of a cell are an 8-bit mask. The 256 answers are worked out once from the mask
+    and joined as a 256-row table. Cell (i, j, k) spans voxels i..i+1, so vertices are in voxel index coordinates."""
+    placed = F.col("ix").isNotNull() & F.col("iy").isNotNull() & F.col("iz").isNotNull()
+    masks = _corner_masks(cells.filter(placed), keys).unionByName(_unplaced_masks(cells.filter(~placed), keys))
     table = cells.sparkSession.createDataFrame([(m, *_vertex_of(m)) for m in range(1, 255)],
                                                "mask int, vx double, vy double, vz double, ox int, oy int, oz int")
     j = masks.join(F.broadcast(table), "mask")  # 254 rows
@@ -49,7 +64,7 @@ def surface_vertices(cells: DataFrame, keys: list[str]) -> DataFrame:
 
 def _vertex_of(mask: int) -> tuple:
     """Vertex offset in its cell and the nearest occupied corner, for one corner mask."""
-    corners = _corners()
+    corners = bricks.CORNERS
     on = [bool(mask >> b & 1) for b in range(8)]
     mids = [[(p + q) / 2 for p, q in zip(a, b)] for i, a in enumerate(corners) for j, b in enumerate(corners)
             if j > i and sum(p != q for p, q in zip(a, b)) == 1 and on[i] != on[j]]

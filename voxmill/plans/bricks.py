@@ -4,12 +4,15 @@ Neighbourhood work is shifts within a brick and at most six rows a brick for wha
 where single cells would make a row for each cell and step.
 """
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CELL = ["ix", "iy", "iz"]
 BRICK = ["bx", "by", "bz"]
 STRIDE = (1, 4, 16)  # what a step along an axis moves a bit by
+CORNERS = [(a, b, c) for a in (0, 1) for b in (0, 1) for c in (0, 1)]
 
 
 def _signed(mask: int) -> int:
@@ -32,11 +35,11 @@ def bricks(cells: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys, *BRICK).agg(F.bit_or(F.expr("shiftleft(1L, place_)")).alias("bits"))
 
 
-def cells(rows: DataFrame, bits: str, keep: list[str]) -> DataFrame:
-    """(keep.., ix, iy, iz): one row for each bit set."""
+def cells(rows: DataFrame, bits: str, keep: list[str], place: str | None = None) -> DataFrame:
+    """(keep.., ix, iy, iz): one row for each bit set, its number as ``place`` if that is named."""
     places = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.getbit(F.col(bits), i) == 1)
     one = rows.select(*keep, *[b for b in BRICK if b not in keep], F.explode(places).alias("place_"))
-    return one.select(*keep, *[(F.col(b) * 4 + F.floor(F.col("place_") / s) % 4).cast("int").alias(c) for b, c, s in zip(BRICK, CELL, STRIDE)])
+    return one.select(*keep, *([F.col("place_").alias(place)] if place else []), *[(F.col(b) * 4 + F.floor(F.col("place_") / s) % 4).cast("int").alias(c) for b, c, s in zip(BRICK, CELL, STRIDE)])
 
 
 def neighbours(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -64,3 +67,28 @@ def grown(rows: DataFrame, keys: list[str]) -> DataFrame:
     for axis in range(3):
         every = every.bitwiseOR(F.col(f"up{axis}")).bitwiseOR(F.col(f"down{axis}"))
     return neighbours(rows, keys).select(*keys, *BRICK, every.alias("bits"))
+
+
+def octants(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Every brick that holds a place with a set cell among itself and those one step up: ``c0 .. c7``, bit for
+    bit the cells at ``CORNERS`` of each place. A brick sends itself and what the seven bricks below it look up to."""
+    sent = []
+    for o in CORNERS:
+        low = sum(1 << i for i in range(64) if not any(x and i // s % 4 for x, s in zip(o, STRIDE)))
+        sent.append(F.struct(*[(F.col(b) - x).alias(b) for b, x in zip(BRICK, o)], F.lit(CORNERS.index(o)).alias("to"),
+                             _and(F.col("bits"), low).alias("part")))
+    moved = rows.select(*keys, F.inline(F.filter(F.array(*sent), lambda s: s["part"] != 0)))
+    got = moved.groupBy(*keys, *BRICK).agg(*[F.coalesce(F.bit_or(F.when(F.col("to") == i, F.col("part"))), F.lit(0).cast("long")).alias(f"p{i}")
+                                             for i in range(8)])
+
+    def up(bits: Column, c: tuple, o: tuple) -> Column:
+        for axis, stride in enumerate(STRIDE):
+            if c[axis]:
+                bits = F.shiftleft(bits, 3 * stride) if o[axis] else F.shiftrightunsigned(_and(bits, ~_plane(axis, 0) & (1 << 64) - 1), stride)
+        return bits
+
+    out = []
+    for k, c in enumerate(CORNERS):
+        parts = [up(F.col(f"p{i}"), c, o) for i, o in enumerate(CORNERS) if all(x <= y for x, y in zip(o, c))]
+        out.append(reduce(lambda a, b: a.bitwiseOR(b), parts).alias(f"c{k}"))
+    return got.select(*keys, *BRICK, *out)
