@@ -428,3 +428,23 @@ def test_vertices_are_made_at_the_surface_only(spark):
     want = sorted(((str(at), *[None if x is None else x + o for x, o in zip(at[1:], M._vertex_of(m))]) for at, m in masks.items() if m < 255), key=str)
     got = M.surface_vertices(spark.createDataFrame(rows + rows[:20], "room int, ix int, iy int, iz int"), ["room"]).collect()
     assert sorted(((str((r.room, r.cix, r.ciy, r.ciz)), r.x, r.y, r.z) for r in got), key=str) == want
+
+
+def test_depth_triangles_make_no_row_a_corner(spark):
+    image = [(0, u, v, 1000) for u in range(40) for v in range(30)]
+    assert most_made(M.triangulate_depth(spark.createDataFrame(image, "frame int, u int, v int, depth_mm int"), 40)) <= 2 * len(image)
+    rng = random.Random(3)
+    rows = [(f, u, v, rng.choice([0, 900, 950, 1000, 1100])) for f in [*range(60), None] for u in [*range(25), None] for v in [*range(14), None] if rng.random() < 0.9]
+    rows += rng.sample(rows, 500)
+    seen = {}
+    for f, u, v, mm in rows:
+        for du, dv in ((0, 0), (0, 1), (1, 0), (1, 1)):
+            if mm:
+                seen.setdefault((f, None if u is None else u - du, None if v is None else v - dv), []).append(mm)
+    want = []
+    for (f, u, v), mm in seen.items():
+        if len(mm) == 4 and max(mm) - min(mm) <= 120:
+            at = lambda du, dv: None if u is None or v is None else (v + dv) * 25 + u + du
+            want += [(f, 0, at(0, 0), at(0, 1), at(1, 0)), (f, 1, at(1, 0), at(0, 1), at(1, 1))]
+    got = M.triangulate_depth(spark.createDataFrame(rows, "frame int, u int, v int, depth_mm int"), 25).collect()
+    assert sorted((tuple(r) for r in got), key=str) == sorted(want, key=str)

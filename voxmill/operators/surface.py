@@ -1,11 +1,14 @@
 """Surfaces of voxel sets and meshes as tables of vertices, faces and edges."""
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxmill.operators.joins import nearest, nearest_any
+from voxmill.operators.joins import nearest, nearest_any, spread
 from voxmill.plans import bricks
 
 CELL = ["ix", "iy", "iz"]
@@ -113,16 +116,51 @@ def mesh_audit(edges: DataFrame, keys: list[str]) -> DataFrame:
     return edges.groupBy(*keys, "n").agg(F.count(F.lit(1)).alias("edges"))
 
 
+def _quads(batches: Iterator[pa.RecordBatch], edge_mm: int) -> Iterator[pa.RecordBatch]:
+    """(frame, u, v) of each quad of four pixels whose ranges agree, from (frame, u, v, depth_mm) that come frame by frame.
+
+    A few thousand rows are held, or one frame if it has more."""
+    def whole(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        frame, u, v, mm = (pa.concat_arrays([b.column(i) for b in held]) for i in range(4))
+        at = frame.dictionary_encode("encode").indices.to_numpy()
+        mm = mm.to_numpy(zero_copy_only=False)
+        # a pixel is a corner of four quads; a place that is missing stays so
+        lost = [c.is_null().to_numpy(zero_copy_only=False) for c in (u, v)]
+        u0, v0 = (c.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for c in (u, v))
+        corner = [np.tile(np.arange(len(at)), 4), np.tile(at, 4), np.tile(lost[0], 4), np.concatenate([u0, u0, u0 - ~lost[0], u0 - ~lost[0]]),
+                  np.tile(lost[1], 4), np.concatenate([v0, v0 - ~lost[1], v0, v0 - ~lost[1]])]
+        order = np.lexsort(corner[:0:-1])
+        row, *key = (c[order] for c in corner)
+        new = np.ones(len(row), bool)
+        new[1:] = np.any([k[1:] != k[:-1] for k in key], axis=0)
+        first = np.flatnonzero(new)
+        n = np.diff(first, append=len(row))
+        span = np.maximum.reduceat(mm[row], first) - np.minimum.reduceat(mm[row], first)
+        first = first[(n == 4) & (span <= edge_mm)]
+        place = [pa.array(key[i + 1][first], mask=key[i][first]).cast(c.type) for i, c in ((1, u), (3, v))]
+        return pa.RecordBatch.from_arrays([frame.take(pa.array(row[first])), *place], names=["frame", "u", "v"])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        at = batch.column(0).dictionary_encode("encode").indices.to_numpy()
+        last = len(at) - int(np.argmax(at[::-1] != at[-1])) if (at != at[-1]).any() else 0  # where the last frame begins
+        if held and (last or held[-1].column(0)[-1].as_py() != batch.column(0)[0].as_py()) or last:
+            yield whole([*held, batch.slice(0, last)])
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield whole(held)
+
+
 def triangulate_depth(depth: DataFrame, width: int, edge_mm: int = 120) -> DataFrame:
     """Triangles over neighbouring valid pixels whose ranges agree; a depth jump is not bridged.
 
-    A pixel is a corner of four quads, so each quad's corners meet in one aggregate on
-    (frame, u, v): no window over a frame and no self join."""
-    d = depth.filter("depth_mm > 0")
-    quads = (d.select("frame", "depth_mm", "u", "v", F.inline(F.array(*[F.struct(F.lit(a).alias("du"), F.lit(b).alias("dv")) for a in (0, 1) for b in (0, 1)])))
-             .groupBy("frame", (F.col("u") - F.col("du")).alias("u"), (F.col("v") - F.col("dv")).alias("v"))
-             .agg(F.count(F.lit(1)).alias("n"), (F.max("depth_mm") - F.min("depth_mm")).alias("span")))
-    q = quads.filter((F.col("n") == 4) & (F.col("span") <= edge_mm))
+    Pixels are moved once, by frame, and looked at frame by frame, so that a task holds a sort of its pixels
+    and no table of quads: no window over a frame and no self join."""
+    d = spread(depth.filter("depth_mm > 0").select("frame", "u", "v", "depth_mm"), "frame").sortWithinPartitions("frame")
+    q = d.mapInArrow(lambda batches: _quads(batches, edge_mm), d.select("frame", "u", "v").schema)
     at = lambda du, dv: (F.col("v") + dv) * width + F.col("u") + du
     tri = lambda i, x, y, z: F.struct(F.lit(i).alias("part"), x.alias("a"), y.alias("b"), z.alias("c"))
     a, b, e, f = at(0, 0), at(1, 0), at(0, 1), at(1, 1)
