@@ -6,6 +6,8 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from tests.conftest import FOLDER
+from voxmill.catalog import runner, sources
 from voxmill.catalog.streams import finish
 from voxmill.sources import points, replay, text
 
@@ -33,6 +35,26 @@ def test_a_point_file_has_header_and_lines_in_order(spark, tmp_path):
     assert sum(f.endswith(".ply") for f in files_of(f"{tmp_path}/out")) == 1
 
 
+def test_a_long_point_file_is_whole_and_files_are_read_twice_at_most(spark, tmp_path):
+    long = spark.range(200_000).select(F.lit("a b%").alias("name"), F.col("id").cast("int").alias("at"), F.format_string("%d %050d", "id", "id").alias("value"))
+    points.write_point_files(long.unionByName(body(spark, [("z.ply", 0, "7 7 7")])), f"file://{tmp_path}/out", "name", F.col("at"))
+    got = points.read_point_files(spark, f"file://{tmp_path}/out").groupBy("key").agg(F.count("value").alias("n"), F.max(F.when(F.col("value").startswith("element"), F.col("value"))).alias("said"))
+    assert {tuple(r) for r in got.collect()} == {("a b%", 200_010, "element vertex 200000"), ("z.ply", 11, "element vertex 1")}
+    df = runner("voxel_files")(spark, FOLDER)
+    assert 1 <= df._jdf.queryExecution().optimizedPlan().toString().count("Relation [value") <= 2
+
+
+def test_documents_stand_in_a_folder_a_task(spark, tmp_path, monkeypatch):
+    class T:
+        pass
+    T.spark = spark
+    monkeypatch.setattr(sources, "scratch", lambda spark: f"file://{tmp_path}/docs")
+    docs = spark.createDataFrame([(k, '{"k": "é %s"}' % k) for k in [*range(64), None]], "room int, value string")
+    got = sources.through_files(T, docs, "room").collect()
+    assert {(r.room, r.value.strip()) for r in got} == {(k, '{"k": "é %s"}' % k) for k in [*range(64), None]} and len(got) == len({r.file for r in got}) == 65
+    assert sum(len(dirs) for _, dirs, _ in os.walk(f"{tmp_path}/docs")) <= 8
+
+
 def test_a_failed_write_leaves_the_old_files(spark, tmp_path):
     root = f"file://{tmp_path}/out"
     points.write_point_files(body(spark, [("a", 0, "1 1 1 1 1 1")]), root, "name", F.col("at"))

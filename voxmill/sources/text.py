@@ -34,9 +34,13 @@ def class_of_colour(r: Column, g: Column, b: Column) -> Column:
     return F.coalesce(F.try_element_at(table, r * 65536 + g * 256 + b), F.lit(-1))
 
 
+def is_point(value: Column) -> Column:
+    return value.rlike(r"^\s*-?[0-9]")
+
+
 def parse_points(lines: DataFrame, *keys: str) -> DataFrame:
     """Point lines -> grid index, colour and class; header lines fall out."""
-    n = lines.filter(F.col("value").rlike(r"^\s*-?[0-9]")).select(*keys, numbers(F.col("value")).alias("n"))
+    n = lines.filter(is_point(F.col("value"))).select(*keys, numbers(F.col("value")).alias("n"))
     whole = [F.rint(F.col("n")[i]).cast("int") for i in range(6)]
     p = n.select(*keys, *[c.alias(a) for c, a in zip(whole, ("ix", "iy", "iz", "r", "g", "b"))])
     return p.withColumn("cls", class_of_colour(F.col("r"), F.col("g"), F.col("b")))
