@@ -74,6 +74,48 @@ def test_model_beats_words_alone_on_held_out_copies(spark):
     assert all(r.score > r.base_score for r in got) and {r.train for r in got} == {True, False}
 
 
+def plain_scores(rows, trained):
+    """The same model in plain dictionaries: every pair and triple that comes twice is an arc."""
+    grams = [Counter(), Counter(), Counter()]
+    for i, t, _ in rows:
+        x = [b"", *cases.lowered(t), b""]
+        if trained(i):
+            grams[0].update(x[1:])
+            grams[1].update(zip(x, x[1:]))
+            grams[2].update(zip(x, x[1:], x[2:]))
+    c, size = grams[0], sum(grams[0].values()) + len(grams[0]) + 1
+    discount = []
+    for g in grams[1:]:
+        n1, n2 = (sum(n == k for n in g.values()) for k in (1, 2))
+        discount.append(max(1, n1) / (max(1, n1) + 2 * n2) if n2 else 0.5)
+    p0 = lambda w: (c[w] + 1) / size
+    p1 = {g: (n - discount[0]) / c[g[0]] for g, n in grams[1].items() if n > 1}
+    p2 = {g: (n - discount[1]) / grams[1][g[:2]] for g, n in grams[2].items() if n > 1}
+    left1, left2 = {}, {}
+    for left, p, lower in ((left1, p1, lambda g: p0(g[1])), (left2, p2, lambda g: p1[g[1:]])):
+        for g, q in p.items():
+            a, b = left.get(g[:-1], (1, 1))
+            left[g[:-1]] = a - q, b - lower(g)
+    back = {k: max(a, 1e-12) / max(b, 1e-12) for k, (a, b) in (left1 | left2).items()}
+    second = lambda g: p1.get(g) or back.get(g[:1], 1) * p0(g[1])
+    third = lambda g: p2.get(g) or back.get(g[:2], 1) * second(g[1:])
+    for i, t, _ in rows:
+        x = [b"", *cases.lowered(t), b""]
+        yield i, sum(map(math.log10, [second(tuple(x[:2])), *map(third, zip(x, x[1:], x[2:]))]))
+
+
+@pytest.mark.parametrize("sizes", [{}, {"pairs": 20, "triples": 10, "arcs": 15, "head": 12}, {"pairs": 1, "triples": 1, "arcs": 0, "head": 1},
+                                   {"arcs": 40, "head": 60}])
+def test_bounds_have_no_part_in_scores(spark, docs, sizes):
+    text = "one two three four five six seven eight nine ten eleven"
+    more = [(5000 + i, f"{text} {'zz' * (i % 5)} rare{i // 2} {text.replace('e', 'ee')} a{i % 3} b c", "s") for i in range(30)]
+    rows = [r for r in ROWS if r[0] is not None] + more
+    got = language.score(cases.frame(spark, rows), shared.remainder("doc_id", 7) != 2, **sizes)
+    want = sorted(plain_scores(rows, lambda i: cases.crc(i) % 7 != 2), key=str)
+    for a, b in zip(sorted(((r.doc_id, r.score) for r in got.collect()), key=str), want, strict=True):
+        assert a[0] == b[0] and a[1] == pytest.approx(b[1])
+
+
 def test_no_training_rows(spark, none):
     assert language.score(none, shared.remainder("doc_id", 7) != 2).count() == 0
     r = language.score(cases.frame(spark, [(1, "a b", "s")]), shared.remainder("doc_id", 7) > 9).collect()[0]
