@@ -248,6 +248,41 @@ def test_keep_one_of_each_group(spark, none):
     assert pairs.keep_one(none).count() == 0 and pairs.jaccard_groups(none).count() == 0
 
 
+def test_a_crowd_of_near_copies_is_not_split_again(spark):
+    """Sets that a leader is sure of have met all that is near them, so they stand in one level of each run."""
+    rng = np.random.default_rng(5)
+    common, made = [f"w{i}" for i in range(400)], []
+    for i in range(600):
+        words = list(common)
+        words[int(rng.integers(400))] = f"x{i}"
+        made.append((i, " ".join(words), "s"))
+    apart = [(1000 + i, " ".join(f"y{i}_{j}" for j in range(60)), "s") for i in range(50)]
+    sets = pairs._classes(shared.keyed(cases.frame(spark, made + apart)), 5).select("c1", "tokens").cache()
+    asked, split = [], pairs._split
+
+    def counted(rows, least):
+        asked.append(rows.count())
+        return split(rows, least)
+
+    pairs._split = counted
+    try:
+        edges = pairs.candidates(sets, crowd=64).collect()
+    finally:
+        pairs._split = split
+    assert sum(asked) < 1.1 * 650 * pairs._runs(2, 5e-5)
+    near = {r.c1 for r in pairs._classes(shared.keyed(cases.frame(spark, made)), 5).collect()}
+    reached, todo, beside = set(), [min(near)], {}
+    for e in edges:
+        beside.setdefault(e.a, []).append(e.b)
+        beside.setdefault(e.b, []).append(e.a)
+    while todo:
+        c = todo.pop()
+        if c not in reached:
+            reached.add(c)
+            todo += beside.get(c, [])
+    assert reached == near
+
+
 # decontamination ----------------------------------------------------------------------------------
 
 def plain_leaks(rows, items, least=0.8):

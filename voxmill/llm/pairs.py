@@ -67,7 +67,7 @@ def children(path: int, tokens: list[int], least: float) -> list[int]:
 _CLASS = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("tokens", pa.binary())])
 _BODY = pa.schema([("c1", pa.int64()), ("c2", pa.int64()), ("body", pa.binary())])
 _PATH = pa.schema([("path", pa.int64()), ("c1", pa.int64())])
-_EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("path", pa.int64())])
 _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
 
 
@@ -121,13 +121,14 @@ def _split(sets: DataFrame, least: float) -> DataFrame:
     return sets.select("path", "c1", "tokens").mapInArrow(run, "path long, c1 long")
 
 
-def _compare(buckets: DataFrame, maybe: float, sure: float) -> DataFrame:
+def _compare(buckets: DataFrame, maybe: float, sure: float, most: int | None = None) -> DataFrame:
     """A forest of edges ``a, b`` over the sets of each bucket, from ``path, c1, marks`` sorted by path.
 
     A set is compared with all leaders of its bucket, belongs with each that shares ``maybe`` of the
     tokens and leads itself unless one shares ``sure``: whatever is near it then belongs with that
     leader too. Only leaders are held, so a bucket of many close sets passes through, and only links
-    that join what was apart come out, fewer than the bucket has sets.
+    that join what was apart come out, fewer than the bucket has sets. With ``most``, a bucket has so many
+    leaders at most; sets that none of them is sure of come out as ``a, null, path`` and have yet to meet each other.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path, names, marks, part = None, [], np.empty((64, TOKENS), np.uint8), np.zeros(64, np.int64)
@@ -143,10 +144,13 @@ def _compare(buckets: DataFrame, maybe: float, sure: float) -> DataFrame:
                 share = (marks[:count] == m).sum(1)
                 close = np.flatnonzero(share >= maybe * TOKENS)
                 parts, at = np.unique(part[close], return_index=True)
-                out += [(names[i], c) for i in close[at].tolist() if names[i] != c]
+                out += [(names[i], c, None) for i in close[at].tolist() if names[i] != c]
                 if len(parts) > 1:
                     part[:count][np.isin(part[:count], parts)] = parts[0]
                 if not count or share.max() < sure * TOKENS:
+                    if count == most:
+                        out.append((c, None, p))
+                        continue
                     if count == len(marks):
                         marks, part = np.concatenate([marks, np.empty_like(marks)]), np.concatenate([part, np.zeros_like(part)])
                     marks[count], part[count] = m, parts[0] if len(parts) else count
@@ -154,7 +158,7 @@ def _compare(buckets: DataFrame, maybe: float, sure: float) -> DataFrame:
             if out:
                 yield _batch(out, _EDGE)
 
-    return buckets.select("path", "c1", "marks").mapInArrow(run, "a long, b long")
+    return buckets.select("path", "c1", "marks").mapInArrow(run, "a long, b long, path long")
 
 
 def _runs(levels: int, missed: float) -> int:
@@ -172,12 +176,26 @@ def _runs(levels: int, missed: float) -> int:
 def candidates(sets: DataFrame, least: float = 0.8, missed: float = 1e-4, crowd: int = 256, depth: int = 4) -> DataFrame:
     """Edges ``a, b`` from stored ``c1, tokens``: every pair at ``least`` hangs together but for the chance ``missed``.
 
-    All sets take part in the runs that pairs split two levels deep at most need. The sets of nodes
-    that are split again take part in further ones, as many as the deepest level needs. A pair that
-    was ever split so deep has both its sets there. Either way of missing a pair has half the chance.
+    All sets take part in the runs that pairs split two levels deep at most need. In a crowded node sets meet
+    a bounded number of leaders; those that a leader is sure of, and the leaders, have then met all that is near them
+    there, and the others are split again. These take part in further runs, as many as the deepest level needs. A pair
+    that was ever split so deep has both its sets there. Either way of missing a pair has half the chance.
     """
     n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    leaves, deeper = [], []
+    # beside a leader that shares 0.8 a partner at 0.8 shares 0.6 or more; both leave room for chance
+    maybe, sure = 2 * least - 1 - 0.12, least + 0.08
+    leaves, deeper, edges = [], [], []
+
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches, 4096):
+            short = [np.frombuffer(t, np.uint8)[::4].tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(short, pa.binary())], names=["c1", "marks"])
+
+    short = stored(sets.select("c1", "tokens").mapInArrow(marks, "c1 long, marks binary"), "marks")
+
+    def meet(rows: DataFrame, most: int | None = None) -> DataFrame:
+        rows = rows.select("path", "c1").join(short, "c1").repartition(n, "path").sortWithinPartitions("path", "c1")
+        return _compare(rows, maybe, sure, most)
 
     def descend(some: DataFrame, runs: range) -> None:
         roots = F.explode(F.array(*[F.lit(_mix(r + 1) - (1 << 63)) for r in runs]))
@@ -190,9 +208,12 @@ def candidates(sets: DataFrame, least: float = 0.8, missed: float = 1e-4, crowd:
                 leaves.append(level.select("path", "c1"))
                 break
             leaves.append(level.filter(F.col("size") <= crowd).select("path", "c1"))
+            met = stored(meet(crowded, crowd), "met")
+            edges.append(met.filter("b IS NOT NULL").select("a", "b"))
+            apart = met.filter("b IS NULL").select("path", F.col("a").alias("c1"))
             if deep == 2:
-                deeper.append(crowded.select("c1"))
-            level = _split(crowded.select("path", "c1").join(sets, "c1"), least)
+                deeper.append(apart.select("c1"))
+            level = _split(apart.join(sets, "c1"), least)
 
     first, last = _runs(min(depth, 2), missed / 2), _runs(depth, missed / 2)
     descend(sets, range(first))
@@ -201,16 +222,10 @@ def candidates(sets: DataFrame, least: float = 0.8, missed: float = 1e-4, crowd:
     rows = leaves[0]
     for more in leaves[1:]:
         rows = rows.unionByName(more)
-
-    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches, 4096):
-            short = [np.frombuffer(t, np.uint8)[::4].tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(short, pa.binary())], names=["c1", "marks"])
-
-    short = sets.select("c1", "tokens").mapInArrow(marks, "c1 long, marks binary")
-    rows = rows.join(short, "c1").repartition(n, "path").sortWithinPartitions("path", "c1")
-    # beside a leader that shares 0.8 a partner at 0.8 shares 0.6 or more; both leave room for chance
-    return _compare(rows, maybe=2 * least - 1 - 0.12, sure=least + 0.08)
+    found = meet(rows).select("a", "b")
+    for more in edges:
+        found = found.unionByName(more)
+    return found
 
 
 def _tiles(groups: DataFrame, n: int, least: float) -> DataFrame:
