@@ -72,6 +72,38 @@ def test_nearest_keeps_keys_apart(spark):
     assert [(r.id, r.ref_id) for r in J.nearest_any(q, f, 0.5, keys=["k"]).collect()] == [(1, 8)]
 
 
+@pytest.mark.parametrize("limit", [0.11, 0.5, None])
+def test_nearest_over_many_tiles(spark, monkeypatch, limit):
+    """Lattice points with ties, a crowd on either side, an outlier, a key of few points, keys on one side alone and rows without a place."""
+    monkeypatch.setattr(J, "TILE", 300)
+    monkeypatch.setattr(J, "CROWD", 200)
+    rng = random.Random(7)
+    some = lambda: tuple(rng.randrange(40) / 20 for _ in range(3)) if rng.random() < 0.7 else tuple(1 + rng.random() * 1e-3 for _ in range(3))
+    key = lambda: rng.choice(["a", "a", "a", "b"])
+    f = [(i, key(), *some()) for i in range(4000)] + [(9000 + i, "c", *some()) for i in range(5)] + [(9100, "a", 1e9, 0.0, 0.0), (9101, "e", 1.0, 1.0, 1.0)]
+    q = [(i, key(), *(x + rng.choice([0.0, 0.025]) for x in some())) for i in range(1500)] + [(5000 + i, rng.choice("cd"), *some()) for i in range(400)]
+    odd = [(7000, None, 1.0, 1.0, 1.0), (7001, "a", None, 1.0, 1.0), (7002, "a", float("nan"), 1.0, 1.0)]
+    again = [(0, "a", 0.5, 0.5, 0.5)]                                        # an id that comes twice has the better answer
+    names = "long, k string, x double, y double, z double"
+    got = J.nearest(spark.createDataFrame(q + odd + again, "id " + names), spark.createDataFrame(f + odd, "ref_id " + names), limit, keys=["k"])
+    got = sorted((r.id, r.ref_id, r.d2) for r in got.collect())
+    want = {}
+    for i, k, *p in q + again:
+        refs = [(r[0], r[2:]) for r in f if r[1] == k]
+        d2 = ((np.array(p)[None] - np.array([r[1] for r in refs] or np.zeros((0, 3)))) ** 2)
+        d2 = d2[:, 0] + d2[:, 1] + d2[:, 2]
+        if len(refs) and (limit is None or d2.min() <= limit * limit):
+            want[i] = min(want.get(i, (np.inf, 0)), min((d, r[0]) for d, r in zip(d2.tolist(), refs)))
+    assert got == sorted((i, r, d) for i, (d, r) in want.items())
+
+
+def test_nearest_shuffles_a_query_no_oftener_in_a_crowd(spark):
+    """References a millionth of the limit apart: no join a level, and no window over a query's candidates."""
+    p = spark.range(300).select("id", (F.col("id") * 1e-6).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
+    plan = J.nearest(p, p.withColumnRenamed("id", "ref_id"), 1.0)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 1 and "Window" not in plan
+
+
 def test_asof_takes_next_then_last(spark):
     s = spark.createDataFrame([("a", i, t) for i, t in enumerate((0.0, 0.55, 0.61, 3.0, 9.95, 10.08, 10.2))], "capture string, idx long, t double")
     f = spark.createDataFrame([("a", 1, 0.05), ("a", 2, 0.6), ("a", 3, 0.69), ("a", 4, 10.0)], "capture string, frame long, t double")

@@ -1,12 +1,23 @@
 """Join shapes Spark has no single operator for."""
 
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
 from voxmill.functions.geometry import Grid, pose, span, view_box
+from voxmill.plans import tiles
 from voxmill.plans.blocks import growing
-from voxmill.session import cut
+from voxmill.session import stored
+
+#: References of a key that are one tile; queries of a tile that are one task's.
+TILE, CROWD = 16384, 50_000
 
 
 def spread(df: DataFrame, *cols: str) -> DataFrame:
@@ -164,114 +175,108 @@ def asof_next(samples: DataFrame, frames: DataFrame, key: str, tol: float, paylo
             .select(*samples.columns, F.col("m_.t").alias("frame_t"), *[F.col(f"m_.{p}") for p in payload]))
 
 
-def _cell(axis: str, size: float) -> Column:
-    return F.floor(F.col(axis) / size)
+# ---- nearest --------------------------------------------------------------------
+
+def _key_boxes(pts: DataFrame, keys: list[str], most: int) -> dict[tuple, tuple]:
+    """The keys of more than ``most`` points (so few of them) and the corners of the box around each."""
+    rows = pts.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[f(a).alias(f"{e}{a}") for e, f in (("lo", F.min), ("hi", F.max)) for a in "xyz"]).filter(F.col("n") > most)
+    return {tuple(r[k] for k in keys): ([r[f"lo{a}"] for a in "xyz"], [r[f"hi{a}"] for a in "xyz"]) for r in rows.collect()}
 
 
-def levels_for(refs: DataFrame, limit: float, keys: list[str], leaf: int = 64, deepest: int = 24) -> int:
-    """Halvings of ``limit`` until the fullest cell holds at most ``leaf`` distinct points."""
-    pts = refs.select(*keys, "x", "y", "z").distinct()
-    level = 3
-    while level < deepest:
-        size = limit / 2 ** (level - 1)
-        top = (pts.groupBy(*keys, *[_cell(a, size).alias(f"c{a}") for a in "xyz"]).count().agg(F.max("count")).first()[0]) or 0
-        if top <= leaf:
-            break
-        level += 2 if top < 64 * leaf else 4
-    return level
+def _tiled(pts: DataFrame, keys: list[str], boxes: dict[tuple, tuple], most: int) -> tuple[DataFrame, tiles.Index]:
+    """Points of the keys of ``boxes`` with ``tile``, in runs of ``most`` along their key's Morton curve, and where the tiles are."""
+    spark = pts.sparkSession
+    held = spark.sparkContext.broadcast(boxes)
 
+    def placed(batches):
+        for batch in batches:
+            batch, begin, end = tiles.by_key(batch, keys)
+            hi, lo, mine = (np.zeros(batch.num_rows, t) for t in (np.int64, np.int64, bool))
+            points = tiles.xyz(batch)
+            for a, b in zip(begin, end):
+                if (box := held.value.get(tiles.key_of(batch, keys, a))) is not None:
+                    mine[a:b] = True
+                    hi[a:b], lo[a:b] = tiles.curve(points[a:b], *map(np.array, box))
+            yield batch.append_column("hi", pa.array(hi)).append_column("lo", pa.array(lo)).filter(pa.array(mine))
 
-def nearest(queries: DataFrame, refs: DataFrame, limit: float, levels: int | None = None,
+    ddl = lambda df: ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    along = stored(pts.mapInArrow(placed, f"{ddl(pts)}, hi long, lo long"))
+    along = along.repartitionByRange(n, *keys, "hi", "lo").sortWithinPartitions(*keys, "hi", "lo")
+    out = stored(along.mapInArrow(lambda batches: tiles.numbered(batches, keys, most, TaskContext.get().partitionId()), f"{ddl(along)}, tile long"))
+    rows = out.groupBy(*keys, "tile").agg(F.min(F.struct("hi", "lo")).alias("begin"), *[f(a).alias(f"{e}{a}") for e, f in (("l", F.min), ("h", F.max)) for a in "xyz"]).collect()
+    index = tiles.Index([(tuple(r[k] for k in keys), r.tile, r.begin.hi, r.begin.lo, [r[f"l{a}"] for a in "xyz"], [r[f"h{a}"] for a in "xyz"]) for r in rows], boxes)
+    return out.drop("hi", "lo"), index
+
+
+def _ask_tiles(asked: DataFrame, refs: DataFrame, keys: list[str], limit: float | None, index=None) -> DataFrame:
+    """What ``tiles.answers`` gives of ``asked(id, keys.., x, y, z, d2, tile)`` among ``refs(ref_id, keys.., x, y, z, tile)``.
+
+    A tile that many ask goes to several tasks; tiles nobody asks go no further."""
+    spark, at = asked.sparkSession, [*keys, "tile"]
+    counts = stored(asked.groupBy(*at).agg(F.count(F.lit(1)).alias("n")))
+    crowd = max(CROWD, (counts.agg(F.sum("n")).first()[0] or 0) // 2000)
+    salts = F.ceil(F.col("n") / crowd).cast("int")
+    crowded = counts.filter(F.col("n") > crowd).select(*at, salts.alias("salts"))  # 2,000 rows at most
+    if crowded.isEmpty():
+        asked = asked.withColumn("salt", F.lit(0))
+    else:
+        asked = asked.join(F.broadcast(crowded), at, "left").withColumn("salt", F.pmod(F.xxhash64("id", "x", "y", "z"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    refs = refs.join(growing(counts), at).select(*at, "ref_id", "x", "y", "z", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    group = [*at, "salt"]
+    null = lambda df, c: F.lit(None).cast(df.schema[c].dataType).alias(c)
+    rows = refs.select(*group, F.lit(0).alias("asks"), null(asked, "id"), "ref_id", "x", "y", "z", F.lit(None).cast("double").alias("d2"))
+    rows = rows.unionByName(asked.select(*group, F.lit(1).alias("asks"), "id", null(refs, "ref_id"), "x", "y", "z", "d2"))
+    rows = spread(rows.withColumn("part_", F.xxhash64(*group)), "part_").sortWithinPartitions(*group, "asks", "ref_id").drop("part_")
+    fields = [*asked.select(*at, "id", "x", "y", "z", "d2").schema, refs.schema["ref_id"]]
+    out = StructType([StructField(f.name, f.dataType) for f in fields])
+    arrow, held = to_arrow_schema(out), None if index is None else spark.sparkContext.broadcast(index)
+    limit2 = float("inf") if limit is None else limit * limit
+    return rows.mapInArrow(lambda batches: tiles.answers(batches, keys, limit2, held and held.value, arrow), out)
+
+
+def nearest(queries: DataFrame, refs: DataFrame, limit: float | None, levels: int | None = None,
             keys: list[str] | None = None) -> DataFrame:
-    """Nearest reference of every query within ``limit``: (id, ref_id, d2), lowest ref_id on ties.
+    """Nearest reference of every query within ``limit`` (None for any): (id, ref_id, d2), lowest ref_id on ties.
 
     ``queries(id, keys.., x, y, z)``, ``refs(ref_id, keys.., x, y, z)``; only rows with
-    equal keys meet. A coarse-to-fine descent over nested cells. The first cells are two limits
-    wide, so a query reaches into two along each axis. At each level a query
-    holds a few candidate cells and the best distance proven so far (that to one known
-    reference of each candidate cell); cells whose near side lies
-    beyond it are dropped before their children are looked at. A cell carries its occupied
-    children as one short array, so a query meets them in one row and only those that may hold
-    its answer become rows. A crowded cell costs its
-    eight children and not its points, so hot cells on either side never meet pair by
-    pair; only the last level's small cells are opened, after equal points have been
-    merged. Cells are never broadcast, as they grow with the references.
-    How deep to go is read from the references unless ``levels`` is given.
+    equal keys meet. Equal references are merged first. The references of a key are a tile; those of a key
+    with more than ``TILE`` are cut into tiles along a Morton curve, whose boxes (4,096 and a few, however many
+    references) go to all tasks. A query asks the tile it falls in, then all tiles whose box
+    is not farther than what it found there, so it is shuffled once and once more for each of those.
+    A task holds one tile, and a tile that many ask is copied to several tasks: hot spots on either side never
+    meet pair by pair, as a tile compares only blocks of 64 that may hold an answer. ``levels`` has no use any more.
+    Rows without a key, or with a coordinate that is null or not finite, are near nothing.
     """
     keys = list(keys or [])
-    levels = levels or levels_for(refs, limit, keys)
-    finest = limit / 2 ** (levels - 1)
-    at = keys + ["cx", "cy", "cz"]
-    pts = refs.groupBy(*keys, "x", "y", "z").agg(F.min("ref_id").alias("ref_id"))
-    fine = pts.select("*", *[_cell(a, finest).alias(f"c{a}") for a in "xyz"])
-    # occupied cells per level with one of their points, each derived from the finer one
-    cells = [fine.groupBy(*at).agg(F.min(F.struct(*[F.col(a).alias(f"r{a}") for a in "xyz"])).alias("point"))]
-    for _ in range(levels):
-        up = cells[0].groupBy(*keys, *[F.floor(F.col(f"c{a}") / 2).alias(f"c{a}") for a in "xyz"]).agg(F.min("point").alias("point"))
-        cells.insert(0, up)
-    own = ["id", *keys, "x", "y", "z"]
-    held = F.collect_list(F.struct(*[F.col(f"c{a}") for a in "xyz"], "point")).alias("held")  # at most 8
-    corner = [f"p{a}" for a in "xyz"]
-
-    def closest(rows: DataFrame, size: float, best: Column | None = None) -> DataFrame:
-        """(own.., best2, near2, cx, cy, cz): the cells of ``held`` that may hold a query's answer."""
-        def gap(a: str, s: Column) -> Column:
-            lo = s[f"c{a}"] * size
-            return F.greatest(lo - F.col(a), F.col(a) - lo - size, F.lit(0.0))
-        square = lambda part: part("x") * part("x") + part("y") * part("y") + part("z") * part("z")
-        seen = F.transform("held", lambda s: F.struct(*[s[f"c{a}"].alias(f"c{a}") for a in "xyz"], square(lambda a: gap(a, s)).alias("near2"),
-                                                      square(lambda a: F.col(a) - s["point"][f"r{a}"]).alias("some2")))
-        # a hair of slack keeps rounding from dropping a cell that holds the answer
-        seen = F.filter(seen, lambda s: s["near2"] <= limit * limit * (1 + 1e-9))
-        rows = reckoned(rows, own if best is None else [*own, "best2"], seen=seen)
-        some = F.array_min(F.transform("seen", lambda s: s["some2"]))
-        rows = reckoned(rows, [*own, "seen"], best2=some if best is None else F.least(best, some))
-        rows = rows.select(*own, "best2", F.inline(F.filter("seen", lambda s: s["near2"] <= F.col("best2") * (1 + 1e-9))))
-        return rows.drop("some2")
-
-    # a query stands between the cells that its limit reaches: (floor of its low side) and the next along each axis
-    first = cells[0].select(*keys, "cx", "cy", "cz", "point")
-    for a in "xyz":
-        first = first.select("*", F.explode(F.array(F.col(f"c{a}") - 1, F.col(f"c{a}"))).alias(f"p{a}"))
-    around = first.groupBy(*keys, *corner).agg(held)
-    asked = spread(queries.select(*own), "id").select(*own, *[F.floor((F.col(a) - limit) / (2 * limit)).alias(f"p{a}") for a in "xyz"])
-    cand = closest(asked.join(growing(around), keys + corner), 2 * limit).drop("near2")
-    for level in range(1, levels + 1):
-        children = cells[level].groupBy(*keys, *[F.floor(F.col(f"c{a}") / 2).alias(f"p{a}") for a in "xyz"]).agg(held)
-        cand = cand.select(*own, "best2", *[F.col(f"c{a}").alias(f"p{a}") for a in "xyz"]).join(growing(children), keys + corner)
-        cand = closest(cand, 2 * limit / 2 ** level, F.col("best2"))
-        best = F.min("best2").over(W.partitionBy("id"))  # a query's few cells
-        cand = cand.withColumn("best2", best).filter(F.col("near2") <= F.col("best2") * (1 + 1e-9)).drop("near2")
-    opened = cand.join(growing(fine.select(*at, "ref_id", *[F.col(a).alias(f"r{a}") for a in "xyz"])), at)
-    d = {a: F.col(a) - F.col(f"r{a}") for a in "xyz"}
-    d2 = d["x"] * d["x"] + d["y"] * d["y"] + d["z"] * d["z"]
-    return (opened.withColumn("d2", d2).filter(F.col("d2") <= limit * limit)
-            .groupBy("id").agg(F.min(F.struct("d2", "ref_id")).alias("m_"))
-            .select("id", "m_.ref_id", "m_.d2"))
+    known = [F.col(k).isNotNull() for k in keys]
+    fit = lambda df: df.filter(reduce(lambda a, b: a & b, known + [F.abs(F.col(a)) < float("inf") for a in "xyz"]))
+    doubles, whole = [F.col(a).cast("double").alias(a) for a in "xyz"], F.lit(-1).cast("long")
+    pts = stored(fit(refs.select("ref_id", *keys, *doubles)).groupBy(*keys, "x", "y", "z").agg(F.min("ref_id").alias("ref_id"), F.min(whole).alias("tile")))
+    most = max(TILE, -(-pts.count() // 4096))
+    asked = fit(queries.select("id", *keys, *doubles)).withColumn("d2", F.lit(None).cast("double"))
+    boxes = _key_boxes(pts, keys, most)
+    least = lambda rows: rows.groupBy("id").agg(F.min(F.struct("d2", "ref_id")).alias("m_")).select("id", "m_.ref_id", "m_.d2")
+    if not boxes:
+        return least(_ask_tiles(asked.withColumn("tile", whole), pts, keys, limit))
+    cut_up, index = _tiled(pts.drop("tile"), keys, boxes, most)
+    held, big = asked.sparkSession.sparkContext.broadcast(index), cut_up.select(*keys).distinct()
+    if keys:
+        cut_up = cut_up.unionByName(pts.join(F.broadcast(big), keys, "left_anti"))
+    schema = asked.withColumn("tile", whole).schema
+    asked = stored(asked.mapInArrow(lambda batches: tiles.homes(batches, keys, held.value), schema))
+    first = stored(_ask_tiles(asked, cut_up, keys, limit, index))
+    more = _ask_tiles(first.filter("tile IS NOT NULL").drop("ref_id"), cut_up, keys, limit)
+    found = ["id", "d2", "ref_id"]
+    return least(first.filter("tile IS NULL").select(*found).unionByName(more.select(*found)))
 
 
 def nearest_any(queries: DataFrame, refs: DataFrame, start: float, growth: float = 8.0,
                 levels: int | None = None, keys: list[str] | None = None) -> DataFrame:
-    """Nearest reference with no limit: rounds of growing limits over the unmatched rest.
+    """Nearest reference with no limit, for every query whose key has a reference: ``nearest`` without one.
 
-    Rounds stop when the limit covers both clouds, so every query whose key has a
-    reference gets its answer."""
-    keys = list(keys or [])
-    refs = cut(refs)
-    rest = cut(queries.select("id", *keys, "x", "y", "z"))
-    box = rest.select("x", "y", "z").unionByName(refs.select("x", "y", "z")).agg(
-        *[(F.max(a) - F.min(a)).alias(a) for a in "xyz"]).first()
-    widest = sum((box[a] or 0.0) ** 2 for a in "xyz") ** 0.5
-    done, limit = None, start
-    while True:
-        got = cut(nearest(rest, refs, limit, levels, keys))
-        done = got if done is None else done.unionByName(got)
-        if limit >= widest:
-            return done
-        rest = cut(rest.join(got.select("id"), "id", "left_anti"))
-        if rest.isEmpty():
-            return done
-        limit = min(limit * growth, widest * 1.001)
+    Tiles are found by their boxes and not in rounds of growing limits, so ``start`` and ``growth`` have no use any more."""
+    return nearest(queries, refs, None, levels, keys)
 
 
 def pair_keys(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

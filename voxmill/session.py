@@ -30,3 +30,10 @@ def scratch(spark: SparkSession) -> str:
     if base.startswith("file:/") and not base.startswith("file://"):
         base = "file://" + base[5:]
     return f"{base}/{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``cut`` as compressed columns, for rows that are many: written once, read from there."""
+    path = f"{scratch(df.sparkSession)}/rows"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
