@@ -104,6 +104,19 @@ def test_nearest_shuffles_a_query_no_oftener_in_a_crowd(spark):
     assert plan.count("SortMergeJoin") == 1 and "Window" not in plan
 
 
+def test_fill_hidden_makes_its_voxels_once(spark):
+    """They are read by each step from one copy."""
+    v = spark.range(60).select("id", F.lit(1).alias("room"), *[(F.col("id") % n).cast("int").alias(c) for n, c in ((3, "ix"), (4, "iy"), (5, "iz"))],
+                               (1 + F.col("id") % 2).cast("int").alias("cls"), (F.col("id") % 3 == 0).alias("seen"), *[F.col("id").cast("int").alias(c) for c in "rgb"])
+    f = E.fill_hidden(v, ["room"])
+    assert "Range (" not in f._jdf.queryExecution().executedPlan().toString()
+    rows, want = {r.id: r for r in v.collect()}, {}
+    for r in rows.values():
+        if not r.seen:
+            want[r.id] = min(((r.ix - s.ix) ** 2 + (r.iy - s.iy) ** 2 + (r.iz - s.iz) ** 2, s.id) for s in rows.values() if s.seen and s.cls == r.cls)
+    assert {r.id: (r.d2, r.r) for r in f.collect() if r.borrowed} == want
+
+
 def test_asof_takes_next_then_last(spark):
     s = spark.createDataFrame([("a", i, t) for i, t in enumerate((0.0, 0.55, 0.61, 3.0, 9.95, 10.08, 10.2))], "capture string, idx long, t double")
     f = spark.createDataFrame([("a", 1, 0.05), ("a", 2, 0.6), ("a", 3, 0.69), ("a", 4, 10.0)], "capture string, frame long, t double")
