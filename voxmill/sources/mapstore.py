@@ -8,10 +8,11 @@ others saw of a voxel counts once with it, their votes and colour only where it
 Folding frames away closes them.
 """
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxmill.operators.evidence import CELL, VOXEL, latest_colour, measured_state, verdicts, with_class
+from voxmill.operators.evidence import CELL, VOXEL, blind_claim, claim_of, latest_colour, measured_state, verdicts, with_class
 from voxmill.plans.blocks import growing
 from voxmill.schema import N_CLASSES
 
@@ -36,6 +37,15 @@ def upgrade(old: DataFrame) -> DataFrame:
             .withColumnsRenamed({c + "_": c for c in "rgb"}).withColumn("colour_n", (F.col("colour_n") > 0).cast("int")))
 
 
+def _votes():
+    return sum((F.col(v) for v in VOTES[1:]), F.col(VOTES[0]))
+
+
+def _added(counts: DataFrame) -> DataFrame:
+    """Rows of counts of a voxel put together."""
+    return counts.groupBy(*VOXEL).agg(*[F.sum(s).alias(s) for s in SUMS], *[F.min(f).alias(f) for f in FIRSTS])
+
+
 class MapStore:
     """Evidence and claims of rooms under one folder; ``create`` it once before the first use."""
 
@@ -89,21 +99,71 @@ class MapStore:
         each = self._parts()[0].groupBy(*VOXEL, "frame", "stream").agg(
             F.max("hit").alias("hit"), F.max("seen").alias("seen"), F.max("main").alias("main"), *[F.sum(c).alias(c) for c in sums])
         # the frame's own stream first, then the one that has the most here, then the first by name
-        rank = F.struct(~F.col("main"), -(F.col("lit") + sum((F.col(v) for v in VOTES[1:]), F.col(VOTES[0]))), "stream")
+        rank = F.struct(~F.col("main"), -(F.col("lit") + _votes()), "stream")
         best = each.groupBy(*VOXEL, "frame").agg(F.max("hit").alias("hit"), F.max("seen").alias("seen"), F.min_by(F.struct(*sums), rank).alias("s"))
         return best.select(*VOXEL, "frame", "hit", "seen", "s.*")
 
-    def totals(self, upto: int | None = None) -> DataFrame:
-        seen = self._seen()
-        if upto is not None:
-            seen = seen.filter(F.col("frame") <= upto)
-        claimed = sum((F.col(v) for v in VOTES[1:]), F.col(VOTES[0])) > 0
+    def _sums(self, seen: DataFrame) -> DataFrame:
+        """Counts of each voxel, with what was folded away."""
+        claimed = _votes() > 0
         fresh = seen.groupBy(*VOXEL).agg(
             F.coalesce(F.sum("hit"), F.lit(0)).alias("n_hit"), F.coalesce(F.sum(1 - F.col("hit")), F.lit(0)).alias("n_pass"),
             F.sum("seen").alias("n_seen"), *[F.sum(v).alias(v) for v in VOTES],
             F.min(F.when(F.col("hit").isNotNull(), F.col("frame"))).alias("first_touch"), F.min(F.when(claimed, F.col("frame"))).alias("first_pred"))
-        base = self._read("base", BASE)
-        sums = fresh.unionByName(base.select(*VOXEL, *SUMS, *FIRSTS)).groupBy(*VOXEL).agg(*[F.sum(s).alias(s) for s in SUMS], *[F.min(f).alias(f) for f in FIRSTS])
+        return _added(fresh.unionByName(self._read("base", BASE).select(*VOXEL, *SUMS, *FIRSTS)))
+
+    def _changed(self, stream: str, since: int) -> DataFrame:
+        """What a store's only stream added after the batch ``since`` to the counts of the voxels it touched. Parts up to then are
+        read only where they have frames that came again."""
+        closed = self._read("closed", "upto int").agg(F.coalesce(F.max("upto"), F.lit(-(1 << 31)))).first()[0]
+        parts = self._read("parts", PART).filter((F.col("stream") == stream) & (F.col("frame") > closed)).dropna(subset=VOXEL)
+        new = parts.filter(F.col("batch") > since)
+        low, top = new.agg(F.min("frame"), F.max("frame")).first()
+        rows = new.unionByName(parts.filter((F.col("batch") <= since) & F.col("frame").between(low, top))) if low is not None else new
+        fresh = F.col("batch") > since
+        seen = rows.groupBy(*VOXEL, "frame").agg(
+            F.max("hit").alias("hit"), F.max("seen").alias("seen"), F.max(F.when(~fresh, F.col("hit"))).alias("hit0"),
+            F.coalesce(F.max(F.when(~fresh, F.col("seen"))), F.lit(0)).alias("seen0"), F.max(fresh).alias("fresh"),
+            *[F.sum(F.when(fresh, F.col(v)).otherwise(0)).alias(v) for v in VOTES]).filter("fresh")
+        more = lambda value: (F.coalesce(F.col("hit") == value, F.lit(False)).cast("long") - F.coalesce(F.col("hit0") == value, F.lit(False)).cast("long"))
+        return seen.groupBy(*VOXEL).agg(
+            F.sum(more(1)).alias("n_hit"), F.sum(more(0)).alias("n_pass"), F.sum(F.col("seen") - F.col("seen0")).alias("n_seen"), *[F.sum(v).alias(v) for v in VOTES],
+            F.min(F.when(F.col("hit").isNotNull(), F.col("frame"))).alias("first_touch"), F.min(F.when(_votes() > 0, F.col("frame"))).alias("first_pred"))
+
+    def _before(self, path: str, ddl: str, batch: int) -> tuple[DataFrame, int]:
+        """The counts after a batch, if they are there, else what was folded away; and the batch they go up to."""
+        try:
+            counts = self.spark.read.schema(ddl).parquet(path).filter(F.col("upto") == batch)
+            if not counts.isEmpty():
+                return counts, batch
+        except AnalysisException:
+            pass
+        return self._read("base", BASE), -1
+
+    def world_after(self, batch: int, stream: str) -> DataFrame:
+        """The map without colour after a stream's newest batch, from its counts after the batch before.
+
+        Counts lie in two folders by turns, so a batch reads what it brought and one row a voxel, and a repeated batch
+        finds those before it. A first batch, and a store that other streams write too, are counted from all parts."""
+        at = lambda b: f"{self.path}/counts/stream={stream}/turn={b % 2}"
+        ddl = BASE.split(", colour_n")[0] + ", upto long"
+        others = {f.split("/stream=")[1].split("/")[0] for f in self._read("parts", PART).inputFiles()} - {"none", stream}
+        if others:
+            now = self._sums(self._seen()).dropna(subset=VOXEL)
+        else:
+            before, since = self._before(at(batch - 1), ddl, batch - 1)
+            now = _added(before.select(*VOXEL, *SUMS, *FIRSTS).unionByName(self._changed(stream, since)))
+        now = now.select(*VOXEL, *[F.col(s).cast("long").alias(s) for s in SUMS], *[F.col(f).cast("int").alias(f) for f in FIRSTS], F.lit(batch).cast("long").alias("upto"))
+        now.write.mode("overwrite").parquet(at(batch))
+        occupied, cls = claim_of()
+        counts = self.spark.read.schema(ddl).parquet(at(batch)).drop("upto")
+        return verdicts(counts.withColumns({"predicted": occupied, "cls": cls, "blind": blind_claim(), "state": measured_state(F.col("n_hit"), F.col("n_pass"))}))
+
+    def totals(self, upto: int | None = None) -> DataFrame:
+        seen = self._seen()
+        if upto is not None:
+            seen = seen.filter(F.col("frame") <= upto)
+        sums, base = self._sums(seen), self._read("base", BASE)
         # what was folded away stands as one earlier look: the average that the later ones move
         old = base.filter("colour_n > 0").select(*VOXEL, F.lit(-1).alias("frame"), *RGB)
         looks = seen.filter("lit > 0").select(*VOXEL, "frame", *[(F.col(c) / F.col("lit")).alias(c) for c in RGB])
